@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import fingerprints, quality, sharding, simhash, url_filters
+from marginalia.llm import bpe, fingerprints, quality, sharding, simhash, url_filters
+
+#: The production tokenizer: a file of the installed package of public vocabularies.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +31,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, digests=True)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -40,6 +48,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_fingerprints": op2_fingerprints,
     "op3_simhash": op3_simhash,
+    "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op8_sharding": op8_sharding,
 }
