@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, fingerprints, quality, sharding, simhash, url_filters
+from marginalia.llm import bpe, fingerprints, language_id, quality, sharding, simhash, url_filters
 
 #: The production tokenizer: a file of the installed package of public vocabularies.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +44,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row_no")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs)
+    out = language_id.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_fingerprints": op2_fingerprints,
@@ -51,6 +58,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op8_sharding": op8_sharding,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {
