@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, fingerprints, language_id, quality, sharding, simhash, url_filters
+from marginalia.llm import bpe, fingerprints, language_id, mixing, quality, sharding, simhash, url_filters
 
 #: The production tokenizer: a file of the installed package of public vocabularies.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +44,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row_no")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.learn(docs)
@@ -58,9 +63,11 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op8_sharding": op8_sharding,
+    "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {
     "op1_url_filters": url_filters.oracle(),
+    "op9_mixing": mixing.oracle(),
 }
