@@ -117,7 +117,7 @@ def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
     Where a document is labelled more than once, it is good if every label says so. Pages with no label have no row.
     """
-    doc = F.nullif(F.regexp_extract(F.col("url"), r"(?s)^.*?://[^/?#]*/[^/?#]*/([0-9]{1,18})(?:[/?#]|$)", 1), F.lit("")).cast("long")
+    doc = F.nullif(F.regexp_extract(F.col("url"), r"(?s)^.*?://[^/?#]*/[^/?#]*/([0-9]{1,18})(?:[.]html?)?(?:[/?#]|$)", 1), F.lit("")).cast("long")
     said = labels.groupBy("doc_id").agg(F.min((F.coalesce(F.col("quality"), F.lit(1)) >= 1) & (F.coalesce(F.col("toxic"), F.lit(0)) <= 0)).alias("good"))
     keyed = pages.select("page_id", doc.alias("doc_id")).where("doc_id is not null").distinct()
     return keyed.join(said, "doc_id").groupBy("page_id").agg(F.min("good").alias("good"))
@@ -148,7 +148,7 @@ def oracle(rules=RULES, least_good: float = LEAST_GOOD, z: float = Z) -> str:
 WITH parsed AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path,
-    try_cast(regexp_extract(url, '(?s)^.*?://[^/?#]*/[^/?#]*/([0-9]{{1,18}})(?:[/?#]|$)', 1) AS BIGINT) doc_id FROM pages),
+    try_cast(regexp_extract(url, '(?s)^.*?://[^/?#]*/[^/?#]*/([0-9]{{1,18}})(?:[.]html?)?(?:[/?#]|$)', 1) AS BIGINT) doc_id FROM pages),
 said AS (SELECT doc_id, min((coalesce(quality, 1) >= 1 AND coalesce(toxic, 0) <= 0)::INT) good FROM labels GROUP BY doc_id),
 outcome AS (SELECT page_id, min(good) good FROM (SELECT DISTINCT page_id, doc_id FROM parsed) p JOIN said USING (doc_id) GROUP BY page_id),
 hosts AS (SELECT host, {_domain_sql('host')} dom, {_suffix_sql('host')} suf, count(good)::DOUBLE n, sum(CASE WHEN good = 1 THEN 1 ELSE 0 END)::DOUBLE g
