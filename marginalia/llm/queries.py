@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, fingerprints, language_id, mixing, quality, sharding, simhash, url_filters
+from marginalia.llm import bpe, fingerprints, html_text, language_id, mixing, quality, sharding, simhash, url_filters
 
 #: The production tokenizer: a file of the installed package of public vocabularies.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +40,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row_no")
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
+    "op7_html_text": op7_html_text,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
