@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, fingerprints, html_text, language_id, mixing, quality, sharding, simhash, url_filters
+from marginalia.llm import bpe, fingerprints, html_text, language_id, mixing, quality, sharding, simhash, training_order, url_filters
+from marginalia.llm.common import shared_path
 
 #: The production tokenizer: a file of the installed package of public vocabularies.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +32,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "shards")
+    n = training_order.materialise(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    slots = training_order.read_slots(spark, path).select("shard", "slot", F.crc32("ids").alias("ids_crc32"))
+    return training_order.sequence_at(slots, n)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, digests=True)
 
@@ -65,6 +73,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_fingerprints": op2_fingerprints,
     "op3_simhash": op3_simhash,
+    "op4_training_order": op4_training_order,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op7_html_text": op7_html_text,
