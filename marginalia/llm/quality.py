@@ -183,3 +183,10 @@ def judge(docs: DataFrame) -> DataFrame:
     limit = chi2_quantile(1 - TAIL, len(STATS))
     kept = ~F.col("base_failed") & ((F.col("_pool") < 10) | (F.col("d2") <= limit))
     return scored.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(~F.col("base_failed"), F.col("d2")).alias("d2"), F.coalesce(kept, F.lit(False)).alias("kept"))
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, lang, source and any others) that judge() keeps; the few rejected ones are taken out by an anti-join."""
+    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    rejected = judge(keyed.select("_row", "text", "lang", "source")).where(~F.col("kept")).select("_row").distinct()
+    return keyed.join(rejected, "_row", "left_anti").drop("_row")

@@ -41,22 +41,25 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BLOCK, LARGE = 2048, 8192
 
 
-def shingle_hashes(text: str, width: int = SHINGLE) -> list[int]:
-    """XXH64 of each shingle of the lower-cased words; bytes.lower and bytes.split treat ASCII only."""
+def shingle_hashes(text: str, width: int = SHINGLE, distinct: bool = False) -> list[int]:
+    """XXH64 of each shingle (or each distinct one) of the lower-cased words; bytes.lower and bytes.split treat ASCII only."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return []
     h = xxhash.xxh64_intdigest
     if len(words) <= width:
         return [h(b" ".join(words), SEED)]
+    if width == 1:
+        return [h(w, SEED) for w in (set(words) if distinct else words)]
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     starts = (ends - np.fromiter(map(len, words), dtype=np.int64, count=len(words)) - 1)[: len(words) - width + 1].tolist()
-    return [h(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
+    shingles = [joined[a:b] for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
+    return [h(x, SEED) for x in (set(shingles) if distinct else shingles)]
 
 
-def fingerprint_of(text: str, width: int = SHINGLE) -> int:
-    hashes = shingle_hashes(text, width)
+def fingerprint_of(text: str, width: int = SHINGLE, distinct: bool = False) -> int:
+    hashes = shingle_hashes(text, width, distinct)
     if not hashes:
         return 0
     half, n = np.zeros(64, dtype=np.int64), len(hashes)
@@ -66,7 +69,7 @@ def fingerprint_of(text: str, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * half > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = SHINGLE, distinct: bool = False) -> DataFrame:
     """All columns of docs but text, and fp (the fingerprint's 64 bits as a long)."""
     keep = [c for c in docs.columns if c != "text"]
     schema = docs.select(*keep, F.lit(0).cast("long").alias("fp")).schema
@@ -74,7 +77,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            fp = np.array([fingerprint_of(x or "", width) for x in t["text"].to_pylist()], dtype=np.uint64).view(np.int64)
+            fp = np.array([fingerprint_of(x or "", width, distinct) for x in t["text"].to_pylist()], dtype=np.uint64).view(np.int64)
             yield from t.select(keep).append_column("fp", pa.array(fp)).to_batches()
 
     return docs.mapInArrow(run, schema)
@@ -147,21 +150,21 @@ class _Forest:
         return i != j
 
 
-def forest(fp: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest (pairs of places) of the links within REACH bits among the fingerprints of one bucket."""
+def forest(fp: np.ndarray, reach: int = REACH) -> list[tuple[int, int]]:
+    """A spanning forest (pairs of places) of the links within reach bits among the fingerprints of one bucket."""
     f, out = _Forest(len(fp)), []
     if len(fp) == 2:
-        return [(0, 1)] if bin(int(fp[0] ^ fp[1])).count("1") <= REACH else []
+        return [(0, 1)] if bin(int(fp[0] ^ fp[1])).count("1") <= reach else []
     for i in range(0, len(fp), BLOCK):
         for j in range(0, i + 1, BLOCK):
-            near = np.bitwise_count(fp[i : i + BLOCK, None] ^ fp[None, j : j + BLOCK]) <= REACH
+            near = np.bitwise_count(fp[i : i + BLOCK, None] ^ fp[None, j : j + BLOCK]) <= reach
             for x in range(len(near)):
                 row = np.nonzero(near[x, : x if i == j else None])[0]
                 out += [(i + x, j + y) for y in row.tolist() if f.link(i + x, j + y)]
     return out
 
 
-def _runs(filed: DataFrame, most: int) -> DataFrame:
+def _runs(filed: DataFrame, most: int, reach: int) -> DataFrame:
     """filed: key, fp, dealt out by key and sorted. a, b: links of all buckets of at most `most` rows; a bucket beyond gives a row (fp, fp, large) for each of its rows."""
     def run(batches):
         key, fp = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -173,13 +176,13 @@ def _runs(filed: DataFrame, most: int) -> DataFrame:
                 start, size = np.concatenate([[0], cut]), np.diff(np.concatenate([[0], cut, [len(key)]]))
                 two = start[size == 2]
                 x, y = fp[two], fp[two + 1]
-                ok = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= REACH
+                ok = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= reach
                 left.append(x[ok]), right.append(y[ok]), large.append(np.zeros(ok.sum(), bool))
                 for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
                     part = fp[s : s + n]
                     if n > most:
                         left.append(part), right.append(part), large.append(np.ones(n, bool))
-                    elif pairs := forest(part.view(np.uint64)):
+                    elif pairs := forest(part.view(np.uint64), reach):
                         i, j = np.array(pairs).T
                         left.append(part[i]), right.append(part[j]), large.append(np.zeros(len(i), bool))
             a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (left, right))
@@ -196,9 +199,12 @@ def _runs(filed: DataFrame, most: int) -> DataFrame:
     return filed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long, large boolean")
 
 
-def links(fps: DataFrame, large: int = LARGE) -> DataFrame:
-    """fps: distinct fingerprints. a, b: pairs whose components are those of all pairs within REACH bits."""
-    found = materialize(_runs(_filed(fps), large), "links")
+def links(fps: DataFrame, large: int = LARGE, reach: int = REACH) -> DataFrame:
+    """fps: distinct fingerprints. a, b: pairs whose components are those of all pairs within REACH bits.
+
+    With a larger reach, pairs of more differing bits are linked too where they share a key: three in four of five bits, fewer beyond.
+    """
+    found = materialize(_runs(_filed(fps), large, reach), "links")
     out = found.where("not large").select("a", "b").distinct()
     crowded = found.where("large").select(F.col("a").alias("fp")).distinct()
     if crowded.isEmpty():
@@ -208,12 +214,26 @@ def links(fps: DataFrame, large: int = LARGE) -> DataFrame:
     return out.union(near.join(stars, "word").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, order: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, order: str = "doc_id", distinct: bool = False, reach: int = REACH) -> DataFrame:
     """All columns of docs but text, fp, and component_id: the least `order` among the documents reachable by links."""
-    own = materialize(fingerprints(docs, width), "fp")
+    own = materialize(fingerprints(docs, width, distinct), "fp")
     by_fp = materialize(own.groupBy("fp").agg(F.min(order).alias("_least")), "distinct")
-    roots = components(links(by_fp.select("fp")))
+    roots = components(links(by_fp.select("fp"), reach=reach))
     named = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = named.groupBy("root").agg(F.min("_least").alias("component_id"))
     classes = named.join(heads, "root").select("fp", "component_id")
     return own.join(classes, "fp").select(*own.columns, "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 1, distinct: bool = True, reach: int = 6) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) without near duplicates: of each component the row of least id stays.
+
+    By default fingerprints are taken over distinct single words: copies of which four in five five-word shingles agree differ in about one
+    word in fifty, which is four bits of these fingerprints but ten of those over five-word shingles, out of reach of the keys.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    order = F.struct("doc_id", "_row")
+    found = near_duplicates(keyed.select("text", order.alias("_order")), width, "_order", distinct, reach)
+    heads = found.select(F.col("component_id")["_row"].alias("_row")).distinct()
+    # Repeated rows have one _row; the join has dealt rows out by it already.
+    return keyed.join(heads, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
