@@ -184,6 +184,8 @@ def train(rows: list[tuple[str, str]]) -> Model:
     """rows: (language, text), in an order that does not depend on the language. Models, temperature and rejection limits."""
     rows = [(lang, x) for lang, text in rows if len(x := letters_of(text))]
     languages = sorted({lang for lang, _ in rows})
+    if not languages:
+        return Model([], np.empty(0, np.uint32), [], [], [], [])
     seen: dict[str, int] = {}
     fit, held = [], []
     for lang, x in rows:

@@ -1,0 +1,324 @@
+"""Each operator on edge cases and against brute force."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from marginalia.llm import bpe, fingerprints, html_text, language_id, mixing, quality, sharding, simhash, training_order, url_filters
+from marginalia.llm.components import components
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+LONG = " ".join(f"w{i % 997} x{i}" for i in range(12_000))
+EDGE = [(1, None), (2, ""), (3, " \n\t "), (4, "a"), (5, "same text here again and more"), (6, "same text here again and more"), (7, LONG), (8, "ünï ¢ödé 😀 " * 9), (None, "no id"), (8, "ünï ¢ödé 😀 " * 9), (9, "nospace" * 60)]
+
+
+@pytest.fixture(scope="module")
+def edge(docs):
+    return docs(EDGE)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs([])
+
+
+def by_id(df, *cols):
+    return sorted(((r["doc_id"], *(r[c] for c in cols)) for r in df.collect()), key=repr)
+
+
+# 1
+
+
+def test_url_rules(spark):
+    urls = {
+        1: "http://WWW.Example.com/en/x?q#f", 2: "https://a.example.com/en/", 3: "http://example.com/de/", 4: "https://x.net/es/1", 5: "http://x.net/en/1", 6: None, 7: "nothing", 8: "http://a.com", 9: "ftp://notexample.com/en/a", 10: "http://x.org/a://b",
+    }
+    pages = spark.createDataFrame(list(urls.items()), "page_id long, url string")
+    got = {r.page_id: r for r in url_filters.filter_urls(pages, spark.createDataFrame([], "page_id long, good boolean")).collect()}
+    assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("www.example.com", "/en/x", "www.example.com/en/", "allow")
+    assert (got[2].rule, got[2].verdict) == ("example.com/en/", "block") and (got[3].rule, got[3].verdict) == ("com/", "allow")
+    assert got[4].verdict == "block" and (got[5].rule, got[5].verdict) == (None, "allow")
+    assert [(got[k].host, got[k].path, got[k].rule) for k in (6, 7, 8)] == [("", "", None), ("", "", None), ("a.com", "", None)]
+    assert got[9].rule == "com/" and (got[10].host, got[10].path) == ("x.org", "/a://b")
+
+
+def test_reputation(spark):
+    rows = [(f"bad.x.org", i % 20 == 0) for i in range(60)] + [("good.x.org", i % 20 != 0) for i in range(60)] + [("new.x.org", None), ("one.y.org", False)] + [("ok.y.org", True)] * 40
+    rep = {r.host: r for r in url_filters.host_reputation(spark.createDataFrame(rows, "host string, good boolean")).collect()}
+    assert rep["bad.x.org"].post_mean < 0.2 < 0.8 < rep["good.x.org"].post_mean
+    assert rep["new.x.org"].n_labelled == 0 and rep["new.x.org"].post_mean == pytest.approx(rep["new.x.org"].prior_mean)
+    assert rep["one.y.org"].post_mean > 0.15  # one bad page does not condemn a host
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, (h, _) in enumerate(rows)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, g) for i, (_, g) in enumerate(rows) if g is not None], "page_id long, good boolean")
+    verdict = {r.host: r.verdict for r in url_filters.filter_urls(pages, outcomes).collect()}
+    assert verdict["bad.x.org"] == "block" and verdict["good.x.org"] == verdict["one.y.org"] == verdict["new.x.org"] == "allow"
+
+
+def test_labels_by_path(spark):
+    pages = spark.createDataFrame([(1, "http://a/en/5?x"), (2, "http://a/en/6.html"), (3, "http://a/en/7/"), (4, "http://a/x"), (5, None)], "page_id long, url string")
+    labels = spark.createDataFrame([(5, 1, 0), (6, 0, 0), (7, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted((r.page_id, r.good) for r in url_filters.labelled_pages(pages, labels).collect()) == [(1, True), (2, False), (3, False)]
+
+
+# 2
+
+
+def test_fingerprints(edge, empty, docs):
+    got = fingerprints.fingerprint_pairs(edge).collect()
+    assert len(got) == len(EDGE) and fingerprints.fingerprint_pairs(empty).isEmpty()
+    by = {r.doc_id: r for r in got}
+    assert by[1].fingerprint == by[2].fingerprint == by[3].fingerprint == "0" * 256 and by[5].fingerprint == by[6].fingerprint and by[5].near_next == 1.0
+    order = sorted({d: t for d, t in EDGE}.items(), key=lambda x: (x[0] is not None, x[0] or 0))
+    for k, (d, text) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        q = len(text) // 4
+        assert by[d].n_chars == len(text) and by[d].edited_sha256 == hashlib.sha256((text[: len(text) - q] + after[:q]).encode()).hexdigest()
+    assert 0.2 < by[7].near_edited < 0.9
+    one = fingerprints.fingerprint_pairs(docs([(3, "a b c d e f g h")])).first()
+    assert one.near_next == 1.0
+
+
+def test_order_counts(docs):
+    words = [f"t{i}" for i in range(400)]
+    texts = [words, words[200:] + words[:200], words[:390] + ["new"] * 10, [w for w in words for _ in range(1)][::-1]]
+    rows = docs([(i, " ".join(t)) for i, t in enumerate(texts)]).select("doc_id", fingerprints.fingerprint(F.col("text")).alias("fp"))
+    a, b, c, d = (r.fp for r in rows.orderBy("doc_id").collect())
+    like = lambda x, y: sum(x[i : i + 4] == y[i : i + 4] for i in range(0, 256, 4)) / 64
+    assert like(a, c) > 0.8 and like(a, d) < 0.1 and like(a, b) < like(a, c)  # moved halves share k-mers, but not their order
+
+
+# 3
+
+
+def brute_fingerprint(text):
+    w = [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum((x >> b) & 1 for x in h) > len(h))
+
+
+def brute_components(rows):
+    fp = [(d, brute_fingerprint(t)) for d, t in rows]
+    up = list(range(len(fp)))
+    root = lambda i: i if up[i] == i else root(up[i])
+    for i in range(len(fp)):
+        for j in range(i):
+            if bin(fp[i][1] ^ fp[j][1]).count("1") <= 4:
+                up[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(fp):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return sorted(((d, x, least.get(root(i))) for i, (d, x) in enumerate(fp)), key=repr)
+
+
+def test_simhash(docs, edge, empty):
+    rng = np.random.default_rng(5)
+    base = [" ".join(f"k{x}" for x in rng.integers(0, 5000, 300)) for _ in range(12)]
+    rows = [(100 + i, base[i % 12]) for i in range(24)]
+    for i in range(150):
+        w = base[i % 12].split()
+        for _ in range(rng.integers(1, 4)):
+            w[rng.integers(0, len(w))] = f"z{i}"
+        rows.append((200 + i, " ".join(w)))
+    rows += EDGE
+    got = simhash.near_duplicates(docs(rows).select("doc_id", "text"))
+    assert sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in got.collect()), key=repr) == brute_components(rows)
+    assert simhash.near_duplicates(empty.select("doc_id", "text")).isEmpty()
+
+
+def test_large_buckets_lose_no_link(spark):
+    rng = np.random.default_rng(6)
+    fp = np.unique(np.uint64(0x123456789ABCDEF0) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)))
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    parts = [Counter(r.root for r in components(simhash.links(df, large=n)).collect()) for n in (3, 100_000)]
+    assert parts[0] == parts[1]
+
+
+def test_keep_one(docs):
+    text = " ".join(f"v{i}" for i in range(100))
+    rows = [(1, text), (2, text), (2, text), (3, text.replace("v50", "other")), (4, "something else entirely, of other words"), (5, None), (6, "")]
+    kept = simhash.keep_one(docs(rows))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5] and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (200, 200), (102, 100)] + [(300, i) for i in range(301, 360)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(61)) and got[102] == 100 and got[359] == 300 and 200 not in got
+    assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+# 4 and 8
+
+
+def test_training_order(spark, edge, empty, tmp_path):
+    n = training_order.materialise(edge.select("doc_id", "text"), str(tmp_path / "s"), stride=64, per_shard=10, block_bytes=4096)
+    got = training_order.sequence_at(training_order.read_slots(spark, str(tmp_path / "s"), stride=64, per_shard=10), n).orderBy("sequence").collect()
+    assert [r.sequence for r in got] == list(range(n)) and sorted(r.slot for r in got) == list(range(n)) and {len(r.ids) for r in got} == {128}
+    stream = np.frombuffer(b"".join(bytes(r.ids) for r in got), dtype="<u2")
+    assert (stream[stream.size - (stream == 257).sum() :] == 257).all()
+    cut = np.split(stream[stream != 257], np.nonzero(stream[stream != 257] == 256)[0] + 1)[:-1]
+    assert sorted(bytes(x[:-1].astype(np.uint8)) for x in cut) == sorted((t or "").encode() for _, t in EDGE)
+    part = training_order.read_slots(spark, str(tmp_path / "s"), 7, 33, stride=64, per_shard=10)
+    assert sorted(r.slot for r in part.collect()) == list(range(7, 33))
+    assert training_order.materialise(empty.select("doc_id", "text"), str(tmp_path / "e")) == 0
+
+
+def test_sharding(edge, empty, docs):
+    got = sharding.shard_documents(edge.select("doc_id", "text")).collect()
+    assert sorted(((r.doc_id, r.size, r.text_crc32) for r in got), key=repr) == sorted(((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in EDGE), key=repr)
+    many = sharding.shard_documents(docs([(i * 3, f"t{i}") for i in range(205)]).select("doc_id", "text"))
+    slots = {}
+    for r in many.collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+        assert sharding.row_of(r.shard, r.slot, 205) == r.row_no == r.doc_id // 3 and r.law == "rows" and r.grown_shard is None
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1 and len(slots) == 16
+    assert sharding.shard_documents(empty.select("doc_id", "text")).isEmpty()
+
+
+# 5
+
+
+def test_bpe(edge, empty, docs):
+    t = Tokenizer.from_file(PATH)
+    want = sorted(((d, t.encode(x or "", add_special_tokens=False).ids) for d, x in EDGE), key=repr)
+    got = bpe.encode_documents(edge.select("doc_id", "text", F.lit("x").alias("ids"), F.lit(1).alias("block")), PATH, block_bytes=2000)
+    rows = got.toDF("doc_id", "own", "block", "n_tokens", "ids", "decoded").collect()
+    assert sorted(((r.doc_id, np.frombuffer(bytes(r.ids), dtype="<u4").tolist()) for r in rows), key=repr) == want
+    assert sorted((r.decoded for r in rows)) == sorted(x or "" for _, x in EDGE)
+    assert bpe.encode_documents(empty.select("doc_id", "text"), PATH, digests=True).isEmpty()
+
+
+# 6
+
+
+def brute_statistics(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    seen = Counter(windows)
+    covered = {j for i, x in enumerate(windows) if seen[x] > 1 for j in range(i, i + 8)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+    return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed
+
+
+def test_statistics(docs, edge, empty):
+    rng = np.random.default_rng(7)
+    rows = EDGE + [(1000 + i, "".join(rng.choice(list("ab \n#é"), rng.integers(0, 400)))) for i in range(60)]
+    rows += [(2000, "one two three four five six seven eight nine " * 5), (2001, "a " * 40), (2002, ("x y z\n" * 3 + "q #\n") * 9)]
+    got = quality.judge(docs(rows))
+    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert by_id(got, *cols) == sorted(((d, *brute_statistics(t)) for d, t in rows), key=repr)
+    assert got.where("base_failed and kept").isEmpty() and quality.judge(empty).isEmpty()
+
+
+def test_outliers(docs):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9)))
+    good = [(i, " ".join(word() for _ in range(80)), "en", f"s{i % 2}") for i in range(300)]
+    bad = [(1000 + i, " ".join(word() + "%%%" for _ in range(80)), "en", f"s{i % 2}") for i in range(40)]
+    lone = [(2000, " ".join(word() for _ in range(30)), None, None)]
+    kept = {r.doc_id: r.kept for r in quality.judge(docs(good + bad + lone)).collect()}
+    assert all(kept[d[0]] for d in good + lone) and not any(kept[d[0]] for d in bad)
+    left = quality.keep(docs(good + bad + lone))
+    assert sorted(r.doc_id for r in left.collect()) == sorted(d[0] for d in good + lone) and left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_chi_square():
+    assert quality.chi2_quantile(0.95, 4) == pytest.approx(9.4877, abs=1e-3) and quality.chi2_cdf(12.5916, 6) == pytest.approx(0.95, abs=1e-4)
+
+
+# 7
+
+
+def test_template(spark):
+    frame = "<html><body><div><p>Same words everywhere</p></div><section><p>{}</p><p>{}</p></section><div>Share this</div></body></html>"
+    pages = [(i, f"http://h/{i}", frame.format(f"story {i}", f"more {i * i}") + ("<p>tail</p>" if i == 3 else "")) for i in range(12)] + [(50, None, None), (51, "http://h/x", ""), (52, "http://lone/", "<p>Same words everywhere</p>")]
+    pages += [(60 + i, "http://mirror/", "<p>all alike</p>") for i in range(6)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[5] == "story 5 more 25" and got[3] == "story 3 more 9 tail"
+    assert got[50] == got[51] == "" and got[52] == "Same words everywhere" and got[63] == "all alike"
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
+
+
+# 9
+
+
+def leaf_plan(leaves, budget, weights):
+    """Water levels by bisection, from the root down."""
+    def share(children, total):
+        caps = {k: c for k, (w, c) in children.items() if w > 0}
+        if total >= sum(caps.values()):
+            return {k: caps.get(k, 0) for k in children}
+        low, high = 0.0, 1e12
+        for _ in range(300):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(c, mid * children[k][0]) for k, c in caps.items()) < total else (low, mid)
+        return {k: min(caps[k], high * children[k][0]) if k in caps else 0 for k in children}
+
+    out, level = {}, {(): budget}
+    for depth in (1, 2, 3):
+        following = {}
+        for path, total in level.items():
+            kids = {}
+            for leaf, tokens in leaves.items():
+                if leaf[: depth - 1] == path:
+                    w, c = kids.get(leaf[:depth], (weights.get(leaf[:depth], 1.0), 0))
+                    kids[leaf[:depth]] = (w, c + 4 * tokens)
+            following |= share(kids, total)
+        level = following
+    return level
+
+
+def test_budgets(spark):
+    leaves = {("a", "en", "s1"): 1000, ("a", "en", "s2"): 10, ("a", "de", "s1"): 50, ("b", "en", "s3"): 5000, ("b", "en", None): 40, ("b", None, "s4"): 7, ("c", "en", "s5"): 900}
+    weights = {("a",): 3.0, ("b",): 1.0, ("c",): 0.0, ("a", "de"): 5.0, ("b", "en", "s3"): 2.0}
+    df = spark.createDataFrame([(*k, v) for k, v in leaves.items()], "domain string, lang string, source string, tokens long")
+    for budget in (10, 500, 3000, 9000, 10**6):
+        got = {(r.domain, r.lang, r.source): r.budget for r in mixing.leaf_budgets(df, budget, weights).collect()}
+        want = leaf_plan(leaves, budget, weights)
+        assert all(abs(got[k] - want[k]) <= 1 for k in leaves), budget
+
+
+def test_mix(docs, empty):
+    rows = [(i, "w " * (1 + i % 7), ["en", "de", None][i % 3], f"src{i % 5}") for i in range(400)] + [(None, "x", "en", "src1"), (1000, None, "en", "src1"), (3, "w w", "en", None)]
+    tokens = sum(len((r[1] or "").split()) for r in rows)
+    out = mixing.mix(docs(rows), budget=900.0)
+    got = out.collect()
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "domain", "n_tokens", "epoch"]
+    used = sum(r.n_tokens for r in got)
+    assert 900 - 8 * 15 <= used <= 900
+    assert sum(r.n_tokens for r in mixing.mix(docs(rows), budget=1e9).collect()) == 4 * tokens
+    assert mixing.mix(empty).isEmpty()
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs(rows), budget=900.0).repartition(3).collect()))
+
+
+# 10
+
+
+def test_language_id(docs, empty):
+    rng = np.random.default_rng(9)
+    vocab = {"en": ["the", "of", "thing", "that"], "de": ["der", "und", "schön", "nicht"]}
+    rows = [(i, " ".join(rng.choice(vocab[lang], 30)), lang) for i in range(300) for lang in [["en", "de"][i % 2]]]
+    full = docs(rows + [(900, None, "en"), (901, "", None), (902, "42 !", "de"), (903, "the thing that", None)])
+    model = language_id.learn(full)
+    out = language_id.predict(full.select("doc_id", "text", F.lit(1).alias("score_")), model)
+    got = {r.doc_id: r for r in out.collect()}
+    assert np.mean([got[i].lang_pred == lang for i, _, lang in rows]) == 1.0 and not any(got[i].rejected for i, _, _ in rows)
+    assert all(got[i].lang_pred == "und" and got[i].score == 0.0 and got[i].rejected and got[i].cross_entropy is None for i in (900, 901, 902))
+    assert got[903].lang_pred == "en" and all(0 <= r.score <= 1 for r in got.values())
+    assert language_id.predict(empty, model).isEmpty()
+    none = language_id.predict(docs([(1, "text")]), language_id.train([])).first()
+    assert none.lang_pred == "und" and none.rejected
+    held = {r.doc_id: r.h for r in full.select("doc_id", language_id.held_out(F.col("doc_id")).alias("h")).collect()}
+    assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in held.items())
