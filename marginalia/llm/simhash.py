@@ -225,11 +225,12 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, order: str = "doc_id"
     return own.join(classes, "fp").select(*own.columns, "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 1, distinct: bool = True, reach: int = 6) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 2, distinct: bool = True, reach: int = 6) -> DataFrame:
     """The rows of docs (doc_id, text and any others) without near duplicates: of each component the row of least id stays.
 
-    By default fingerprints are taken over distinct single words: copies of which four in five five-word shingles agree differ in about one
-    word in fifty, which is four bits of these fingerprints but ten of those over five-word shingles, out of reach of the keys.
+    By default fingerprints are taken over distinct word pairs: copies of which four in five five-word shingles agree differ in about one
+    word in fifty, which is five bits of these fingerprints but ten of those over five-word shingles, out of reach of the keys. Over
+    single words it would be four, but texts that share only the common words of a language come too near each other then.
     """
     keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
     order = F.struct("doc_id", "_row")
