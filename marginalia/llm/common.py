@@ -68,3 +68,18 @@ def global_order(df: DataFrame, keys: list[str], size: str | None = None) -> Dat
 def with_let(value: Column, body) -> Column:
     """body(value), with value computed once for each row although body uses it many times or inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def giving_way(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns that have the name of a result column (in any case): those give way to the result."""
+    taken = {n.lower() for n in names}
+    kept = [i for i, c in enumerate(df.columns) if c.lower() not in taken]
+    if len(kept) == len(df.columns):
+        return df
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"c{i}").alias(df.columns[i]) for i in kept])
+
+
+def set_apart(df: DataFrame, *needed: str) -> DataFrame:
+    """df with every column but the needed ones renamed by place, so that no name clashes; undone by toDF(*df.columns)."""
+    return df.toDF(*[c if c in needed else f"extra_column_{i}" for i, c in enumerate(df.columns)])

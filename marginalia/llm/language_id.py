@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import giving_way
+
 ORDER, SYMBOL_BITS = 5, 12
 ROWS_PER_LANGUAGE, MOST_LANGUAGES = 500, 200
 PIECE = 1 << 20
@@ -278,7 +280,11 @@ def learn(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, and lang_pred, score, cross_entropy (null if und), rejected. Only text is looked at."""
+    """All columns of docs, and lang_pred, score, cross_entropy (null if und), rejected. Only text is looked at.
+
+    Columns of docs with the names of results give way to them.
+    """
+    docs = giving_way(docs, "lang_pred", "score", "cross_entropy", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     names = [f"k{i}" for i in range(len(docs.columns))]
     at = docs.columns.index("text")

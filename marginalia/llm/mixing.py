@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import NOT_SPACE, materialize
+from marginalia.llm.common import NOT_SPACE, giving_way, materialize
 
 LEVELS = ("domain", "lang", "source")
 #: Weights of nodes by the names on their path; others have weight 1.
@@ -100,9 +100,11 @@ def leaf_budgets(leaves: DataFrame, budget: float, weights: dict = WEIGHTS, epoc
 def mix(docs: DataFrame, budget: float | None = None, weights: dict = WEIGHTS, epochs: int = MOST_EPOCHS, seed: int = SEED, domain: Column | None = None, tokens: Column | None = None) -> DataFrame:
     """docs: doc_id, text, lang, source and any others. All of them with domain, n_tokens and epoch: a row for each epoch in which a document is selected.
 
-    budget: tokens; None: BUDGET_SHARE of all.
+    budget: tokens; None: BUDGET_SHARE of all. Columns of docs named n_tokens or epoch give way to the results; one named domain does unless it is
+    passed as the domain.
     """
-    own = docs.columns
+    docs = giving_way(docs, "n_tokens", "epoch", *(["domain"] if domain is None else []))
+    own = [c for c in docs.columns if c.lower() != "domain"]
     work = docs.select(F.struct(*own).alias("row"), (domain_of(F.col("source")) if domain is None else domain).alias("domain"), "lang", "source", F.col("doc_id").cast("string").alias("_id"), (tokens_of(F.col("text")) if tokens is None else tokens).alias("n_tokens"))
     leaves = materialize(work.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "leaves")
     total = leaves.agg(F.sum("tokens"), F.sum("n"), F.count(F.lit(1))).first()

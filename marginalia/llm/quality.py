@@ -24,11 +24,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import NOT_SPACE, materialize, with_let
+from marginalia.llm.common import NOT_SPACE, giving_way, materialize, set_apart, with_let
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", "_both", "gid", "x_len", "x_sym", "x_line", "x_rep")
 STATS = ("x_len", "x_sym", "x_line", "x_rep")
 #: Least standard deviation of each transformed statistic.
 FLOOR = (0.06, 0.25, 0.5, 0.08)
@@ -66,7 +67,11 @@ def repeat_words(ws: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """All columns of docs but text, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed."""
+    """All columns of docs but text, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed.
+
+    Columns of docs with the names of results (or of the statistics derived from them) give way.
+    """
+    docs = giving_way(docs, *RESULTS)
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NOT_SPACE))
     ws = words(text)
@@ -166,6 +171,7 @@ def robust_fit(x: DataFrame) -> tuple[DataFrame, bool]:
 
 def judge(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text, lang, source and any others. Its columns but text, the statistics, d2 (null if base_failed) and kept."""
+    docs = giving_way(docs, *RESULTS)
     keep = [c for c in docs.columns if c != "text"]
     base = materialize(statistics(docs).withColumns(transformed()), "quality")
     fits = base.where(~F.col("base_failed"))
@@ -187,6 +193,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text, lang, source and any others) that judge() keeps; the few rejected ones are taken out by an anti-join."""
+    names, docs = docs.columns, set_apart(docs, "doc_id", "text", "lang", "source")
     keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
     rejected = judge(keyed.select("_row", "text", "lang", "source")).where(~F.col("kept")).select("_row").distinct()
-    return keyed.join(rejected, "_row", "left_anti").drop("_row")
+    return keyed.join(rejected, "_row", "left_anti").drop("_row").toDF(*names)

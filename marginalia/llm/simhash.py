@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import golay
-from marginalia.llm.common import materialize
+from marginalia.llm.common import giving_way, materialize, set_apart
 from marginalia.llm.components import components
 
 SHINGLE, SEED, REACH = 4, 42, 4
@@ -71,6 +71,7 @@ def fingerprint_of(text: str, width: int = SHINGLE, distinct: bool = False) -> i
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE, distinct: bool = False) -> DataFrame:
     """All columns of docs but text, and fp (the fingerprint's 64 bits as a long)."""
+    docs = giving_way(docs, "fp", "component_id", "root")
     keep = [c for c in docs.columns if c != "text"]
     schema = docs.select(*keep, F.lit(0).cast("long").alias("fp")).schema
 
@@ -232,9 +233,10 @@ def keep_one(docs: DataFrame, width: int = 2, distinct: bool = True, reach: int
     word in fifty, which is five bits of these fingerprints but ten of those over five-word shingles, out of reach of the keys. Over
     single words it would be four, but texts that share only the common words of a language come too near each other then.
     """
+    names, docs = docs.columns, set_apart(docs, "doc_id", "text")
     keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
     order = F.struct("doc_id", "_row")
     found = near_duplicates(keyed.select("text", order.alias("_order")), width, "_order", distinct, reach)
     heads = found.select(F.col("component_id")["_row"].alias("_row")).distinct()
     # Repeated rows have one _row; the join has dealt rows out by it already.
-    return keyed.join(heads, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    return keyed.join(heads, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row").toDF(*names)

@@ -322,3 +322,17 @@ def test_language_id(docs, empty):
     assert none.lang_pred == "und" and none.rejected
     held = {r.doc_id: r.h for r in full.select("doc_id", language_id.held_out(F.col("doc_id")).alias("h")).collect()}
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in held.items())
+
+
+# all
+
+
+def test_results_take_the_place_of_clashing_columns(docs):
+    full = docs([(i, f"the thing that {i} of the thing", "en", "src1") for i in range(30)])
+    for c in ("lang_pred", "score", "kept", "n_words", "fp", "component_id", "n_tokens", "epoch", "domain", "D2"):
+        full = full.withColumn(c, F.lit("old"))
+    model = language_id.learn(full)
+    assert language_id.predict(full, model).where("lang_pred = 'en'").count() == 30
+    assert quality.judge(full).where("n_words = 7 and not kept").count() == 30
+    assert simhash.near_duplicates(full).where("component_id >= 0").count() == 30
+    assert mixing.mix(full, budget=1e6).where("epoch < 4 and n_tokens = 7 and domain = 'news'").count() == 120
