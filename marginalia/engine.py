@@ -48,7 +48,10 @@ class Engine:
         return found
 
     def chunks(self) -> DataFrame:
-        return self.indexed().chunks.withColumnRenamed("chunk_id", "id")
+        found = self.indexed().chunks
+        if found is None:
+            raise ToolError("the index holds no text")
+        return found.withColumnRenamed("chunk_id", "id")
 
     def indexed_notes(self) -> DataFrame:
         return self.notes().join(self.indexed().files.select("rel_path"), "rel_path", "left_semi")
@@ -160,7 +163,7 @@ class Engine:
             try:
                 self.state = {"running": True, "last": None, "error": None, "started_at": time.time()}
                 c = self.config
-                counters = index.index_once(self.spark, self.notes(), c.index_dir, index.IndexConfig(c.chunk_chars, c.chunk_overlap, c.max_chunks_per_file, c.max_file_size_mb, self.embed), force)
+                counters = index.index_once(self.spark, self.notes(), c.index_dir, index.IndexConfig(c.chunk_chars, c.chunk_overlap, c.max_chunks_per_file, c.max_file_size_mb, embed=self.embed), force)
                 self.state = {"running": False, "last": counters, "error": None}
             except Exception as e:
                 self.state = {"running": False, "last": None, "error": str(e)}

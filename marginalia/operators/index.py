@@ -1,7 +1,7 @@
 """Incremental index: what changed since the last manifest, and the next generation of manifest and chunks.
 
-A generation is a folder of two tables, written whole before a pointer file names it; a reader sees the old or the new one, never a
-mixture, and a failed pass leaves the old one in place. There is one writer at a time.
+Chunks lie in buckets of notes; a pass rewrites the buckets that have a changed note and refers to the others where they are. All is
+written before a pointer file names it: a failed pass leaves the old tables in place. There is one writer at a time.
 """
 
 from __future__ import annotations
@@ -54,6 +54,7 @@ class IndexConfig:
     chunk_overlap: int = OVERLAP
     max_chunks_per_file: int = MOST_CHUNKS
     max_file_size_mb: float = 8.0
+    buckets: int = 64  # of a new index
     embed: object = None  # DataFrame with text -> the same with embedding
     extra: dict = field(default_factory=dict)
 
@@ -66,13 +67,18 @@ def index_once(spark: SparkSession, notes: DataFrame, path: str, config: IndexCo
     config = config or IndexConfig()
     old = M.current(spark, path)
     force = force or (old is not None and old.version != SCHEMA_VERSION)
-    manifest = old.files if old else M.empty_files(spark)
-    changes = diff(notes, manifest, force, config.max_file_size_mb)
-    todo = notes.join(changes.where(F.col("status").isin("new", "changed")).select("rel_path"), "rel_path", "left_semi")
-    fresh = enrich(chunk_notes(todo, config.chunk_chars, config.chunk_overlap, config.max_chunks_per_file), todo)
-    if config.embed is not None:
-        fresh = config.embed(fresh)
-    chunks = next_chunks(old.chunks, fresh, changes) if old else fresh
+    count = old.count if old else config.buckets
+    changes = diff(notes, old.files if old else M.empty_files(spark), force, config.max_file_size_mb).cache()
     counters = stats(changes).first().asDict()
-    M.commit(spark, path, next_manifest(changes), chunks, SCHEMA_VERSION)
+    moved = changes.where(F.col("status") != "unchanged")
+    # At most one number for each bucket.
+    touched = sorted(r[0] for r in moved.select(M.bucket_of(count)).distinct().collect())
+    if touched or old is None:
+        todo = notes.join(moved.where(F.col("status").isin("new", "changed")).select("rel_path"), "rel_path", "left_semi")
+        fresh = enrich(chunk_notes(todo, config.chunk_chars, config.chunk_overlap, config.max_chunks_per_file), todo)
+        if config.embed is not None:
+            fresh = config.embed(fresh)
+        kept = M.read_buckets(spark, path, sorted(old.buckets[k] for k in touched if k in old.buckets)) if old else None
+        M.commit(spark, path, next_manifest(changes), fresh if kept is None else next_chunks(kept, fresh, changes), touched, SCHEMA_VERSION, count)
+    changes.unpersist()
     return counters

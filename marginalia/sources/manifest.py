@@ -1,4 +1,8 @@
-"""The index on disk: generations of a files table and a chunks table, and a pointer to the current one; keyed changes of tables."""
+"""The index on disk: a files table, chunks in buckets of notes, and a pointer to the current tables; keyed changes of tables.
+
+A commit writes the files table and the buckets that have changed, and points to these and to the old folders of all other buckets. So a pass over
+a large index costs the buckets that its changes touch, and readers see the old or the new tables, never a mixture.
+"""
 
 from __future__ import annotations
 
@@ -15,9 +19,10 @@ FILES = "rel_path string, mtime double, size bigint"
 @dataclass
 class Generation:
     files: DataFrame
-    chunks: DataFrame
+    chunks: DataFrame | None  # None: no chunk at all
     version: str
-    path: str
+    buckets: dict[int, str]  # bucket: its folder, relative to the index
+    count: int
 
 
 def empty_files(spark: SparkSession) -> DataFrame:
@@ -31,24 +36,38 @@ def _file(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def bucket_of(count: int):
+    """The bucket of a note."""
+    return F.pmod(F.xxhash64("rel_path"), F.lit(count)).cast("int")
+
+
+def read_buckets(spark: SparkSession, path: str, folders) -> DataFrame | None:
+    return spark.read.parquet(*[f"{path}/{f}" for f in folders]) if folders else None
+
+
 def current(spark: SparkSession, path: str) -> Generation | None:
     fs, p = _file(spark, f"{path}/current.json")
     if not fs.exists(p):
         return None
     meta = json.loads(spark.read.text(f"{path}/current.json", wholetext=True).first()[0])
-    at = f"{path}/{meta['generation']}"
-    return Generation(spark.read.parquet(f"{at}/files"), spark.read.parquet(f"{at}/chunks"), meta["version"], at)
+    buckets = {int(k): v for k, v in meta["buckets"].items()}
+    return Generation(spark.read.parquet(f"{path}/{meta['files']}"), read_buckets(spark, path, sorted(buckets.values())), meta["version"], buckets, meta["count"])
 
 
-def commit(spark: SparkSession, path: str, files: DataFrame, chunks: DataFrame, version: str) -> None:
-    """Write a generation, then point to it by renaming a finished file over the pointer."""
+def commit(spark: SparkSession, path: str, files: DataFrame, chunks: DataFrame, touched: list[int], version: str, count: int) -> None:
+    """chunks: all rows of the touched buckets. Write them and the files, then point to them by renaming a finished file over the pointer."""
+    old = current(spark, path)
     name = f"gen-{uuid.uuid4().hex}"
-    chunks.write.parquet(f"{path}/{name}/chunks")
+    chunks.withColumn("bucket", bucket_of(count)).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{name}/chunks")
     files.write.parquet(f"{path}/{name}/files")
     fs, p = _file(spark, f"{path}/current.json")
+    buckets = {k: v for k, v in (old.buckets if old and old.count == count else {}).items() if k not in set(touched)}
+    for k in touched:  # a bucket whose notes are all gone has no folder
+        if fs.exists(_file(spark, f"{path}/{name}/chunks/bucket={k}")[1]):
+            buckets[k] = f"{name}/chunks/bucket={k}"
     _, fresh = _file(spark, f"{path}/{name}/current.json")
     out = fs.create(fresh, True)
-    out.write(bytearray(json.dumps({"generation": name, "version": version}).encode()))
+    out.write(bytearray(json.dumps({"files": f"{name}/files", "buckets": buckets, "version": version, "count": count}).encode()))
     out.close()
     if fs.exists(p):
         fs.delete(p, False)

@@ -110,7 +110,12 @@ def test_index_lifecycle(spark, tmp_path):
     assert got == {"scanned": 2, "updated": 2, "deleted": 1, "errors": 0}
     now = manifest.current(spark, at)
     assert rows(now.chunks, "rel_path", "text") == [("a.md", "# A\nz"), ("c.md", "c")] and rows(now.files, "rel_path", "mtime") == [("a.md", 2.0), ("c.md", 1.0)]
-    assert index.index_once(spark, make(("a.md", 2.0, "# A\nz"), ("c.md", 1.0, "c")), at, force=True)["updated"] == 2
+    before = now.buckets
+    assert index.index_once(spark, make(("a.md", 2.0, "# A\nz"), ("c.md", 5.0, "cc")), at)["updated"] == 1
+    now = manifest.current(spark, at)
+    assert len({*now.buckets.values()} & {*before.values()}) == 1  # the bucket of a.md is where it was
+    assert rows(now.chunks, "rel_path", "text") == [("a.md", "# A\nz"), ("c.md", "cc")]
+    assert index.index_once(spark, make(("a.md", 2.0, "# A\nz"), ("c.md", 5.0, "cc")), at, force=True)["updated"] == 2
     big = index.index_once(spark, make(("a.md", 2.0, "# A\nz"), ("c.md", 3.0, "c" * 100)), at, index.IndexConfig(max_file_size_mb=0.00001))
     assert big["errors"] == 1
 
