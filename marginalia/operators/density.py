@@ -9,6 +9,7 @@ from marginalia.functions import text as T
 from marginalia.functions import words
 from marginalia.functions.columns import let
 
+#: Names of what is counted, as they stand in reports.
 LABELS = {"ip": "IPv4 address", "email": "email address", "url": "URL", "api_key": "API-key-like string", "credit_card": "credit-card-like number", "sql": "SQL statement"}
 
 

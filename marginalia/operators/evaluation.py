@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 
+#: The note of a mined case, and the query types.
 NOTE = "Generated from search log. Review expected path/query type before promoting to eval set."
 TYPES = ("filename_focus", "snippet_focus", "mixed")
 

@@ -33,6 +33,7 @@ def allowed_citations(packed: DataFrame) -> DataFrame:
     return packed.groupBy("query_id").agg(F.sort_array(F.collect_set(citation(F.col("rel_path"), F.col("start_line"), F.col("end_line")))).alias("allowed"))
 
 
+#: Fixed value: the answer when the sources hold none. The reasons of failure below are fixed texts too.
 REFUSAL = "I can't find that in your notes."
 
 
