@@ -41,7 +41,7 @@ def test_filename_match(spark, query, path, score):
 
 def test_line_scores(spark):
     q, d = S.query_features(F.col("q")), S.text_features(F.col("t"))
-    row = spark.createDataFrame([("where did I say switch to springall.xyz", "- switch to springall.xyz")], "q string, t string").select(
+    row = spark.createDataFrame([("where did I say switch to someplace.xyz", "- switch to someplace.xyz")], "q string, t string").select(
         S.phrase_match(q, d["norm"]), S.text_match(q["phrase"], q["toks"], d["lower"], d["tokens"]), S.keyword(q["toks"], d["tokens"]), S.ordered_match(q["toks"], d["norm"]),
         S.literal_match(q["terms"], d["lower"]), F.round(S.line_quality(F.col("t"), d["tokens"], d["norm"]), 6),
     ).first()
