@@ -31,6 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import giving_way
+
 BLOCK_BYTES = 32 << 20
 #: Words a call of the library's batch encoder.
 BATCH = 20_000
@@ -131,7 +133,11 @@ def _text(value: pa.Scalar) -> str:
 
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", block_bytes: int = BLOCK_BYTES, digests: bool = False) -> DataFrame:
-    """All columns of docs but text; with ids (little-endian unsigned 32-bit) and decoded (text), or, if digests, n_tokens, ids_sha256 and decoded_sha256."""
+    """All columns of docs but text; with ids (little-endian unsigned 32-bit) and decoded (text), or, if digests, n_tokens, ids_sha256 and decoded_sha256.
+
+    Columns of docs with the names of results give way to them.
+    """
+    docs = giving_way(docs, "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     keep = [c for c in docs.columns if c != "text"]

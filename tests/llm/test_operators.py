@@ -193,7 +193,8 @@ def test_bpe(edge, empty, docs):
     t = Tokenizer.from_file(PATH)
     want = sorted(((d, t.encode(x or "", add_special_tokens=False).ids) for d, x in EDGE), key=repr)
     got = bpe.encode_documents(edge.select("doc_id", "text", F.lit("x").alias("ids"), F.lit(1).alias("block")), PATH, block_bytes=2000)
-    rows = got.toDF("doc_id", "own", "block", "n_tokens", "ids", "decoded").collect()
+    assert got.columns == ["doc_id", "block", "n_tokens", "ids", "decoded"]
+    rows = got.collect()
     assert sorted(((r.doc_id, np.frombuffer(bytes(r.ids), dtype="<u4").tolist()) for r in rows), key=repr) == want
     assert sorted((r.decoded for r in rows)) == sorted(x or "" for _, x in EDGE)
     assert bpe.encode_documents(empty.select("doc_id", "text"), PATH, digests=True).isEmpty()
