@@ -110,13 +110,16 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     count = ranked.count()
     before = ranked.select(F.expr(f"pmod(row_no + 1, {max(count, 1)})").alias("row_no"), F.struct(F.col("doc_id").alias("id"), F.col("n").alias("n")).alias("pred"))
     to = ranked.join(before, "row_no").select(F.col("doc_id").alias("_id"), "h", F.col("pred")["id"].alias("pred_id"), quarter(F.col("pred")["n"]).alias("send"))
-    # key: ids as strings, so that a null id joins too
-    dealt = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"), "doc_id", "text", fingerprint(F.col("text")).alias("fp"))
+    # Ids as strings, so that a null id joins too. Both uses of the texts need the same three columns, so they are dealt out (and
+    # fingerprinted) once and the exchange is used twice.
+    dealt = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"), "text", fingerprint(F.col("text")).alias("fp"))
     to = to.select(F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_key"), "h", F.coalesce(F.col("pred_id").cast("string"), F.lit("")).alias("_to"), "send")
-    sent = dealt.join(to, "_key").where(F.xxhash64("text") == F.col("h")).select(F.col("_to").alias("_key"), F.expr("left(text, send)").alias("next_part"), F.col("fp").alias("next_fp"))
+    # Not an equality of the two sides: the join must stay one on _key alone, or its exchange would be another.
+    sent = dealt.join(to, "_key").where(F.xxhash64("text").bitwiseXOR(F.col("h")) == 0).select(F.col("_to").alias("_key"), F.expr("left(text, send)").alias("next_part"), F.col("fp").alias("next_fp"))
     sent = sent.groupBy("_key").agg(F.first("next_part").alias("next_part"), F.first("next_fp").alias("next_fp"))
     out = dealt.join(sent, "_key").withColumn("n", F.length("text"))
-    return out.select("doc_id", "text", "n", "fp", F.expr("left(next_part, cast(floor(n / 4) as int))").alias("next_part"), "next_fp")
+    own_id = F.nullif(F.col("_key"), F.lit("")).cast(docs.schema["doc_id"].dataType)
+    return out.select(own_id.alias("doc_id"), "text", "n", "fp", F.expr("left(next_part, cast(floor(n / 4) as int))").alias("next_part"), "next_fp")
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
