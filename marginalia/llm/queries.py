@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, fingerprints, html_text, language_id, mixing, quality, sharding, simhash, training_order, url_filters
-from marginalia.llm.common import shared_path
+from marginalia.llm.common import materialize, shared_path
 
 #: The production tokenizer: a file of the installed package of public vocabularies.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,7 +58,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    docs = table(spark, sf_dir, "documents")
+    # Texts are read once, to count their tokens; all else is done on the narrow table.
+    narrow = materialize(docs.select("doc_id", "lang", "source", mixing.tokens_of(F.col("text")).alias("tokens")), "counted")
+    mixed = mixing.mix(narrow, tokens=F.col("tokens"))
     return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
