@@ -31,7 +31,7 @@ from marginalia.llm import feistel
 from marginalia.llm.common import with_let
 
 STRIDE, PER_SHARD, KEY = 2048, 2048, 77
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Ids of the byte vocabulary that follow its 256 bytes.
 END, PAD = 256, 257
 ID_BYTES = 2
