@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm import golay
+from marginalia.llm import golay, shingle_join
 from marginalia.llm.common import giving_way, materialize, set_apart
 from marginalia.llm.components import components
 
@@ -226,17 +226,20 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, order: str = "doc_id"
     return own.join(classes, "fp").select(*own.columns, "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 2, distinct: bool = True, reach: int = 6) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of docs (doc_id, text and any others) without near duplicates: of each component the row of least id stays.
 
-    By default fingerprints are taken over distinct word pairs: copies of which four in five five-word shingles agree differ in about one
-    word in fifty, which is five bits of these fingerprints but ten of those over five-word shingles, out of reach of the keys. Over
-    single words it would be four, but texts that share only the common words of a language come too near each other then.
+    Linked are all texts whose distinct five-word shingles have a Jaccard similarity of 0.8 or more (shingle_join.py); no fingerprint decides.
     """
     names, docs = docs.columns, set_apart(docs, "doc_id", "text")
     keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
     order = F.struct("doc_id", "_row")
-    found = near_duplicates(keyed.select("text", order.alias("_order")), width, "_order", distinct, reach)
-    heads = found.select(F.col("component_id")["_row"].alias("_row")).distinct()
+    own = materialize(shingle_join.with_set(keyed.select("text", order.alias("_order")), width), "sid")
+    by_set = materialize(own.groupBy("sid").agg(F.min("_order").alias("_least")), "sets")
+    first = by_set.select("sid", F.col("_least")["_row"].alias("_row"))
+    nodes = materialize(keyed.select("_row", "text").join(first, "_row").dropDuplicates(["_row"]).select("text", "sid"), "nodes")
+    roots = components(shingle_join.links(nodes, width))
+    named = by_set.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    heads = named.groupBy("root").agg(F.min("_least").alias("_least")).select(F.col("_least")["_row"].alias("_row"))
     # Repeated rows have one _row; the join has dealt rows out by it already.
     return keyed.join(heads, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row").toDF(*names)

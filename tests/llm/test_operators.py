@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marginalia.llm import bpe, fingerprints, html_text, language_id, mixing, quality, sharding, simhash, training_order, url_filters
+from marginalia.llm import bpe, fingerprints, html_text, language_id, mixing, quality, sharding, shingle_join, simhash, training_order, url_filters
 from marginalia.llm.components import components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -151,6 +151,45 @@ def test_keep_one(docs):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5] and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_keep_one_links_what_reaches_the_similarity(docs):
+    rng = np.random.default_rng(12)
+    texts = []
+    for n in (30, 120, 300):
+        for _ in range(4):
+            base = [f"w{x}" for x in rng.integers(0, 4000, n)]
+            for edits in (0, 1, 2, n // 60, n // 45, n // 30):
+                w = list(base)
+                for at in rng.integers(0, n, edits):
+                    w[at] = f"e{rng.integers(0, 10**6)}"
+                texts.append(" ".join(w))
+    texts += ["a b c", "A  b c", "a b", "", None]
+    sets = [frozenset(simhash.shingle_hashes(t or "", 5, True)) for t in texts]
+    up = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b) > 0:
+                x, y = up[i], up[j]
+                up = [min(x, y) if u in (x, y) else u for u in up]
+    kept = simhash.keep_one(docs(list(enumerate(texts))))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(up))
+
+
+def test_shingle_join_of_many_blocks(spark):
+    rng = np.random.default_rng(13)
+    base = [f"w{x}" for x in range(120)]
+    texts = sorted({" ".join("e%d" % rng.integers(0, 99) if rng.random() < 0.02 else w for w in base) for _ in range(150)})
+    rows = [(t, shingle_join.set_id(shingle_join._hashes(t, 5))) for t in texts]
+    nodes = spark.createDataFrame(rows, "text string, sid long")
+    hashes = [shingle_join._hashes(t, 5) for t in texts]
+    want = components(spark.createDataFrame([(rows[i][1], rows[j][1]) for i, j in shingle_join.similar(hashes)], "a long, b long"))
+    sets = [set(h.tolist()) for h in hashes]
+    close = {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert 100 < len(close) < len(sets) * (len(sets) - 1) / 2
+    own = components(spark.createDataFrame([(rows[i][1], rows[j][1]) for i, j in close], "a long, b long"))
+    got = components(shingle_join.links(nodes, block=1024))
+    assert sorted(got.collect()) == sorted(own.collect()) == sorted(want.collect())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (200, 200), (102, 100)] + [(300, i) for i in range(301, 360)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
