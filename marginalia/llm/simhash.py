@@ -132,6 +132,16 @@ def _near_words(fps: DataFrame) -> DataFrame:
     return fps.mapInArrow(run, "word long, fp long")
 
 
+def _large_runs(filed: DataFrame, crowded: DataFrame, reach: int) -> DataFrame:
+    """a, b: links of the buckets that hold a crowded fingerprint, each cut into blocks of BLOCK by hash; every pair of blocks is a task of its own."""
+    held = filed.join(crowded, "fp").select("key", "fp").distinct()
+    sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
+    own = held.join(sizes, "key").withColumn("_own", F.pmod(F.xxhash64("fp"), F.col("_blocks")).cast("int"))
+    dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("key"), "fp")
+    return _runs(dealt, 2**62, reach).select("a", "b")
+
+
 class _Forest:
     """Union-find over places 0..n-1."""
 
@@ -203,13 +213,16 @@ def _runs(filed: DataFrame, most: int, reach: int) -> DataFrame:
 def links(fps: DataFrame, large: int = LARGE, reach: int = REACH) -> DataFrame:
     """fps: distinct fingerprints. a, b: pairs whose components are those of all pairs within REACH bits.
 
-    With a larger reach, pairs of more differing bits are linked too where they share a key: three in four of five bits, fewer beyond.
+    With a larger reach, pairs of more differing bits are linked too where they share a key, in buckets of any size: three in four of five
+    bits, fewer beyond.
     """
     found = materialize(_runs(_filed(fps), large, reach), "links")
     out = found.where("not large").select("a", "b").distinct()
     crowded = found.where("large").select(F.col("a").alias("fp")).distinct()
     if crowded.isEmpty():
         return out
+    if reach != REACH:
+        return out.union(_large_runs(_filed(fps), crowded, reach).distinct())
     near = _near_words(crowded)
     stars = near.groupBy("word").agg(F.min("fp").alias("b"))
     return out.union(near.join(stars, "word").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct())

@@ -144,6 +144,14 @@ def test_large_buckets_lose_no_link(spark):
     assert parts[0] == parts[1]
 
 
+def test_large_buckets_honour_a_larger_reach(spark):
+    rng = np.random.default_rng(6)
+    near = np.uint64(0x123456789ABCDEF0) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (300, 6)).astype(np.uint64), axis=1)
+    df = spark.createDataFrame([(int(x),) for x in np.unique(near).view(np.int64)], "fp long")
+    parts = [Counter(r.root for r in components(simhash.links(df, large=n, reach=6)).collect()) for n in (3, 100_000)]
+    assert parts[0] == parts[1]
+
+
 def test_keep_one(docs):
     text = " ".join(f"v{i}" for i in range(100))
     rows = [(1, text), (2, text), (2, text), (3, text.replace("v50", "other")), (4, "something else entirely, of other words"), (5, None), (6, "")]
