@@ -34,7 +34,7 @@ STATS = ("x_len", "x_sym", "x_line", "x_rep")
 #: Least standard deviation of each transformed statistic.
 FLOOR = (0.06, 0.25, 0.5, 0.08)
 PRIOR_WORDS, PRIOR_LEN = 50, 5.0
-MIN_GROUP, HALF, C_STEPS, TAIL, BIN, BROADCAST_GROUPS = 60, 0.75, 4, 1e-6, 200, 20_000
+MIN_GROUP, HALF, C_STEPS, TAIL, BIN, BROADCAST_GROUPS = 60, 0.5, 4, 1e-6, 200, 20_000
 
 
 def words(text: Column) -> Column:

@@ -282,6 +282,16 @@ def test_outliers(docs):
     assert sorted(r.doc_id for r in left.collect()) == sorted(d[0] for d in good + lone) and left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@pytest.mark.parametrize("share", [0.3, 0.4, 0.45])
+def test_outliers_in_a_group_full_of_junk(docs, share):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9)))
+    good = [(i, " ".join(word() for _ in range(80))) for i in range(200)]
+    bad = [(1000 + i, " ".join(word() + "%%%" * rng.integers(1, 3) for _ in range(80))) for i in range(int(200 * share / (1 - share)))]
+    kept = {r.doc_id: r.kept for r in quality.judge(docs(good + bad)).collect()}
+    assert all(kept[d] for d, _ in good) and not any(kept[d] for d, _ in bad)
+
+
 def test_chi_square():
     assert quality.chi2_quantile(0.95, 4) == pytest.approx(9.4877, abs=1e-3) and quality.chi2_cdf(12.5916, 6) == pytest.approx(0.95, abs=1e-4)
 
