@@ -1,69 +1,59 @@
 """BPE encoding and decoding by a distinct-word table.
 
-Split. A text is cut into words at places where the byte-level pre-tokenizer always cuts: before a space that stands between two
-non-space characters, and on both sides of a line end that does. A word thus covers one or more whole pre-tokens and is
-encoded the same alone as in its text. (Where white space runs together nothing is cut, which is always right.)
+Split. A text is cut into words before each blank or line end that follows a character which is no white space. There the byte-level
+pre-tokenizer always cuts, so a word (white space and what follows it) covers whole pre-tokens and is encoded the same alone as in its text.
+One pass over the texts writes a table: a row for each document, with the places of its words in the list of its block's distinct words, and
+a row (block, place, word) for each distinct word of a block. A block is up to BLOCK_BYTES of texts that one task reads one after the other.
 
-Table. Texts are dealt out into blocks of about BLOCK_BYTES by a hash of id and text. Each block lists its distinct words in a
-fixed order, dealt out by word into as many shares; what crosses the network is one compressed list for each block and share.
-A share of the table gathers its lists, encodes each distinct word once, and sends each block the ids of its own list, in list order.
+Table. The word rows are dealt out by word and sorted, so each distinct word of all documents is met in one run and encoded once. What goes
+back is packed by block: places and ids.
 
-Join. Each block meets the id lists of its own words, so the ids come back by position in the lists, and then by position in the texts.
-Decoding goes from ids to pieces by the vocabulary's table (its size is fixed by the tokenizer) and concatenates the bytes.
+Join. Documents meet the words of their block; ids come back by place in the block's list, and by position in the text. Decoding takes the ids to
+their pieces through the vocabulary's table, whose size the tokenizer fixes, and concatenates the bytes. Texts themselves are never dealt out.
 
-Memory is bounded by the block: a block's texts and words, or a share's lists, which hold about as many words as a block has.
+Rows grow with the distinct words of the blocks, thus at most with the words of the input; the commonest word has one row a block. A task holds a
+block, or PACK_WORDS encoded words, or one larger document.
 
-Edge cases: a null text counts as empty and has no ids; equal texts fall into blocks by id; a text larger than a block is a block's
-whole content; null and repeated ids are rows like any other; the tokenizer's special token is found in texts as its library does.
+Edge cases: a null text counts as empty and has no ids; a text larger than a block is a block's whole content; null and repeated ids and equal
+texts are rows like any other; the tokenizer's special token is found in texts as its library does; an empty table gives no rows. Columns of the input
+with the names of results give way to them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import giving_way
+from marginalia.llm.common import giving_way, materialize
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES, PACK_WORDS = 24 << 20, 100_000
+#: Bytes of text for each partition of the word table, and the most partitions.
+TABLE_BYTES, MOST_PARTS = 16 << 20, 20_000
 #: Words a call of the library's batch encoder.
 BATCH = 20_000
 
-_SINGLE = re.compile(r"(?<=\S)(?= \S)")
-#: White space of Python's \s other than the blank and the line end (fixed values); it includes all that the tokenizer takes for white space.
+_WORDS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: White space of Python's \s other than the blank and the line end, and what some tables count to it (fixed values); it includes all that the tokenizer takes for white space.
 _OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
-_WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
-def _plain(text: str) -> bool:
-    """Whether all white space is single blanks and line ends between other characters. Searches of fixed strings are much faster than a pattern."""
-    if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-        return False
-    return not any(c in text for c in _OTHER_SPACE) and (text.isascii() or not any(c in text for c in _WIDE_SPACE))
+_WIDE_SPACE = "\x85\xa0 ᠎               　"
+_SURE = re.compile(rf"(?<=[^ \n{_OTHER_SPACE}{_WIDE_SPACE}])(?=[ \n])")
 
 
 def split_words(text: str) -> list[str]:
     """Words whose concatenation is the text."""
-    if not text:
-        return []
-    if not _plain(text):
-        return _SINGLE.split(text)
-    out: list[str] = []
-    for k, line in enumerate(text.split("\n")):
-        if k:
-            out.append("\n")
-        first, *rest = line.split(" ")
-        out.append(first)
-        out += [" " + w for w in rest]
-    return out
+    if any(c in text for c in _OTHER_SPACE) or not text.isascii() and any(c in text for c in _WIDE_SPACE):
+        return _SURE.split(text)
+    return _WORDS.findall(text)
 
 
 @cache
@@ -91,99 +81,177 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
-def _pack(words: list[str]) -> bytes:
-    """A compressed list of words; words have no NUL but as themselves, so lengths are kept beside the text."""
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    sizes = np.fromiter(map(len, raw), dtype="<u4", count=len(raw)).tobytes()
-    return zstandard.ZstdCompressor(level=9).compress(len(raw).to_bytes(4, "little") + sizes + b"".join(raw))
-
-
-def _unpack(data: bytes) -> list[str]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int.from_bytes(raw[:4], "little")
-    ends = np.cumsum(np.frombuffer(raw, dtype="<u4", count=n, offset=4), dtype=np.int64) + 4 + 4 * n
-    text, at, out = raw, 4 + 4 * n, []
-    for e in ends.tolist():
-        out.append(text[at:e].decode("utf-8", "surrogatepass"))
-        at = e
-    return out
+#: The pattern of the byte-level pre-tokenizer (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _shares(texts, n: int) -> dict[int, list[str]]:
-    """The distinct words of texts, sorted, by share."""
-    seen: set[str] = set()
-    for t in texts:
-        seen.update(split_words(t))
-    out: dict[int, list[str]] = {}
-    for w in sorted(seen):
-        out.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % n, []).append(w)
-    return out
+@cache
+def _ranked(path: str):
+    """An encoder of plain text by ranks that gives the tokenizer's ids three times as fast; None if the tokenizer is of another kind.
 
+    It is of this kind if it is a byte-level BPE without normalizer or added blank whose ids are the bytes and then the merges in order.
+    """
+    import tiktoken
 
-def _encode(words: list[str], path: str) -> list[bytes]:
     t = _tokenizer(path)
-    out = []
-    for at in range(0, len(words), BATCH):
-        out += [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch(words[at : at + BATCH], add_special_tokens=False)]
-    return out
-
-
-def _text(value: pa.Scalar) -> str:
-    return value.as_py() or ""
-
-
-def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", block_bytes: int = BLOCK_BYTES, digests: bool = False) -> DataFrame:
-    """All columns of docs but text; with ids (little-endian unsigned 32-bit) and decoded (text), or, if digests, n_tokens, ids_sha256 and decoded_sha256.
-
-    Columns of docs with the names of results give way to them.
-    """
+    said = json.loads(t.to_str())
+    kind, model = said["pre_tokenizer"] or {}, said["model"]
+    if said["normalizer"] or kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex", True) or model.get("type") != "BPE" or model.get("ignore_merges"):
+        return None
+    merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+    if any(model["vocab"].get(m.replace(" ", "", 1)) != 256 + i for i, m in enumerate(merges)) or len(model["vocab"]) not in (256 + len(merges), 257 + len(merges)):
+        return None
+    table = pieces(path)
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={table[i]: i for i in range(256 + len(merges))}, special_tokens={})
+
+
+def decode(ids: np.ndarray, path: str) -> str:
+    table = pieces(path)
+    return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
+
+
+def _encode(words: list[str], path: str) -> list[list[int]]:
+    """The ids of each word; words that hold an added token go to the tokenizer's library in any case."""
+    t, fast = _tokenizer(path), _ranked(path)
+    if fast is None:
+        return [e.ids for at in range(0, len(words), BATCH) for e in t.encode_batch(words[at : at + BATCH], add_special_tokens=False)]
+    added = [x.content for x in t.get_added_tokens_decoder().values()]
+    plain = fast.encode_ordinary
+    return [t.encode(w, add_special_tokens=False).ids if any(a in w for a in added) else plain(w) for w in words]
+
+
+def _pack(values) -> bytes:
+    """Unsigned numbers by planes of bytes, compressed: high bytes are alike and cost next to nothing."""
+    planes = np.ascontiguousarray(np.asarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+class _Places(dict):
+    """Gives each new word the next place."""
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        return place
+
+
+def _split(docs: DataFrame, names: list[str], block_bytes: int) -> DataFrame:
+    """docs: text and names. block, place, word, places and names: a row for each document and one for each distinct word of each block."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+
+    def run(batches):
+        part, number, words, size = TaskContext.get().partitionId(), 0, _Places(), 0
+
+        def ended(empty: pa.Table):
+            """The word rows of a block; the documents' columns are null."""
+            block = pa.array(np.full(len(words), part << 32 | number, dtype=np.int64))
+            own = [block, pa.array(np.arange(len(words), dtype=np.int32)), pa.array(list(words), pa.string()), pa.nulls(len(words), pa.binary())]
+            return pa.Table.from_arrays([*own, *[pa.nulls(len(words), empty.schema.field(n).type) for n in names]], ["block", "place", "word", "places", *names])
+
+        kept = None
+        for batch in batches:
+            kept = pa.Table.from_batches([batch]).select(names)
+            texts, first = batch.column("text"), 0
+            rows: list[bytes] = []
+
+            def documents(last: int) -> pa.Table:
+                n = last - first
+                own = [pa.array(np.full(n, part << 32 | number, dtype=np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.array(rows, pa.binary())]
+                table = pa.Table.from_arrays(own, ["block", "place", "word", "places"])
+                for name, column in zip(names, kept.slice(first, n).columns):
+                    table = table.append_column(name, column)
+                return table
+
+            for i in range(len(texts)):
+                text = texts[i].as_py() or ""
+                own = split_words(text)
+                rows.append(_pack(np.fromiter(map(words.__getitem__, own), dtype="<u4", count=len(own))))
+                size += len(text)
+                if size >= block_bytes:
+                    yield from documents(i + 1).to_batches()
+                    yield from ended(kept).to_batches(max_chunksize=50_000)
+                    rows, first, words, size, number = [], i + 1, _Places(), 0, number + 1
+            if first < len(texts):
+                yield from documents(len(texts)).to_batches()
+        if words:
+            yield from ended(kept).to_batches(max_chunksize=50_000)
+
+    schema = ", ".join(["block long, place int, word string, places binary", *[f"{n} {kinds[n]}" for n in names]])
+    return docs.mapInArrow(run, schema)
+
+
+def _encoded(words: DataFrame, path: str, parts: int) -> DataFrame:
+    """words: block, place, word. block, places, sizes, ids (packed): the ids of the words, each distinct word encoded once."""
+    def run(batches):
+        held: dict[str, list[tuple[int, int]]] = {}
+
+        def ended():
+            blocks: dict[int, tuple[list, list, list]] = {}
+            for (_, at), ids in zip(held.items(), _encode(list(held), path)):
+                for block, place in at:
+                    places, sizes, flat = blocks.setdefault(block, ([], [], []))
+                    places.append(place), sizes.append(len(ids)), flat.extend(ids)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(blocks), pa.int64()), *[pa.array([_pack(b[i]) for b in blocks.values()], pa.binary()) for i in range(3)]], ["block", "places", "sizes", "ids"]
+            )
+
+        n = 0
+        for batch in batches:
+            for block, place, word in zip(batch.column("block").to_pylist(), batch.column("place").to_pylist(), batch.column("word").to_pylist()):
+                at = held.get(word)
+                if at is None:
+                    if n >= PACK_WORDS:
+                        yield ended()
+                        held, n = {}, 0
+                    at = held[word] = []
+                at.append((block, place))
+                n += 1
+        yield ended()
+
+    return words.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(run, "block long, places binary, sizes binary, ids binary")
+
+
+def _gathered(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The runs flat[s : s + n] for each start and size, end to end."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(total)]
+
+
+def encode_documents(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, digests: bool = False, decoded: bool = True) -> DataFrame:
+    """All columns of docs but text; with n_tokens, ids (little-endian unsigned 32-bit) and, if decoded, decoded (text); or, if digests, with n_tokens, ids_sha256 and decoded_sha256."""
     docs = giving_way(docs, "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
     keep = [c for c in docs.columns if c != "text"]
-    names = [f"k{i}" for i in range(len(keep))]
-    dealt = docs.select(F.pmod(F.xxhash64(F.col(key).cast("string"), "text"), F.lit(blocks)).cast("int").alias("block"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names)])
-
-    def list_words(table: pa.Table) -> pa.Table:
-        parts = _shares(map(_text, table["text"]), blocks)
-        return pa.table({"share": pa.array(list(parts), pa.int32()), "block": pa.array([table["block"][0].as_py()] * len(parts), pa.int32()), "words": pa.array([_pack(w) for w in parts.values()], pa.binary())})
-
-    def encode_words(table: pa.Table) -> pa.Table:
-        lists = [_unpack(x.as_py()) for x in table["words"]]
-        distinct = sorted(set().union(*lists))
-        ids = dict(zip(distinct, _encode(distinct, path)))
-        out = []
-        for words in lists:
-            each = [ids[w] for w in words]
-            sizes = np.fromiter(map(len, each), dtype="<u4", count=len(each)).tobytes()
-            out.append(zstandard.ZstdCompressor(level=9).compress(sizes + b"".join(each)))
-        return pa.table({"block": table["block"], "share": table["share"], "ids": pa.array(out, pa.binary())})
+    names, decoded = [f"k{i}" for i in range(len(keep))], decoded or digests
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = min(MOST_PARTS, max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // TABLE_BYTES)))
+    split = materialize(_split(docs.select("text", *[F.col(c).alias(n) for c, n in zip(keep, names)]), names, block_bytes), "words", "zstd")
+    coded = _encoded(split.where("word is not null").select("block", "place", "word"), path, parts)
 
     def join_ids(texts: pa.Table, lists: pa.Table) -> pa.Table:
-        parts, ids = _shares(map(_text, texts["text"]), blocks), {}
-        for share, data in zip(lists["share"].to_pylist(), lists["ids"]):
-            words = parts[share]
-            raw = zstandard.ZstdDecompressor().decompress(data.as_py())
-            at = 4 * len(words)
-            for w, size in zip(words, np.frombuffer(raw, dtype="<u4", count=len(words)).tolist()):
-                ids[w] = raw[at : at + size]
-                at += size
-        table, counts, codes, decoded = pieces(path), [], [], []
-        for t in texts["text"]:
-            coded = b"".join([ids[w] for w in split_words(_text(t))])
-            text = b"".join([table[i] for i in np.frombuffer(coded, dtype="<u4").tolist()]).decode("utf-8", "replace")
-            counts.append(len(coded) // 4)
-            codes.append(hashlib.sha256(coded).hexdigest() if digests else coded)
-            decoded.append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
+        places, sizes, flat = (np.concatenate([_unpack(x.as_py()) for x in lists[c]] or [np.empty(0, "<u4")]) for c in ("places", "sizes", "ids"))
+        by_place, starts, size = np.argsort(places), np.cumsum(sizes, dtype=np.int64) - sizes, sizes.astype(np.int64)
+        starts, size = starts[by_place], size[by_place]
+        counts, codes, said = [], [], []
+        for row in texts["places"]:
+            at = _unpack(row.as_py())
+            ids = _gathered(starts[at], size[at], flat).astype("<u4")
+            counts.append(len(ids))
+            codes.append(hashlib.sha256(ids.tobytes()).hexdigest() if digests else ids.tobytes())
+            if decoded:
+                text = decode(ids, path)
+                said.append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
         out = texts.select(names).append_column("n_tokens", pa.array(counts, pa.int64()))
         out = out.append_column("ids", pa.array(codes, pa.string() if digests else pa.binary()))
-        return out.append_column("decoded", pa.array(decoded, pa.string()))
-
-    fields = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)]).schema
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "n_tokens long", "ids string" if digests else "ids binary", "decoded string"])
-    # The same columns on both sides, so that the texts are dealt out once and the exchange is used twice.
-    lists = dealt.groupBy("block").applyInArrow(list_words, "share int, block int, words binary")
-    coded = lists.groupBy("share").applyInArrow(encode_words, "block int, share int, ids binary")
-    out = dealt.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_ids, schema)
+        return out.append_column("decoded", pa.array(said, pa.string())) if decoded else out
+
+    fields = split.select(*names).schema
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "n_tokens long", "ids string" if digests else "ids binary", *["decoded string"] * decoded])
+    rows = split.where("places is not null").select("block", "places", *names)
+    out = rows.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_ids, schema)
     ends = {"ids": "ids_sha256", "decoded": "decoded_sha256"} if digests else {}
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], *[F.col(c).alias(ends.get(c, c)) for c in ("n_tokens", "ids", "decoded")])
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], *[F.col(c).alias(ends.get(c, c)) for c in ("n_tokens", "ids", *["decoded"] * decoded)])

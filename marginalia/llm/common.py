@@ -1,12 +1,14 @@
-"""What the operators of this subpackage share: a place for intermediate tables, and an exact global order."""
+"""What the operators of this subpackage share: a place for intermediate tables, exact row keys, and an exact global order."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, the separator of words: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -16,27 +18,52 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where driver and executors are one process may it be unset; a temporary folder then serves."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="marginalia-")
     return _own_dir[app]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/marginalia/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/marginalia/{label}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Results that were not written elsewhere read from them, so call it at the end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hashable(value: Column, kind: T.DataType) -> Column:
+    """value, with maps (which have no hash) as sorted text."""
+    if "map<" in kind.simpleString():
+        return F.to_json(F.struct(F.sort_array(F.map_entries(value)) if isinstance(kind, T.MapType) else value), {"ignoreNullFields": "false"})
+    return value
+
+
+def row_key(df: DataFrame) -> Column:
+    """128 bits that stand for all columns of a row: two hashes with different beginnings."""
+    cols = [_hashable(F.col(f"`{f.name}`"), f.dataType) for f in df.schema]
+    return F.struct(F.xxhash64(F.lit(1), *cols).alias("a"), F.xxhash64(F.lit(2), *cols[::-1]).alias("b"))
+
+
 def global_order(df: DataFrame, keys: list[str], size: str | None = None) -> DataFrame:
     """Add row_no (0, 1, ... in the order of keys) and, if size is named, start_at (the sum of size over all earlier rows).
 
