@@ -2,17 +2,18 @@
 
 Split. A text is cut into words before each blank or line end that follows a character which is no white space. There the byte-level
 pre-tokenizer always cuts, so a word (white space and what follows it) covers whole pre-tokens and is encoded the same alone as in its text.
-One pass over the texts writes a table: a row for each document, with the places of its words in the list of its block's distinct words, and
-a row (block, place, word) for each distinct word of a block. A block is up to BLOCK_BYTES of texts that one task reads one after the other.
+One pass over the texts makes a table. It has a row for each document, with the places of its words in the list of its block's distinct words; and it
+has the lists themselves, cut by a hash of the word into the parts of the word table: a row (block, part, places, words) for each part that a
+block has words of. A block is up to BLOCK_BYTES of texts that one task reads one after the other. Words are placed by falling frequency, so
+that places compress well; texts themselves are never dealt out.
 
-Table. The word rows are dealt out by word and sorted, so each distinct word of all documents is met in one run and encoded once. What goes
-back is packed by block: places and ids.
+Table. A part of the table gathers its lists, and encodes each distinct word once. What goes back are the ids of each list.
 
-Join. Documents meet the words of their block; ids come back by place in the block's list, and by position in the text. Decoding takes the ids to
-their pieces through the vocabulary's table, whose size the tokenizer fixes, and concatenates the bytes. Texts themselves are never dealt out.
+Join. Documents meet the lists of their block; ids come back by place in the block's list, and by position in the text. Decoding takes the ids to
+their pieces through the vocabulary's table, whose size the tokenizer fixes, and concatenates the bytes.
 
-Rows grow with the distinct words of the blocks, thus at most with the words of the input; the commonest word has one row a block. A task holds a
-block, or PACK_WORDS encoded words, or one larger document.
+Growth. There is a part for each PART_BYTES of text, so a part stays as large as it is. A block has at most one row a part and at most one
+a word, so rows grow with the words of the input and not with blocks times parts. A task holds a block, or a part, or one larger document.
 
 Edge cases: a null text counts as empty and has no ids; a text larger than a block is a block's whole content; null and repeated ids and equal
 texts are rows like any other; the tokenizer's special token is found in texts as its library does; an empty table gives no rows. Columns of the input
@@ -25,27 +26,27 @@ import hashlib
 import json
 import os
 import re
+import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import giving_way, materialize
+from marginalia.llm.common import giving_way
 
-BLOCK_BYTES, PACK_WORDS = 24 << 20, 100_000
-#: Bytes of text for each partition of the word table, and the most partitions.
-TABLE_BYTES, MOST_PARTS = 16 << 20, 20_000
+BLOCK_BYTES, PART_BYTES = 24 << 20, 16 << 20
 #: Words a call of the library's batch encoder.
 BATCH = 20_000
 
 _WORDS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space of Python's \s other than the blank and the line end, and what some tables count to it (fixed values); it includes all that the tokenizer takes for white space.
 _OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
-_WIDE_SPACE = "\x85\xa0 ᠎               　"
+_WIDE_SPACE = "\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SURE = re.compile(rf"(?<=[^ \n{_OTHER_SPACE}{_WIDE_SPACE}])(?=[ \n])")
 
 
@@ -131,6 +132,20 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _pack_words(words: list[str]) -> bytes:
+    """A list of words: their number, the lengths and the bytes, compressed."""
+    raw = [w.encode() for w in words]
+    sizes = np.fromiter(map(len, raw), dtype="<u4", count=len(raw)).tobytes()
+    return zstandard.ZstdCompressor(level=6).compress(len(raw).to_bytes(4, "little") + sizes + b"".join(raw))
+
+
+def _unpack_words(data: bytes) -> list[str]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (np.cumsum(np.frombuffer(raw, dtype="<u4", count=n, offset=4), dtype=np.int64) + 4 + 4 * n).tolist()
+    return [raw[a:b].decode() for a, b in zip([4 + 4 * n, *ends], ends)]
+
+
 class _Places(dict):
     """Gives each new word the next place."""
 
@@ -139,80 +154,77 @@ class _Places(dict):
         return place
 
 
-def _split(docs: DataFrame, names: list[str], block_bytes: int) -> DataFrame:
-    """docs: text and names. block, place, word, places and names: a row for each document and one for each distinct word of each block."""
+def _ordered(words: list[str], counts: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the words' order: falling count, then part, then word; the part of each word)."""
+    part = np.fromiter((zlib.crc32(w.encode()) for w in words), dtype=np.int64, count=len(words)) % parts
+    rank = np.empty(len(words), dtype=np.int64)
+    rank[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+    return np.lexsort((rank, part, -counts)), part
+
+
+def _split(docs: DataFrame, names: list[str], block_bytes: int, parts: int) -> DataFrame:
+    """docs: text and names. block, part, places, words and names: a row for each document (no part) and one for each part of each block's list."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    columns = ["block", "part", "places", "words", *names]
 
     def run(batches):
-        part, number, words, size = TaskContext.get().partitionId(), 0, _Places(), 0
+        task, number, words, size = TaskContext.get().partitionId(), 0, _Places(), 0
+        held: list[np.ndarray] = []  # of each document, the places by first sight
+        rows: list[pa.Table] = []
 
-        def ended(empty: pa.Table):
-            """The word rows of a block; the documents' columns are null."""
-            block = pa.array(np.full(len(words), part << 32 | number, dtype=np.int64))
-            own = [block, pa.array(np.arange(len(words), dtype=np.int32)), pa.array(list(words), pa.string()), pa.nulls(len(words), pa.binary())]
-            return pa.Table.from_arrays([*own, *[pa.nulls(len(words), empty.schema.field(n).type) for n in names]], ["block", "place", "word", "places", *names])
+        def ended():
+            flat, listed, kept = np.concatenate(held), list(words), pa.concat_tables(rows)
+            order, part = _ordered(listed, np.bincount(flat, minlength=len(listed)), parts)
+            to = np.empty(len(listed), dtype="<u4")
+            to[order] = np.arange(len(listed))
+            block = task << 32 | number
+            for at in range(0, len(held), 2000):
+                own = kept.slice(at, 2000)
+                n = len(own)
+                yield from pa.Table.from_arrays(
+                    [pa.array(np.full(n, block)), pa.nulls(n, pa.int32()), pa.array([_pack(to[x]) for x in held[at : at + 2000]], pa.binary()), pa.nulls(n, pa.binary()), *own.columns], columns
+                ).to_batches()
+            order = order[np.argsort(part[order], kind="stable")]
+            starts = np.concatenate([np.nonzero(np.diff(part[order], prepend=-1))[0], [len(order)]]).tolist()
+            for at in range(0, len(starts) - 1, 2000):
+                cut = [order[a:b] for a, b in zip(starts[at : at + 2000], starts[at + 1 : at + 2001])]
+                n = len(cut)
+                yield from pa.Table.from_arrays(
+                    [pa.array(np.full(n, block)), pa.array([int(part[c[0]]) for c in cut], pa.int32()), pa.array([_pack(np.diff(to[c].astype(np.int64), prepend=0)) for c in cut], pa.binary()), pa.array([_pack_words([listed[i] for i in c.tolist()]) for c in cut], pa.binary()), *[pa.nulls(n, kept.schema.field(c).type) for c in names]],
+                    columns,
+                ).to_batches()
 
-        kept = None
         for batch in batches:
-            kept = pa.Table.from_batches([batch]).select(names)
+            table = pa.Table.from_batches([batch])
             texts, first = batch.column("text"), 0
-            rows: list[bytes] = []
-
-            def documents(last: int) -> pa.Table:
-                n = last - first
-                own = [pa.array(np.full(n, part << 32 | number, dtype=np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.array(rows, pa.binary())]
-                table = pa.Table.from_arrays(own, ["block", "place", "word", "places"])
-                for name, column in zip(names, kept.slice(first, n).columns):
-                    table = table.append_column(name, column)
-                return table
-
             for i in range(len(texts)):
                 text = texts[i].as_py() or ""
                 own = split_words(text)
-                rows.append(_pack(np.fromiter(map(words.__getitem__, own), dtype="<u4", count=len(own))))
+                held.append(np.fromiter(map(words.__getitem__, own), dtype="<u4", count=len(own)))
                 size += len(text)
                 if size >= block_bytes:
-                    yield from documents(i + 1).to_batches()
-                    yield from ended(kept).to_batches(max_chunksize=50_000)
-                    rows, first, words, size, number = [], i + 1, _Places(), 0, number + 1
+                    rows.append(table.select(names).slice(first, i + 1 - first))
+                    yield from ended()
+                    held, rows, first, words, size, number = [], [], i + 1, _Places(), 0, number + 1
             if first < len(texts):
-                yield from documents(len(texts)).to_batches()
-        if words:
-            yield from ended(kept).to_batches(max_chunksize=50_000)
+                rows.append(table.select(names).slice(first))
+        if held:
+            yield from ended()
 
-    schema = ", ".join(["block long, place int, word string, places binary", *[f"{n} {kinds[n]}" for n in names]])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, ", ".join(["block long, part int, places binary, words binary", *[f"{n} {kinds[n]}" for n in names]]))
 
 
-def _encoded(words: DataFrame, path: str, parts: int) -> DataFrame:
-    """words: block, place, word. block, places, sizes, ids (packed): the ids of the words, each distinct word encoded once."""
-    def run(batches):
-        held: dict[str, list[tuple[int, int]]] = {}
+def _encoded(lists: DataFrame, path: str) -> DataFrame:
+    """lists: block, part, places, words. block, places, sizes, ids (packed): the ids of the words, each distinct word encoded once."""
+    def run(table: pa.Table) -> pa.Table:
+        own = [_unpack_words(x.as_py()) for x in table["words"]]
+        distinct = list(dict.fromkeys(w for words in own for w in words))
+        ids = dict(zip(distinct, _encode(distinct, path)))
+        sizes = [_pack(np.fromiter((len(ids[w]) for w in words), dtype="<u4", count=len(words))) for words in own]
+        flat = [_pack(np.fromiter((i for w in words for i in ids[w]), dtype="<u4")) for words in own]
+        return pa.table({"block": table["block"], "places": table["places"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(flat, pa.binary())})
 
-        def ended():
-            blocks: dict[int, tuple[list, list, list]] = {}
-            for (_, at), ids in zip(held.items(), _encode(list(held), path)):
-                for block, place in at:
-                    places, sizes, flat = blocks.setdefault(block, ([], [], []))
-                    places.append(place), sizes.append(len(ids)), flat.extend(ids)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(blocks), pa.int64()), *[pa.array([_pack(b[i]) for b in blocks.values()], pa.binary()) for i in range(3)]], ["block", "places", "sizes", "ids"]
-            )
-
-        n = 0
-        for batch in batches:
-            for block, place, word in zip(batch.column("block").to_pylist(), batch.column("place").to_pylist(), batch.column("word").to_pylist()):
-                at = held.get(word)
-                if at is None:
-                    if n >= PACK_WORDS:
-                        yield ended()
-                        held, n = {}, 0
-                    at = held[word] = []
-                at.append((block, place))
-                n += 1
-        yield ended()
-
-    return words.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(run, "block long, places binary, sizes binary, ids binary")
+    return lists.groupBy("part").applyInArrow(run, "block long, places binary, sizes binary, ids binary")
 
 
 def _gathered(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -228,15 +240,23 @@ def encode_documents(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES,
     keep = [c for c in docs.columns if c != "text"]
     names, decoded = [f"k{i}" for i in range(len(keep))], decoded or digests
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = min(MOST_PARTS, max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // TABLE_BYTES)))
-    split = materialize(_split(docs.select("text", *[F.col(c).alias(n) for c, n in zip(keep, names)]), names, block_bytes), "words", "zstd")
-    coded = _encoded(split.where("word is not null").select("block", "place", "word"), path, parts)
+    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // PART_BYTES))
+    split = _split(docs.select("text", *[F.col(c).alias(n) for c, n in zip(keep, names)]), names, block_bytes, parts)
+
+    def lists_of(table: pa.Table) -> pa.Table:
+        return table.filter(pc.is_valid(table["part"])).select(["block", "part", "places", "words"])
+
+    # Both uses deal the same rows out by block, so the texts are split once and the exchange is used twice.
+    coded = _encoded(split.groupBy("block").applyInArrow(lists_of, "block long, part int, places binary, words binary"), path)
 
     def join_ids(texts: pa.Table, lists: pa.Table) -> pa.Table:
-        places, sizes, flat = (np.concatenate([_unpack(x.as_py()) for x in lists[c]] or [np.empty(0, "<u4")]) for c in ("places", "sizes", "ids"))
+        # A list's places are kept as steps from one to the next.
+        places = np.concatenate([np.cumsum(_unpack(x.as_py()), dtype=np.int64) for x in lists["places"]] or [np.empty(0, np.int64)])
+        sizes, flat = (np.concatenate([_unpack(x.as_py()) for x in lists[c]] or [np.empty(0, "<u4")]) for c in ("sizes", "ids"))
         by_place, starts, size = np.argsort(places), np.cumsum(sizes, dtype=np.int64) - sizes, sizes.astype(np.int64)
         starts, size = starts[by_place], size[by_place]
         counts, codes, said = [], [], []
+        texts = texts.filter(pc.is_null(texts["part"]))
         for row in texts["places"]:
             at = _unpack(row.as_py())
             ids = _gathered(starts[at], size[at], flat).astype("<u4")
@@ -251,7 +271,6 @@ def encode_documents(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES,
 
     fields = split.select(*names).schema
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "n_tokens long", "ids string" if digests else "ids binary", *["decoded string"] * decoded])
-    rows = split.where("places is not null").select("block", "places", *names)
-    out = rows.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_ids, schema)
+    out = split.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_ids, schema)
     ends = {"ids": "ids_sha256", "decoded": "decoded_sha256"} if digests else {}
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], *[F.col(c).alias(ends.get(c, c)) for c in ("n_tokens", "ids", *["decoded"] * decoded)])
