@@ -3,21 +3,22 @@
 Symbols. Letters are lower-cased; every run of other characters is one blank. Each text starts with ORDER - 1 boundary symbols.
 
 Models. Each language has an interpolated Kneser-Ney model of ORDER characters: counts at the highest order, continuation counts below,
-one absolute discount n1 / (n1 + 2 n2) an order, and the uniform distribution at the end. All languages share one sorted array of n-gram hashes for
+one absolute discount n1 / (n1 + 2 n2) an order, and the uniform distribution at the end. All languages share one sorted array of 64-bit n-gram hashes for
 each order, with a row of log probabilities (one a language, completed by back-off where a language has not seen the n-gram), and one of
-context hashes with rows of back-off weights. The hash is a product with an odd number modulo 2^64 of the packed symbols, so distinct n-grams never
-collide. A position is looked up at the highest order first; only misses go on to the next.
+context hashes with rows of back-off weights. The hash is a sum of mixed code points, each times an odd number of its place, so every letter of every
+script is a symbol of its own. A position is looked up at the highest order first; only misses go on to the next.
 
-Decision. The language of least cross-entropy for each character. The score is its share of a softmax of the log likelihoods, at a
-temperature fitted on labelled texts kept out of the counts. On the same texts the mean cross-entropy of each language and its
-scatter (between texts, and by length within) are measured; a text whose cross-entropy exceeds the mean of its language by REJECT_Z such
-deviations (or by half as much again as the worst text measured, if that is more) is rejected, as is a text without letters.
+Decision. The language of least cross-entropy for each character; of equal ones the first by name. The score is its share of a softmax of the log
+likelihoods, at a temperature fitted on labelled texts kept out of the counts. On the same texts the middle cross-entropy of each language and its
+scatter (between texts, and by length within) are measured by medians; a text whose cross-entropy exceeds the middle of its language by REJECT_Z such
+deviations (or by half as much again as the 99th percentile of the texts measured, if that is more) is rejected, as is a text without letters.
 
-Training rows are a documented sample: at most ROWS_PER_LANGUAGE labelled rows of a language, those of least hash of their id, for the MOST_LANGUAGES
-commonest languages. Every text is scored whole, in pieces of PIECE symbols that carry their context along.
+Training rows are a documented sample: of each language at most ROWS_PER_LANGUAGE labelled rows, those of least hash of their id, up to
+BYTES_PER_LANGUAGE of text (less if there are so many languages that they would pass SAMPLE_BYTES together); a larger text is not drawn. No language is left out.
+Every text is scored whole, in pieces of PIECE symbols that carry their context along.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0 and rejected; with no labelled row at all every text is
-`und`; characters no model has seen share one symbol; repeated rows are scored each.
+`und`; characters no model has seen share one symbol; repeated rows are scored each. Columns of the input with the names of results give way to them.
 """
 
 from __future__ import annotations
@@ -33,15 +34,17 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import giving_way
 
-ORDER, SYMBOL_BITS = 5, 12
-ROWS_PER_LANGUAGE, MOST_LANGUAGES = 500, 200
-PIECE = 1 << 20
+ORDER = 5
+ROWS_PER_LANGUAGE, BYTES_PER_LANGUAGE, SAMPLE_BYTES = 500, 4 << 20, 256 << 20
+PIECE = 1 << 18
 REJECT_Z = 12.0
 #: Every CALIBRATE-th row of the sample is kept out of the counts.
 CALIBRATE = 5
-ODD = np.uint64(0x9E3779B97F4A7C15)
-BOUNDARY, BLANK, UNSEEN, FIRST = 0, 1, 2, 3
+#: Symbols that are no letters; a letter's symbol is its code point, which is larger.
+BOUNDARY, BLANK, UNSEEN = 1, 2, 3
 UND = "und"
+#: One odd multiplier for each place of an n-gram: the powers of one.
+MULTIPLIERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, ORDER + 1)]
 
 
 @cache
@@ -66,16 +69,20 @@ def letters_of(text: str) -> np.ndarray:
     return x[keep]
 
 
-def _hash(packed: np.ndarray) -> np.ndarray:
-    return packed * ODD
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mix of each symbol."""
+    x = (x ^ (x >> np.uint64(30)) ^ np.uint64(0xA5A5A5A5)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _pack(x: np.ndarray, n: int) -> np.ndarray:
-    """The packed n-gram that ends at each place from ORDER - 1 on."""
-    out = x[ORDER - n : len(x) - n + 1].copy()
-    for k in range(n - 1, 0, -1):
-        out <<= np.uint64(SYMBOL_BITS)
-        out |= x[ORDER - k : len(x) - k + 1]
+def _hashes(x: np.ndarray) -> list[np.ndarray]:
+    """By order: the hash of the n-gram that ends at each place (from place n - 1 on); of order 0 all zeros."""
+    mixed, out = _mixed(x), [np.zeros(len(x), dtype=np.uint64)]
+    for n in range(1, ORDER + 1):
+        h = out[-1].copy()
+        h[n - 1 :] += mixed[: len(x) - n + 1] * MULTIPLIERS[n - 1]
+        out.append(h)
     return out
 
 
@@ -90,7 +97,7 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 @dataclass
 class Model:
     languages: list[str]
-    alphabet: np.ndarray  # sorted code points; their place + FIRST is their symbol
+    alphabet: np.ndarray  # sorted code points
     grams: list[np.ndarray]  # by order - 1: sorted hashes
     gram_logs: list[np.ndarray]
     contexts: list[np.ndarray]  # by context length - 1
@@ -99,27 +106,26 @@ class Model:
     mean: np.ndarray | None = None
     between: np.ndarray | None = None  # variance of a text's cross-entropy, whatever its length
     within: np.ndarray | None = None  # variance of one symbol's
-    reject_z: float = REJECT_Z
+    reject_z: np.ndarray | None = None
 
     def symbols(self, letters: np.ndarray) -> np.ndarray:
-        at, known = _find(self.alphabet, letters)
-        out = np.where(known, at + FIRST, UNSEEN).astype(np.uint64)
+        out = np.where(_find(self.alphabet, letters)[1], letters, UNSEEN).astype(np.uint64)
         out[letters == 0] = BLANK
         return out
 
     def log_probs(self, x: np.ndarray) -> np.ndarray:
         """(len(x) - ORDER + 1, languages) log probabilities of the symbols from place ORDER - 1 on."""
-        out = np.zeros((max(0, len(x) - ORDER + 1), len(self.languages)), dtype=np.float32)
-        left = np.arange(len(out))
+        first = ORDER - 1
+        out = np.zeros((max(0, len(x) - first), len(self.languages)), dtype=np.float32)
+        left, own = np.arange(first, first + len(out)), _hashes(x)
         for n in range(ORDER, 0, -1):
-            packed = _pack(x, n)[left]
-            at, hit = _find(self.grams[n - 1], _hash(packed))
-            out[left[hit]] += self.gram_logs[n - 1][at[hit]]
-            left, packed = left[~hit], packed[~hit]
+            at, hit = _find(self.grams[n - 1], own[n][left])
+            out[left[hit] - first] += self.gram_logs[n - 1][at[hit]]
+            left = left[~hit]
             if n == 1 or not len(left):
                 break
-            at, hit = _find(self.contexts[n - 2], _hash(packed >> np.uint64(SYMBOL_BITS)))
-            out[left[hit]] += self.context_logs[n - 2][at[hit]]
+            at, hit = _find(self.contexts[n - 2], own[n - 1][left - 1])
+            out[left[hit] - first] += self.context_logs[n - 2][at[hit]]
         return out
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +170,7 @@ class Model:
         share /= share.sum(axis=1, keepdims=True)
         least = cross[rows, best]
         z = (least - self.mean[best]) / np.sqrt(self.between[best] + self.within[best] / n)
-        return best, share[rows, best], least, (z > self.reject_z) | (sizes == 0)
+        return best, share[rows, best], least, (z > self.reject_z[best]) | (sizes == 0)
 
 
 def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,12 +179,15 @@ def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return distinct, np.bincount(inverse, weights=values, minlength=len(distinct)), count
 
 
-def _count(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By order - 1: (distinct packed n-grams, counts); continuation counts below the highest order. x: texts with their boundaries."""
-    own = x[ORDER - 1 :] != BOUNDARY
-    out = [np.unique(_pack(x, ORDER)[own], return_counts=True)]
-    for n in range(ORDER - 1, 0, -1):
-        out.append(np.unique(out[-1][0] & np.uint64((1 << SYMBOL_BITS * n) - 1), return_counts=True))
+def _count(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By order - 1: of each n-gram hash, counts (continuation counts below the highest order), and the hashes of its context and of its suffix. x: texts with their boundaries."""
+    own, at = _hashes(x), np.nonzero(x != BOUNDARY)[0]
+    out = []
+    for n in range(ORDER, 0, -1):
+        grams, first, count = np.unique(own[n][at], return_index=True, return_counts=True)
+        # Of each n-gram one place goes on, so the next order counts how many kinds end in it.
+        at = at[first]
+        out.append((grams, count, own[n - 1][at - 1] if n > 1 else np.zeros(len(at), np.uint64), own[n - 1][at]))
     return out[::-1]
 
 
@@ -194,43 +203,42 @@ def train(rows: list[tuple[str, str]]) -> Model:
         seen[lang] = seen.get(lang, 0) + 1
         (held if seen[lang] % CALIBRATE == 0 else fit).append((lang, x))
     codes = np.unique(np.concatenate([x for _, x in fit])) if fit else np.empty(0, np.uint32)
-    model = Model(languages, codes[codes != 0][: (1 << SYMBOL_BITS) - FIRST], [], [], [], [])
-    size = len(model.alphabet) + FIRST
+    model = Model(languages, codes[codes != 0], [], [], [], [])
+    alphabet = np.concatenate([[BOUNDARY, BLANK, UNSEEN], model.alphabet]).astype(np.uint64)
     lead = np.full(ORDER - 1, BOUNDARY, dtype=np.uint64)
-    counts = []
-    for lang in languages:
-        counts.append(_count(np.concatenate([z for g, x in fit if g == lang for z in (lead, model.symbols(x))])))
-    lower = np.full((1, len(languages)), 1.0 / size)  # the uniform distribution, for every symbol
+    counts = [_count(np.concatenate([z for g, x in fit if g == lang for z in (lead, model.symbols(x))] or [lead])) for lang in languages]
+    lower = np.full((1, len(languages)), 1.0 / len(alphabet))  # the uniform distribution, for every symbol
     lower_keys = np.zeros(1, dtype=np.uint64)
     for n in range(1, ORDER + 1):
-        packed = np.unique(np.concatenate([c[n - 1][0] for c in counts] + ([np.arange(size, dtype=np.uint64)] if n == 1 else [])))
-        suffix = packed & np.uint64((1 << SYMBOL_BITS * (n - 1)) - 1)
-        context = packed >> np.uint64(SYMBOL_BITS)
-        back = np.unique(np.concatenate([c[n - 1][0] >> np.uint64(SYMBOL_BITS) for c in counts]))
+        alone = _mixed(alphabet) * MULTIPLIERS[0] if n == 1 else np.empty(0, np.uint64)
+        every, context, suffix = (np.concatenate([c[n - 1][k] for c in counts] + [alone if k == 0 else np.zeros_like(alone)]) for k in (0, 2, 3))
+        grams, first = np.unique(every, return_index=True)
+        context, suffix = context[first], suffix[first]
+        back = np.unique(np.concatenate([c[n - 1][2] for c in counts]))
         gamma = np.ones((len(back), len(languages)))
         prob = lower[_find(lower_keys, suffix)[0]].copy()
         for k, c in enumerate(counts):
-            grams, a = c[n - 1]
+            own, a, before, _ = c[n - 1]
+            if not len(own):
+                continue
             n1, n2 = (a == 1).sum(), (a == 2).sum()
             discount = min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2)))
-            ctx, total, kinds = _grouped(grams >> np.uint64(SYMBOL_BITS), a)
+            ctx, total, kinds = _grouped(before, a)
             gamma[_find(back, ctx)[0], k] = discount * kinds / total
             at, there = _find(ctx, context)
             prob[there, k] *= (discount * kinds / total)[at[there]]
-            at = _find(packed, grams)[0]
-            prob[at, k] += (a - discount) / total[_find(ctx, grams >> np.uint64(SYMBOL_BITS))[0]]
-        for keys, values, to_keys, to_values in ((packed, prob, model.grams, model.gram_logs), *([(back, gamma, model.contexts, model.context_logs)] if n > 1 else [])):
-            order = np.argsort(_hash(keys))
-            to_keys.append(_hash(keys)[order])
-            to_values.append(np.log(values[order]).astype(np.float32))
-        lower, lower_keys = prob, packed
+            prob[_find(grams, own)[0], k] += (a - discount) / total[_find(ctx, before)[0]]
+        model.grams.append(grams), model.gram_logs.append(np.log(prob).astype(np.float32))
+        if n > 1:
+            model.contexts.append(back), model.context_logs.append(np.log(gamma).astype(np.float32))
+        lower, lower_keys = prob, grams
     _calibrate(model, held or fit)
     return model
 
 
 def _calibrate(model: Model, held: list[tuple[str, np.ndarray]]) -> None:
     k = len(model.languages)
-    model.mean, model.between, model.within = np.full(k, 3.0), np.full(k, 0.04), np.full(k, 6.0)
+    model.mean, model.between, model.within, model.reject_z = np.full(k, 3.0), np.full(k, 0.04), np.full(k, 6.0), np.full(k, REJECT_Z)
     if not held:
         return
     lead = np.full(ORDER - 1, BOUNDARY, dtype=np.uint64)
@@ -242,32 +250,35 @@ def _calibrate(model: Model, held: list[tuple[str, np.ndarray]]) -> None:
     cross = -logs[np.arange(len(own)), own] / sizes
     for i in range(k):
         if (mine := own == i).any():
-            model.within[i] = max(1.0, np.average(inner[mine], weights=sizes[mine]))
-            model.mean[i] = np.average(cross[mine], weights=np.minimum(sizes[mine], 2000))
-            model.between[i] = max(0.01, np.mean((cross[mine] - model.mean[i]) ** 2 - model.within[i] / sizes[mine]))
+            # By medians, so that a few texts with a wrong label do not widen what is taken for the language.
+            model.within[i] = max(1.0, float(np.median(inner[mine])))
+            model.mean[i] = np.median(cross[mine])
+            model.between[i] = max(0.01, float(np.median((cross[mine] - model.mean[i]) ** 2)) / 0.455 - model.within[i] / float(np.median(sizes[mine])))
+            z = (cross[mine] - model.mean[i]) / np.sqrt(model.between[i] + model.within[i] / sizes[mine])
+            model.reject_z[i] = max(REJECT_Z, 1.5 * float(np.quantile(z, 0.99)))
 
     def loss(t: float) -> float:
         s = logs * t
         return float(np.mean(np.log(np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)) + s.max(axis=1) - s[np.arange(len(own)), own]))
 
     model.temperature = min((2.0**-e for e in range(0, 10)), key=loss)
-    z = (cross - model.mean[own]) / np.sqrt(model.between[own] + model.within[own] / sizes)
-    model.reject_z = max(REJECT_Z, 1.5 * float(z.max()))
-
-
-def training_rows(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, languages: int = MOST_LANGUAGES) -> list[tuple[str, str]]:
-    """labelled: doc_id, text, lang. At most `rows` rows of each of the commonest languages, those of least hash of their id, in its order."""
-    known = labelled.where("lang is not null and text is not null")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    if not sizes:
-        return []
-    draw = (F.xxhash64(F.lit("language"), F.col("doc_id")).bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(float(1 << 62))).alias("draw")
-    # Of n rows about rows + 8 sqrt(rows) are drawn by hash, so that the exact choice below sees a bounded number.
-    wanted = rows + 8 * rows**0.5
-    limit = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, wanted / r["n"]))])
-    drawn = known.select("doc_id", "lang", "text", draw).where(F.col("draw") <= F.element_at(limit, F.col("lang")))
-    first = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text")))).where(F.col("k") <= rows)
-    return [(r["lang"], r["text"]) for r in sorted(first.collect(), key=lambda r: (r["draw"], str(r["doc_id"]), r["text"]))]
+
+
+def training_rows(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, size: int = BYTES_PER_LANGUAGE, most: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
+    """labelled: doc_id, text, lang. Of each language at most `rows` rows and `size` bytes, those of least hash of their id, in its order."""
+    known = labelled.where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    languages = known.select("lang").distinct().count()
+    room = min(size, most // max(1, languages))
+    # Chosen without their texts; each task passes on at most `rows` rows of a language.
+    narrow = known.select("doc_id", "lang", "h", F.octet_length("text").alias("bytes"), F.xxhash64(F.lit("language"), F.col("doc_id")).alias("draw")).where(F.col("bytes") <= room)
+    by = Window.partitionBy("lang").orderBy("draw", "doc_id", "h")
+    first = narrow.withColumn("k", F.row_number().over(by)).where(F.col("k") <= rows)
+    first = first.withColumn("upto", F.sum("bytes").over(Window.partitionBy("lang").orderBy("k"))).where(F.col("upto") <= room)
+    first = first.groupBy(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("draw"))
+    # At most `rows` rows a language, by the choice above.
+    found = known.join(F.broadcast(first), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("h") == F.col("_h")))
+    found = found.groupBy("_id", "lang", "h").agg(F.first("text").alias("text"), F.first("n").alias("n"), F.first("draw").alias("draw")).collect()
+    return [(r["lang"], r["text"]) for r in sorted(found, key=lambda r: (r["draw"], str(r["_id"]), r["text"])) for _ in range(r["n"])]
 
 
 def held_out(doc_id: Column) -> Column:

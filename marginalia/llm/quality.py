@@ -1,20 +1,24 @@
 """Quality rules: counted statistics of a text, two fixed base rules, and robust multivariate outliers for what the base rules pass.
 
 Outliers. Four transformed statistics of each text (shrunken log word length, symbols, repeated lines, repeated windows) are
-held against a minimum-covariance-determinant estimate of their group, the documents of one language and source; groups of fewer than
-MIN_GROUP documents are pooled by language. The estimate starts from medians and quartiles of each statistic and takes C_STEPS
-concentration steps: the HALF share of the group nearest by Mahalanobis distance gives the next mean and covariance. The
-last covariance is made consistent for the normal case and FLOOR squared is added to its diagonal, because most clean
+held against a minimum-covariance-determinant estimate of their group, the documents of one language and source. Groups of fewer than
+MIN_GROUP documents are held against the estimate of their whole language; languages of fewer, against that of all documents.
+
+The estimate has three deterministic starts: medians and quartile ranges; means and all covariances; and the covariances of statistics pulled in by a
+hyperbolic tangent. From each start concentration steps are taken: the HALF share of the group nearest by Mahalanobis distance gives
+the next mean and covariance, until no group's determinant changes any more (at most MOST_STEPS). Of each group the start of least determinant
+counts (of equal ones the first). Its covariance is made consistent for the normal case and FLOOR squared is added to its diagonal, because most clean
 texts have exactly no symbols and no repeats, so that the raw determinant is zero. A document is rejected if its squared distance
 exceeds the chi-square quantile at 1 - TAIL.
 
 All of it is DataFrame work. Every step over the documents is a count by (group, bin) or a sum of moments by group, so
 a group that holds a third of all rows costs no task more than the others; nearest shares are found from
-histograms of log distance with BIN steps a unit, over all documents. Group statistics are one narrow row a group; they are broadcast only while
-there are at most BROADCAST_GROUPS groups, and joined plainly beyond.
+histograms of log distance with BIN steps a unit, over all documents. Group statistics are one narrow row a group and start; they are broadcast only while
+there are at most BROADCAST_GROUPS, and joined plainly beyond.
 
-Edge cases: a null text has no words (base_failed); null languages and sources form groups of their own; a pool of fewer than
-ten documents rejects nothing; repeated rows count as often as they occur; an empty table gives no rows.
+Edge cases: a null text has no words (base_failed); null languages and sources form groups of their own, apart from the wider groups; repeated rows
+count as often as they occur and get one verdict; a table whose texts are all alike rejects none for its distance; an empty table gives no
+rows. Columns of the input with the names of results give way to them.
 """
 
 from __future__ import annotations
@@ -24,17 +28,19 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import NOT_SPACE, giving_way, materialize, set_apart, with_let
+from marginalia.llm.common import NOT_SPACE, giving_way, materialize, row_key, set_apart, with_let
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", "_both", "gid", "x_len", "x_sym", "x_line", "x_rep")
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", "_both", "gid", "start", "x_len", "x_sym", "x_line", "x_rep")
 STATS = ("x_len", "x_sym", "x_line", "x_rep")
 #: Least standard deviation of each transformed statistic.
 FLOOR = (0.06, 0.25, 0.5, 0.08)
 PRIOR_WORDS, PRIOR_LEN = 50, 5.0
-MIN_GROUP, HALF, C_STEPS, TAIL, BIN, BROADCAST_GROUPS = 60, 0.5, 4, 1e-6, 200, 20_000
+MIN_GROUP, HALF, MOST_STEPS, TAIL, BIN, BROADCAST_GROUPS = 60, 0.5, 12, 1e-6, 200, 20_000
+#: A determinant that changes by less than this share has settled.
+SETTLED = 1e-6
 
 
 def words(text: Column) -> Column:
@@ -146,27 +152,60 @@ def _quantile_bins(counts: DataFrame, keys: list[str], shares: dict[str, float])
     return c.groupBy(*keys).agg(*[F.min(F.when(F.col("_cum") >= F.lit(q) * F.col("_all"), F.col("bin"))).alias(name) for name, q in shares.items()])
 
 
-def robust_fit(x: DataFrame) -> tuple[DataFrame, bool]:
-    """x: gid and STATS. (one row for each gid with n, m{i}, l{i}{j}; whether there are few groups)."""
+def _moments(prefix: str = "") -> list[Column]:
+    """Means and (population) covariances of STATS, as m{i} and c{i}{j}."""
+    x = [f"{prefix}{c}" for c in STATS]
+    return [*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.covar_pop(a, b).alias(f"c{i}{j}") for i, a in enumerate(x) for j, b in enumerate(x[: i + 1])]]
+
+
+def _log_det() -> Column:
+    return sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, len(STATS))), 2 * F.log(F.col("l00")))
+
+
+def _starts(x: DataFrame) -> DataFrame:
+    """gid, start, m{i} and c{i}{j} of the three starts of each group."""
+    p = range(len(STATS))
+    pairs = [(i, j) for i in p for j in range(i + 1)]
     stacked = x.select("gid", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.round(F.col(c) * 1000).cast("long").alias("bin")) for i, c in enumerate(STATS)])).alias("s"))
     counts = stacked.groupBy("gid", "s.f", "s.bin").agg(F.count(F.lit(1)).alias("k"))
     q = _quantile_bins(counts, ["gid", "f"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    first = q.groupBy("gid").agg(*[F.max(F.when(F.col("f") == i, F.col("q2"))).alias(f"m{i}") for i in range(len(STATS))], *[F.max(F.when(F.col("f") == i, F.col("q3") - F.col("q1"))).alias(f"w{i}") for i in range(len(STATS))])
-    fit = first.select("gid", *[(F.col(f"m{i}") / 1000).alias(f"m{i}") for i in range(len(STATS))], *[(F.pow(F.col(f"w{i}") / 1349.0, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(len(STATS)) for j in range(i + 1)])
-    fit = materialize(_cholesky(fit, 1.0), "mcd")
+    middle = q.groupBy("gid").agg(*[F.max(F.when(F.col("f") == i, F.col("q2"))).alias(f"q{i}") for i in p], *[F.max(F.when(F.col("f") == i, F.col("q3") - F.col("q1"))).alias(f"w{i}") for i in p])
+    middle = materialize(middle.select("gid", *[(F.col(f"q{i}") / 1000).alias(f"q{i}") for i in p], *[(F.col(f"w{i}") / 1349.0).alias(f"w{i}") for i in p]), "middle")
+    first = middle.select("gid", F.lit(0).alias("start"), *[F.col(f"q{i}").alias(f"m{i}") for i in p], *[(F.pow(F.col(f"w{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in pairs])
+    second = x.groupBy("gid").agg(*_moments()).withColumn("start", F.lit(1))
+    scale = [F.greatest(F.col(f"w{i}"), F.lit(FLOOR[i])) for i in p]
+    pulled = _joined(x, middle, "gid", middle.count() <= BROADCAST_GROUPS)
+    pulled = pulled.select("gid", *[F.col(f"q{i}") for i in p], *[F.col(f"w{i}") for i in p], *[F.tanh((F.col(c) - F.col(f"q{i}")) / scale[i]).alias(f"t_{c}") for i, c in enumerate(STATS)])
+    third = pulled.groupBy("gid", *[f"q{i}" for i in p], *[f"w{i}" for i in p]).agg(*_moments("t_"))
+    third = third.select("gid", F.lit(2).alias("start"), *[F.col(f"q{i}").alias(f"m{i}") for i in p], *[(F.col(f"c{i}{j}") * scale[i] * scale[j]).alias(f"c{i}{j}") for i, j in pairs])
+    return first.unionByName(second).unionByName(third)
+
+
+def robust_fit(x: DataFrame) -> tuple[DataFrame, bool]:
+    """x: gid and STATS. (one row for each gid with m{i}, l{i}{j}, log_det and start; whether there are few groups)."""
+    columns = [*[f"m{i}" for i in range(len(STATS))], *[f"l{i}{j}" for i in range(len(STATS)) for j in range(i + 1)]]
+    fit = materialize(_cholesky(_starts(x), 1.0).select("gid", "start", *columns, F.lit(None).cast("double").alias("log_det")), "mcd")
     few = fit.count() <= BROADCAST_GROUPS
     cut = chi2_quantile(HALF, len(STATS))
     factor = HALF / chi2_cdf(cut, len(STATS) + 2)
-    for step in range(C_STEPS):
-        far = _distance(_joined(x, fit, "gid", few)).select("gid", *STATS, F.floor(F.log1p("d2") * BIN).cast("long").alias("bin"))
-        edge = _quantile_bins(far.groupBy("gid", "bin").agg(F.count(F.lit(1)).alias("k")), ["gid"], {"edge": HALF})
-        near = _joined(far, edge, "gid", few).where("bin <= edge")
-        sums = near.groupBy("gid").agg(
-            F.count(F.lit(1)).alias("h"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(STATS)],
-            *[F.covar_pop(a, b).alias(f"c{i}{j}") for i, a in enumerate(STATS) for j, b in enumerate(STATS[: i + 1])],
-        )
-        fit = materialize(_cholesky(sums, factor).drop(*[f"c{i}{j}" for i in range(len(STATS)) for j in range(i + 1)]), "mcd")
-    return fit, few
+    for _ in range(MOST_STEPS):
+        # Each document meets every start of its group.
+        far = _distance(_joined(x, fit, "gid", few)).select("gid", "start", "log_det", *STATS, F.floor(F.log1p("d2") * BIN).cast("long").alias("bin"))
+        edge = _quantile_bins(far.groupBy("gid", "start", "bin").agg(F.count(F.lit(1)).alias("k")), ["gid", "start"], {"edge": HALF})
+        near = far.join(F.broadcast(edge) if few else edge, ["gid", "start"]).where("bin <= edge")
+        sums = near.groupBy("gid", "start").agg(F.first("log_det").alias("_last"), *_moments())
+        fit = materialize(_cholesky(sums, factor).withColumn("log_det", _log_det()).select("gid", "start", *columns, "log_det", "_last"), "mcd")
+        moving = fit.where(F.col("_last").isNull() | (F.abs(F.col("log_det") - F.col("_last")) > SETTLED))
+        fit = fit.drop("_last")
+        if moving.isEmpty():
+            break
+    best = fit.groupBy("gid").agg(F.min_by(F.struct("start", "log_det", *columns), F.struct(F.round("log_det", 9), "start")).alias("b")).select("gid", "b.*")
+    return materialize(best, "mcd"), few
+
+
+def _group_of(level: str, *names: str) -> Column:
+    """The name of a group at a level; nulls are names too."""
+    return F.concat(F.lit(level + ":"), F.to_json(F.struct(*names), {"ignoreNullFields": "false"}) if names else F.lit(""))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -175,25 +214,28 @@ def judge(docs: DataFrame) -> DataFrame:
     keep = [c for c in docs.columns if c != "text"]
     base = materialize(statistics(docs).withColumns(transformed()), "quality")
     fits = base.where(~F.col("base_failed"))
-    sizes = fits.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_n"))
-    gid = F.when(F.col("_n") >= MIN_GROUP, F.to_json(F.struct("lang", "source"))).otherwise(F.to_json(F.struct("lang")))
-    groups = materialize(sizes.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), gid.alias("gid"), "_n"), "groups")
+    sizes = materialize(fits.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    own, language, every = _group_of("source", "lang", "source"), _group_of("language", "lang"), _group_of("all")
+    spoken = sizes.groupBy("lang").agg(F.sum("_n").alias("_of_lang"), F.min("_n").alias("_least")).withColumnRenamed("lang", "_k")
+    groups = sizes.join(spoken, F.col("lang").eqNullSafe(F.col("_k"))).withColumn("_wide", F.min("_of_lang").over(Window.partitionBy(F.lit(1))) < MIN_GROUP)
+    # gid: what a document is held against; member: the groups whose estimates it is counted in.
+    gid = F.when(F.col("_n") >= MIN_GROUP, own).when(F.col("_of_lang") >= MIN_GROUP, language).otherwise(every)
+    member = F.array_compact(F.array(F.when(F.col("_n") >= MIN_GROUP, own), F.when((F.col("_least") < MIN_GROUP) & (F.col("_of_lang") >= MIN_GROUP), language), F.when(F.col("_wide"), every)))
+    groups = materialize(groups.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), gid.alias("gid"), member.alias("_member")), "groups")
     few = groups.count() <= BROADCAST_GROUPS
     side = F.broadcast(groups) if few else groups
     keyed = base.join(side, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    x = keyed.where(~F.col("base_failed")).select("gid", *STATS)
+    x = keyed.where(~F.col("base_failed")).select(F.explode("_member").alias("gid"), *STATS)
     fit, few_fits = robust_fit(x)
-    pool = groups.groupBy("gid").agg(F.sum("_n").alias("_pool"))
-    fit = fit.join(pool, "gid")
     scored = _distance(keyed.join(F.broadcast(fit) if few_fits else fit, "gid", "left"))
     limit = chi2_quantile(1 - TAIL, len(STATS))
-    kept = ~F.col("base_failed") & ((F.col("_pool") < 10) | (F.col("d2") <= limit))
+    kept = ~F.col("base_failed") & (F.col("d2") <= limit)
     return scored.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(~F.col("base_failed"), F.col("d2")).alias("d2"), F.coalesce(kept, F.lit(False)).alias("kept"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text, lang, source and any others) that judge() keeps; the few rejected ones are taken out by an anti-join."""
     names, docs = docs.columns, set_apart(docs, "doc_id", "text", "lang", "source")
-    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    keyed = docs.withColumn("_row", row_key(docs))
     rejected = judge(keyed.select("_row", "text", "lang", "source")).where(~F.col("kept")).select("_row").distinct()
     return keyed.join(rejected, "_row", "left_anti").drop("_row").toDF(*names)

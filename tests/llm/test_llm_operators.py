@@ -292,6 +292,42 @@ def test_outliers_in_a_group_full_of_junk(docs, share):
     assert all(kept[d] for d, _ in good) and not any(kept[d] for d, _ in bad)
 
 
+def test_null_sources_are_groups_of_their_own(docs):
+    rng = np.random.default_rng(10)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9)))
+    plain = [(i, " ".join(word() for _ in range(60)), "en", None) for i in range(80)]
+    marked = [(1000 + i, " ".join(word() + "%%%" for _ in range(60)), "en", f"s{i}") for i in range(70)]
+    rare = [(2000 + i, " ".join(word() for _ in range(60)), "xx", "s") for i in range(8)] + [(2100, " ".join(word() + "#" * 40 for _ in range(60)), "xx", "s")]
+    kept = {r.doc_id: r.kept for r in quality.judge(docs(plain + marked + rare)).collect()}
+    assert all(kept[d[0]] for d in plain + rare[:-1]) and not kept[2100]
+
+
+def brute_mcd(x):
+    """The least determinant of the half of a few points, by all their halves."""
+    from itertools import combinations
+
+    best = None
+    for half in combinations(range(len(x)), len(x) // 2):
+        c = np.cov(x[list(half)].T, bias=True) * quality.HALF / quality.chi2_cdf(quality.chi2_quantile(quality.HALF, 4), 6) + np.diag(np.square(quality.FLOOR))
+        d = np.linalg.slogdet(c)[1]
+        best = min(best or (d, half), (d, half))
+    return best
+
+
+def test_least_determinant(spark):
+    rng = np.random.default_rng(11)
+    for shift in (0, 8):
+        x = rng.normal(size=(14, 4)) * [0.2, 0.6, 1.2, 0.2]
+        x[10:] += shift
+        df = spark.createDataFrame([("g", *map(float, r)) for r in x], "gid string, x_len double, x_sym double, x_line double, x_rep double")
+        fit, _ = quality.robust_fit(df)
+        got, (least, half) = fit.first(), brute_mcd(x)
+        # The nearest half is cut at a bin of the distance, so the found one may differ by a point from the least.
+        assert got.log_det <= least + 1.0
+        if shift:
+            assert max(abs(got[f"m{i}"] - x[:10, i].mean()) for i in range(4)) < 1.0
+
+
 def test_chi_square():
     assert quality.chi2_quantile(0.95, 4) == pytest.approx(9.4877, abs=1e-3) and quality.chi2_cdf(12.5916, 6) == pytest.approx(0.95, abs=1e-4)
 
@@ -382,6 +418,38 @@ def test_language_id(docs, empty):
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in held.items())
 
 
+def test_language_models_know_every_letter():
+    """Thousands of Han and Hangul letters beside Latin ones: all are known, and each language keeps its own."""
+    rng = np.random.default_rng(3)
+    scripts = {"zh": (0x4E00, 9000), "ko": (0xAC00, 9000), "en": (0x61, 26), "math": (0x1D400, 50)}
+    text = lambda lang, n: " ".join("".join(chr(scripts[lang][0] + int(x)) for x in rng.integers(0, scripts[lang][1], 6)) for _ in range(n))
+    model = language_id.train([(lang, text(lang, 60)) for _ in range(100) for lang in scripts])
+    assert sum(0xAC00 <= c <= 0xD7A3 for c in model.alphabet) > 7000 and sum(0x4E00 <= c <= 0x9FFF for c in model.alphabet) > 7000
+    for lang in scripts:
+        best, score, _, out = model.decide(*model.score([text(lang, 40) for _ in range(20)]))
+        assert {model.languages[b] for b in best} == {lang} and not out.any() and (score > 0.9).all()
+    # Of each context that was seen, the probabilities of all symbols sum to one.
+    small = language_id.train([(lang, text("en", 30)) for _ in range(20) for lang in ("a", "b")])
+    symbols = np.concatenate([[language_id.BOUNDARY, language_id.BLANK, language_id.UNSEEN], small.alphabet]).astype(np.uint64)
+    for context in ("abcd", "the ", "zzzz"):
+        lead = np.array([language_id.BLANK if c == " " else ord(c) for c in context], dtype=np.uint64)
+        logs = np.concatenate([small.log_probs(np.concatenate([lead, [x]]).astype(np.uint64)) for x in symbols])
+        assert np.exp(logs.astype(np.float64)).sum(axis=0) == pytest.approx(1.0, abs=1e-4)
+
+
+def test_training_sample(docs):
+    rows = [(i, f"text {i} " * 5, f"l{i % 300}") for i in range(900)] + [(1000, "x " * 5000, "l0"), (None, "no id", "l1"), (5, "text 5 " * 5, "l5")]
+    got = language_id.training_rows(docs(rows), rows=2, size=4000)
+    assert {g for g, _ in got} == {f"l{i}" for i in range(300)} and max(Counter(g for g, _ in got).values()) == 2 and all(len(t) < 4000 for _, t in got)
+
+
+def test_held_out_accuracy(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = language_id.predict(table, language_id.learn(table)).where(language_id.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("lang_pred") != "und"))
+    rows = out.select("lang", "lang_pred").collect()
+    assert len(rows) > 150 and np.mean([r.lang == r.lang_pred for r in rows]) >= 0.99
+
+
 # all
 
 

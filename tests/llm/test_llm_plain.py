@@ -126,8 +126,9 @@ def test_language_models():
     # a text scores the same alone as among others, and whole or in pieces
     assert np.allclose(model.score(texts[:1])[0][0], logs[0])
     # probabilities of all symbols after a context sum to one, seen context or not
-    for lead in ([0, 0, 0, 0], [5, 3, 4, 6], [2, 2, 2, 2]):
-        p = [np.exp(model.log_probs(np.array([*lead, s], dtype=np.uint64))[0]) for s in range(len(model.alphabet) + language_id.FIRST)]
+    symbols = [language_id.BOUNDARY, language_id.BLANK, language_id.UNSEEN, *model.alphabet.tolist()]
+    for lead in ([language_id.BOUNDARY] * 4, [ord(c) for c in "ther"], [language_id.UNSEEN] * 4):
+        p = [np.exp(model.log_probs(np.array([*lead, s], dtype=np.uint64))[0]) for s in symbols]
         assert np.allclose(np.sum(p, axis=0), 1, atol=1e-4)
 
 
