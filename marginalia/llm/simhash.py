@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import golay, shingle_join
-from marginalia.llm.common import giving_way, materialize, set_apart
+from marginalia.llm.common import giving_way, materialize, row_key, set_apart
 from marginalia.llm.components import components
 
 SHINGLE, SEED, REACH = 4, 42, 4
@@ -239,19 +239,32 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, order: str = "doc_id"
     return own.join(classes, "fp").select(*own.columns, "component_id")
 
 
+def close_pairs(sets: DataFrame) -> DataFrame:
+    """sets: sid, fp. a, b: pairs of sids that join all sets whose fingerprints link, by their Golay keys."""
+    by_fp = materialize(sets.groupBy("fp").agg(F.min("sid").alias("_first")), "distinct")
+    same = sets.join(by_fp, "fp").where("sid <> _first").select(F.col("sid").alias("a"), F.col("_first").alias("b"))
+    near = links(by_fp.select("fp"))
+    side = lambda name, fp: by_fp.select(F.col("_first").alias(name), F.col("fp").alias(fp))
+    close = near.select(F.col("a").alias("_x"), F.col("b").alias("_y")).join(side("a", "_x"), "_x").join(side("b", "_y"), "_y").select("a", "b")
+    return same.unionByName(close)
+
+
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of docs (doc_id, text and any others) without near duplicates: of each component the row of least id stays.
 
-    Linked are all texts whose distinct five-word shingles have a Jaccard similarity of 0.8 or more (shingle_join.py); no fingerprint decides.
+    Linked are all texts whose distinct five-word shingles have a Jaccard similarity of 0.8 or more. Pairs whose SimHash fingerprints share Golay keys are
+    compared first; fingerprints of such pairs may differ by ten bits and more, so the rest is found by an exact join on shingles (shingle_join.py).
+
+    Null and empty texts are alike; texts of fewer words than a shingle are one shingle; of repeated rows one stays; a null id comes first.
     """
     names, docs = docs.columns, set_apart(docs, "doc_id", "text")
-    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    keyed = docs.withColumn("_row", row_key(docs))
     order = F.struct("doc_id", "_row")
     own = materialize(shingle_join.with_set(keyed.select("text", order.alias("_order")), width), "sid")
     by_set = materialize(own.groupBy("sid").agg(F.min("_order").alias("_least")), "sets")
     first = by_set.select("sid", F.col("_least")["_row"].alias("_row"))
     nodes = materialize(keyed.select("_row", "text").join(first, "_row").dropDuplicates(["_row"]).select("text", "sid"), "nodes")
-    roots = components(shingle_join.links(nodes, width))
+    roots = components(shingle_join.links(nodes, width, closest=close_pairs))
     named = by_set.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     heads = named.groupBy("root").agg(F.min("_least").alias("_least")).select(F.col("_least")["_row"].alias("_row"))
     # Repeated rows have one _row; the join has dealt rows out by it already.

@@ -152,6 +152,23 @@ def test_large_buckets_honour_a_larger_reach(spark):
     assert parts[0] == parts[1]
 
 
+def shingles(text, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_shingle_hashes():
+    rng = np.random.default_rng(2)
+    texts = ["a b c d e f", "A  b\tc d e", "a", "", None, "x" * 200_000 + " y z " + "é" * 70_000 + " a b c d e f", " ".join(f"w{x}" for x in rng.integers(0, 50, 60_000)), "ä b c d e f a b c d e f"]
+    seen = {}
+    for t in texts:
+        own = shingle_join._hashes(t, 5)
+        assert len(own) == len(shingles(t))
+        for s in shingles(t):
+            (h,) = shingle_join._hashes(s, 5)
+            assert h in own and seen.setdefault(int(h), s) == s
+
+
 def test_keep_one(docs):
     text = " ".join(f"v{i}" for i in range(100))
     rows = [(1, text), (2, text), (2, text), (3, text.replace("v50", "other")), (4, "something else entirely, of other words"), (5, None), (6, "")]
@@ -171,7 +188,7 @@ def test_keep_one_links_what_reaches_the_similarity(docs):
                     w[at] = f"e{rng.integers(0, 10**6)}"
                 texts.append(" ".join(w))
     texts += ["a b c", "A  b c", "a b", "", None]
-    sets = [frozenset(simhash.shingle_hashes(t or "", 5, True)) for t in texts]
+    sets = [frozenset(shingles(t)) for t in texts]
     up = list(range(len(texts)))
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
