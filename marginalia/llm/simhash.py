@@ -259,13 +259,22 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """
     names, docs = docs.columns, set_apart(docs, "doc_id", "text")
     keyed = docs.withColumn("_row", row_key(docs))
-    order = F.struct("doc_id", "_row")
-    own = materialize(shingle_join.with_set(keyed.select("text", order.alias("_order")), width), "sid")
-    by_set = materialize(own.groupBy("sid").agg(F.min("_order").alias("_least")), "sets")
-    first = by_set.select("sid", F.col("_least")["_row"].alias("_row"))
-    nodes = materialize(keyed.select("_row", "text").join(first, "_row").dropDuplicates(["_row"]).select("text", "sid"), "nodes")
-    roots = components(shingle_join.links(nodes, width, closest=close_pairs))
-    named = by_set.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    own = shingle_join.with_set(keyed.select("text", F.struct("doc_id", "_row").alias("_order")), width, *shingle_join.frequent(docs, width))
+    by_set = materialize(own.groupBy("sid").agg(F.min("_order").alias("_least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
+
+    def texts(sids: DataFrame) -> DataFrame:
+        first = materialize(by_set.join(sids, "sid").select("sid", F.col("_least")["_row"].alias("_row")), "asked")
+        return keyed.select("_row", "text").join(shingle_join.bounded(first), "_row").select("text", "sid")
+
+    roots = components(shingle_join.links(by_set.select("sid", "n", "prefix"), texts, width, closest=close_pairs))
+    named = by_set.select("sid", "_least").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     heads = named.groupBy("root").agg(F.min("_least").alias("_least")).select(F.col("_least")["_row"].alias("_row"))
-    # Repeated rows have one _row; the join has dealt rows out by it already.
-    return keyed.join(heads, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row").toDF(*names)
+    rows = keyed.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
+    # What goes, and rows that are repeated, are mostly few beside what stays.
+    rows = rows.join(heads.withColumn("_head", F.lit(True)), "_row", "left").where("_head is null or _n > 1")
+    other = materialize(rows.select("_row", F.col("_head").isNotNull().alias("_head")), "other")
+    once = keyed.join(shingle_join.bounded(other.select("_row")), "_row", "left_anti")
+    many = other.where("_head")
+    if not many.isEmpty():
+        once = once.unionByName(keyed.join(shingle_join.bounded(many.select("_row")), "_row", "left_semi").dropDuplicates(["_row"]))
+    return once.drop("_row").toDF(*names)

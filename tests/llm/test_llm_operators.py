@@ -211,8 +211,10 @@ def test_shingle_join_of_many_blocks(spark):
     close = {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert 100 < len(close) < len(sets) * (len(sets) - 1) / 2
     own = components(spark.createDataFrame([(rows[i][1], rows[j][1]) for i, j in close], "a long, b long"))
-    got = components(shingle_join.links(nodes, block=1024))
-    assert sorted(got.collect()) == sorted(own.collect()) == sorted(want.collect())
+    sets = shingle_join.with_set(nodes.select("text"), 5, *shingle_join.frequent(nodes, 5))
+    for closest in (None, simhash.close_pairs):
+        got = components(shingle_join.links(sets, lambda sids: nodes.join(sids, "sid", "left_semi"), block=1024, closest=closest))
+        assert sorted(got.collect()) == sorted(own.collect()) == sorted(want.collect())
 
 
 def test_components(spark):
