@@ -169,6 +169,23 @@ def test_shingle_hashes():
             assert h in own and seen.setdefault(int(h), s) == s
 
 
+def test_bitmaps_rule_out_no_similar_pair():
+    rng = np.random.default_rng(14)
+    sets = []
+    for n in (1, 3, 40, 60, 70, 250, 260, 500):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for share in (0.0, 0.05, 0.1, 0.12, 0.3, 1.0):
+            new = base.copy()
+            new[: int(share * n)] = rng.integers(0, 2**63, int(share * n))
+            sets.append(np.unique(np.concatenate([new, rng.integers(0, 2**63, int(share * n / 4)).astype(np.uint64)])))
+    size = np.array([len(s) for s in sets])
+    i, j = shingle_join.possible(size, [shingle_join.bitmap(s) for s in sets], lambda a, b: a != b)
+    left = {frozenset(p) for p in zip(i.tolist(), j.tolist())}
+    like = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    close = {frozenset((a, b)) for a in range(len(sets)) for b in range(a) if like(sets[a], sets[b]) >= 0.8}
+    assert close <= left and len(left) < len(close) + 20
+
+
 def test_keep_one(docs):
     text = " ".join(f"v{i}" for i in range(100))
     rows = [(1, text), (2, text), (2, text), (3, text.replace("v50", "other")), (4, "something else entirely, of other words"), (5, None), (6, "")]
@@ -199,7 +216,7 @@ def test_keep_one_links_what_reaches_the_similarity(docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(up))
 
 
-def test_shingle_join_of_many_blocks(spark):
+def test_shingle_join_of_many_blocks(spark, monkeypatch):
     rng = np.random.default_rng(13)
     base = [f"w{x}" for x in range(120)]
     texts = sorted({" ".join("e%d" % rng.integers(0, 99) if rng.random() < 0.02 else w for w in base) for _ in range(150)})
@@ -212,7 +229,8 @@ def test_shingle_join_of_many_blocks(spark):
     assert 100 < len(close) < len(sets) * (len(sets) - 1) / 2
     own = components(spark.createDataFrame([(rows[i][1], rows[j][1]) for i, j in close], "a long, b long"))
     sets = shingle_join.with_set(nodes.select("text"), 5, *shingle_join.frequent(nodes, 5))
-    for closest in (None, simhash.close_pairs):
+    for closest, many in ((None, 4), (simhash.close_pairs, 4), (None, 10**6)):
+        monkeypatch.setattr(shingle_join, "MANY_PAIRS", many)
         got = components(shingle_join.links(sets, lambda sids: nodes.join(sids, "sid", "left_semi"), block=1024, closest=closest))
         assert sorted(got.collect()) == sorted(own.collect()) == sorted(want.collect())
 
