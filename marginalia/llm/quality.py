@@ -5,9 +5,9 @@ held against a minimum-covariance-determinant estimate of their group, the docum
 MIN_GROUP documents are held against the estimate of their whole language; languages of fewer, against that of all documents.
 
 The estimate has three deterministic starts: medians and quartile ranges; means and all covariances; and the covariances of statistics pulled in by a
-hyperbolic tangent. From each start concentration steps are taken: the HALF share of the group nearest by Mahalanobis distance gives
-the next mean and covariance, until no group's determinant changes any more (at most MOST_STEPS). Of each group the start of least determinant
-counts (of equal ones the first). Its covariance is made consistent for the normal case and FLOOR squared is added to its diagonal, because most clean
+hyperbolic tangent. In a concentration step the HALF share of the group nearest by Mahalanobis distance gives the next mean and covariance. Each start
+takes FIRST_STEPS; of each group the start of least determinant then goes on (of equal ones the first), until no group's determinant changes any
+more, for MORE_STEPS at most. The covariance is made consistent for the normal case and FLOOR squared is added to its diagonal, because most clean
 texts have exactly no symbols and no repeats, so that the raw determinant is zero. A document is rejected if its squared distance
 exceeds the chi-square quantile at 1 - TAIL.
 
@@ -38,7 +38,9 @@ STATS = ("x_len", "x_sym", "x_line", "x_rep")
 #: Least standard deviation of each transformed statistic.
 FLOOR = (0.06, 0.25, 0.5, 0.08)
 PRIOR_WORDS, PRIOR_LEN = 50, 5.0
-MIN_GROUP, HALF, MOST_STEPS, TAIL, BIN, BROADCAST_GROUPS = 60, 0.5, 12, 1e-6, 200, 20_000
+MIN_GROUP, HALF, TAIL, BIN, BROADCAST_GROUPS = 60, 0.5, 1e-6, 200, 20_000
+#: Concentration steps from every start, and the most that follow from the best one.
+FIRST_STEPS, MORE_STEPS = 2, 4
 #: A determinant that changes by less than this share has settled.
 SETTLED = 1e-6
 
@@ -188,19 +190,20 @@ def robust_fit(x: DataFrame) -> tuple[DataFrame, bool]:
     few = fit.count() <= BROADCAST_GROUPS
     cut = chi2_quantile(HALF, len(STATS))
     factor = HALF / chi2_cdf(cut, len(STATS) + 2)
-    for _ in range(MOST_STEPS):
-        # Each document meets every start of its group.
+    for step in range(FIRST_STEPS + MORE_STEPS):
+        # Each document meets every start of its group that is left.
         far = _distance(_joined(x, fit, "gid", few)).select("gid", "start", "log_det", *STATS, F.floor(F.log1p("d2") * BIN).cast("long").alias("bin"))
         edge = _quantile_bins(far.groupBy("gid", "start", "bin").agg(F.count(F.lit(1)).alias("k")), ["gid", "start"], {"edge": HALF})
         near = far.join(F.broadcast(edge) if few else edge, ["gid", "start"]).where("bin <= edge")
         sums = near.groupBy("gid", "start").agg(F.first("log_det").alias("_last"), *_moments())
-        fit = materialize(_cholesky(sums, factor).withColumn("log_det", _log_det()).select("gid", "start", *columns, "log_det", "_last"), "mcd")
-        moving = fit.where(F.col("_last").isNull() | (F.abs(F.col("log_det") - F.col("_last")) > SETTLED))
-        fit = fit.drop("_last")
-        if moving.isEmpty():
+        fit = _cholesky(sums, factor).withColumn("log_det", _log_det()).select("gid", "start", *columns, "log_det", "_last")
+        if step == FIRST_STEPS - 1:
+            fit = fit.groupBy("gid").agg(F.min_by(F.struct("start", *columns, "log_det", "_last"), F.struct(F.round("log_det", 9), "start")).alias("b")).select("gid", "b.*")
+        fit = materialize(fit, "mcd")
+        if step >= FIRST_STEPS and fit.where(F.abs(F.col("log_det") - F.col("_last")) > SETTLED).isEmpty():
             break
-    best = fit.groupBy("gid").agg(F.min_by(F.struct("start", "log_det", *columns), F.struct(F.round("log_det", 9), "start")).alias("b")).select("gid", "b.*")
-    return materialize(best, "mcd"), few
+        fit = fit.drop("_last")
+    return fit, few
 
 
 def _group_of(level: str, *names: str) -> Column:
