@@ -1,15 +1,16 @@
 """Document fingerprints by Order MinHash, in its one-permutation form.
 
-Tokens are runs of up to TOKEN code points without ASCII white space (words; longer words are cut every TOKEN code points). Each K-gram
+Tokens are words, runs without ASCII white space, of up to TOKEN code points; of a longer run each code point is a token, so that an edit within
+it changes the tokens it touches and no later ones (text without blanks, long links, encoded data). Each K-gram
 of tokens is numbered by its occurrence in the text, so that repeats count. A keyed hash of (K-gram, occurrence) deals the
-numbered K-grams into BINS classes, each of which stands for one permutation of Order MinHash; in each class the PICK K-grams
-of least hash are selected, put back into text order, and the ordered tuple is hashed to 16 bits. A class that got no K-gram takes
-the value of the next one that did, marked by the distance. The fingerprint is the BINS values in hex; the likeness of two is
+numbered K-grams into BINS classes in a ring, each of which stands for one permutation of Order MinHash. For each class the PICK K-grams
+of least hash are selected, put back into text order, and the ordered tuple is hashed to 16 bits. A class with fewer goes on to the least
+of the classes that follow in the ring, so every value is of an ordered tuple, in short texts too. The fingerprint is the BINS values in hex; the likeness of two is
 the share of equal values. Because tuples keep text order and repeats are numbered, it drops with moves and repetition as edit
 distance does, and not only with changes of the set of K-grams.
 
 One hash a K-gram instead of BINS of them is what keeps the work linear in the text. Positions and hashes are packed into single
-longs, so the two sorts of each text are sorts of primitive arrays. Everything is built-in array functions: no Python runs.
+longs, so the two sorts of each text are sorts of primitive arrays; places are exact up to 2**POS_BITS tokens, far more than an array of them could hold in a row. Everything is built-in array functions: no Python runs.
 
 Edge cases: a null text counts as empty; a text without a token has the fingerprint of zeros, and two such are alike by 1.0; a text of fewer
 than K tokens is one K-gram of all its tokens; equal texts have equal fingerprints. Documents that repeat an id are rows of their own; the next
@@ -28,6 +29,8 @@ TOKEN, K, BINS, PICK = 16, 3, 64, 2
 #: Bits of a packed long: position below, hash above.
 POS_BITS, RANK_BITS = 26, 31
 BIN_BITS = 6
+#: A whole word of up to TOKEN code points, else one code point of a longer one.
+TOKENS = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,%d}+(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]" % TOKEN
 
 
 def _grams(tokens: Column) -> Column:
@@ -64,27 +67,25 @@ def _values(sorted_ranks: Column) -> Column:
         heads = F.filter(F.sequence(F.lit(0), F.size(q) - 1), lambda i: (i == 0) | (bin_of(F.get(q, i)) != bin_of(F.get(q, i - 1))))
 
         def tuple_at(i: Column) -> Column:
-            a, b = F.get(q, i), F.get(q, i + 1)
-            two = bin_of(b).eqNullSafe(bin_of(a))
-            swap = pos_of(b) < pos_of(a)
-            h = F.when(~two, F.xxhash64(rank_of(a))).when(swap, F.xxhash64(rank_of(b), rank_of(a))).otherwise(F.xxhash64(rank_of(a), rank_of(b)))
+            # the next one in the ring; of a sole K-gram itself
+            a, b = F.get(q, i), F.coalesce(F.get(q, i + 1), F.get(q, F.lit(0)))
+            h = F.when(pos_of(b) < pos_of(a), F.xxhash64(rank_of(b), rank_of(a))).otherwise(F.xxhash64(rank_of(a), rank_of(b)))
             return F.struct(bin_of(a).cast("int").alias("b"), h.bitwiseAND(F.lit(65535)).cast("int").alias("v"))
 
         return F.transform(heads, tuple_at)
 
     def spread(s: Column) -> Column:
-        fill = lambda x, start: F.transform(F.sequence(start, x["b"]), lambda j: (x["v"] + (x["b"] - j) * 40503) % 65536)
+        fill = lambda x, start: F.array_repeat(x["v"], x["b"] - start + 1)
         body = F.flatten(F.transform(s, lambda x, j: fill(x, F.coalesce(F.get(s, j - 1)["b"] + 1, F.lit(0)))))
         last, first = F.element_at(s, -1), F.get(s, F.lit(0))
-        tail = F.transform(F.sequence(last["b"] + 1, F.lit(BINS - 1)), lambda j: (first["v"] + (first["b"] + BINS - j) * 40503) % 65536)
-        return F.when(last["b"] == BINS - 1, body).otherwise(F.concat(body, tail))
+        return F.concat(body, F.array_repeat(first["v"], F.lit(BINS - 1) - last["b"]))
 
     return with_let(sorted_ranks, lambda q: with_let(outer(q), lambda s: F.when(F.size(s) == BINS, F.transform(s, lambda x: x["v"])).otherwise(spread(s))))
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text: BINS values of four hex digits each."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % TOKEN), F.lit(0))
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKENS), F.lit(0))
     hexed = lambda v: F.array_join(F.transform(v, lambda x: F.lpad(F.lower(F.hex(x)), 4, "0")), "")
     return with_let(_grams(tokens), lambda g: F.when(F.size(g) == 0, F.lit("0" * (4 * BINS))).otherwise(hexed(_values(_numbered(g)))))
 

@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filters.filter_urls(pages, url_filters.labelled_pages(pages, table(spark, sf_dir, "labels")))
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    posterior = [F.round(c, url_filters.DIGITS).alias(c) for c in ("post_mean", "upper_good")]
+    return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_good", *posterior)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

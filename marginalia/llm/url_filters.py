@@ -12,7 +12,8 @@ Everything is DataFrame work: outcomes are counted by host before anything else,
 host counts, and only the host table is joined to the pages (a plain join; adaptive execution splits a host that holds many pages).
 
 Edge cases: a null url, or one without "://", has an empty host and path; the empty host is a host like any other. Repeated
-pages count as often as they occur. With no outcomes at all every host is allowed.
+pages count as often as they occur. With no outcomes at all every host is allowed; a table without pages gives no row. Ports and users are no part of a
+host's domain, and a numeric host is a domain of its own. Columns other than page_id and url are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +23,22 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import materialize
+
 #: Host, path prefix, verdict: the rules of the contract.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Suffixes of two labels under which domains are registered (fixed values); any other suffix is the last label.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.mx", "gov.uk", "org.au", "org.uk")
+#: Suffixes of two labels under which domains are registered (fixed values, of the public suffix list); any other suffix is the last label.
+TWO_LABEL_SUFFIXES = (
+    "ac.jp", "ac.kr", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za",
+    "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.hk", "com.mx", "com.my", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn",
+    "edu.au", "edu.cn", "go.jp", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "net.au", "net.br", "net.cn", "ne.jp", "or.jp", "or.kr",
+    "org.au", "org.br", "org.cn", "org.nz", "org.uk", "blogspot.com", "github.io", "gitlab.io", "netlify.app", "pages.dev", "vercel.app",
+)
+#: What a host has before and after its name: a user, a port. And names that are numbers, each a domain and a suffix of its own.
+AROUND_NAME, NUMERIC = "^.*@|:[0-9]*$", r"^([0-9]+([.][0-9]+){3}|\[.*\])$"
 LEAST_GOOD, Z = 0.5, 1.645
+#: Digits of the posterior in results: sums of another order differ beyond them.
+DIGITS = 6
 #: Bounds of a level's prior strength, in pages.
 WEAK, STRONG = 2.0, 1000.0
 
@@ -43,14 +55,16 @@ def path_of(url: Column) -> Column:
 
 
 def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    name = F.regexp_replace(host, AROUND_NAME, "")
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(NUMERIC), name).when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    """The suffix and one label more; the host itself if it has no more."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    """The suffix and one label more; the host's name itself if it has no more or is a number."""
+    name = F.regexp_replace(host, AROUND_NAME, "")
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(NUMERIC), name).when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -80,7 +94,8 @@ def _strength(units: DataFrame, by: str, n: str, good: str, mean: str) -> DataFr
 def host_reputation(outcomes: DataFrame) -> DataFrame:
     """outcomes: host, good (boolean; null: not labelled). One row for each host: host, n_labelled, n_good, prior_mean, strength, post_mean, post_sd."""
     hosts = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.sum(F.when(F.col("good"), 1).otherwise(0)).alias("g"))
-    hosts = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "g")
+    # Written once: each level and each strength reads it, and none of them the pages.
+    hosts = materialize(hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "g"), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("g").alias("dg"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dg").alias("sg"))
     top = suffixes.agg(((F.coalesce(F.sum("sg"), F.lit(0)) + 1) / (F.coalesce(F.sum("sn"), F.lit(0)) + 1)).alias("m0"))
@@ -123,12 +138,12 @@ def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return keyed.join(said, "doc_id").groupBy("page_id").agg(F.min("good").alias("good"))
 
 
-def _domain_sql(host: str) -> str:
-    return f"array_to_string(list_slice(string_split({host}, '.'), -(CASE WHEN array_to_string(list_slice(string_split({host}, '.'), -2, -1), '.') IN ({', '.join(map(repr, TWO_LABEL_SUFFIXES))}) THEN 3 ELSE 2 END), -1), '.')"
-
-
-def _suffix_sql(host: str) -> str:
-    return f"array_to_string(list_slice(string_split({host}, '.'), -(CASE WHEN array_to_string(list_slice(string_split({host}, '.'), -2, -1), '.') IN ({', '.join(map(repr, TWO_LABEL_SUFFIXES))}) THEN 2 ELSE 1 END), -1), '.')"
+def _labels_sql(host: str, more: int) -> str:
+    """The suffix of a host, and `more` labels before it."""
+    name = f"regexp_replace({host}, '{AROUND_NAME}', '', 'g')"
+    last = lambda k: f"array_to_string(list_slice(string_split({name}, '.'), -({k}), -1), '.')"
+    known = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
+    return f"CASE WHEN regexp_matches({name}, '{NUMERIC}') THEN {name} WHEN {last(2)} IN ({known}) THEN {last(2 + more)} ELSE {last(1 + more)} END"
 
 
 def _strength_sql(table: str, n: str, g: str, m: str) -> str:
@@ -151,7 +166,7 @@ WITH parsed AS (
     try_cast(regexp_extract(url, '(?s)^.*?://[^/?#]*/[^/?#]*/([0-9]{{1,18}})(?:[.]html?)?(?:[/?#]|$)', 1) AS BIGINT) doc_id FROM pages),
 said AS (SELECT doc_id, min((coalesce(quality, 1) >= 1 AND coalesce(toxic, 0) <= 0)::INT) good FROM labels GROUP BY doc_id),
 outcome AS (SELECT page_id, min(good) good FROM (SELECT DISTINCT page_id, doc_id FROM parsed) p JOIN said USING (doc_id) GROUP BY page_id),
-hosts AS (SELECT host, {_domain_sql('host')} dom, {_suffix_sql('host')} suf, count(good)::DOUBLE n, sum(CASE WHEN good = 1 THEN 1 ELSE 0 END)::DOUBLE g
+hosts AS (SELECT host, {_labels_sql('host', 1)} dom, {_labels_sql('host', 0)} suf, count(good)::DOUBLE n, sum(CASE WHEN good = 1 THEN 1 ELSE 0 END)::DOUBLE g
   FROM parsed LEFT JOIN outcome USING (page_id) GROUP BY host),
 domains AS (SELECT dom, suf, sum(n) dn, sum(g) dg FROM hosts GROUP BY dom, suf),
 suffixes AS (SELECT suf, sum(dn) sn, sum(dg) sg FROM domains GROUP BY suf),
@@ -160,8 +175,9 @@ s1 AS (SELECT suf, (k * m0 + sg) / (k + sn) m_s FROM s0, (SELECT {_strength_sql(
 d0 AS (SELECT dom, suf, dn, dg, m_s FROM domains JOIN s1 USING (suf)),
 d1 AS (SELECT dom, suf, (k * m_s + dg) / (k + dn) m_d FROM d0, (SELECT {_strength_sql('d0', 'dn', 'dg', 'm_s')} k) q),
 h0 AS (SELECT host, n, g, m_d FROM hosts JOIN d1 USING (dom, suf)),
-h1 AS (SELECT host, k * m_d + g a, k * (1 - m_d) + n - g b FROM h0, (SELECT {_strength_sql('h0', 'n', 'g', 'm_d')} k) q)
-SELECT page_id, host, path, {rule} AS rule,
-  coalesce({verdict}, CASE WHEN least(1.0, a / (a + b) + {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) < {least_good} THEN 'block' ELSE 'allow' END) AS verdict
-FROM parsed JOIN h1 USING (host)
+h1 AS (SELECT host, n, g, k * m_d + g a, k * (1 - m_d) + n - g b FROM h0, (SELECT {_strength_sql('h0', 'n', 'g', 'm_d')} k) q),
+h2 AS (SELECT host, n::BIGINT n_labelled, g::BIGINT n_good, a / (a + b) post_mean, least(1.0, a / (a + b) + {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) upper_good FROM h1)
+SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN upper_good < {least_good} THEN 'block' ELSE 'allow' END) AS verdict,
+  n_labelled, n_good, round(post_mean, {DIGITS}) AS post_mean, round(upper_good, {DIGITS}) AS upper_good
+FROM parsed JOIN h2 USING (host)
 """

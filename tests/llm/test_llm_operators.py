@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marginalia.llm import bpe, fingerprints, html_text, language_id, mixing, quality, sharding, shingle_join, simhash, training_order, url_filters
+from marginalia.llm import bpe, fingerprints, html_text, language_id, mixing, quality, queries, sharding, shingle_join, simhash, training_order, url_filters
 from marginalia.llm.components import components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,6 +62,44 @@ def test_reputation(spark):
     assert verdict["bad.x.org"] == "block" and verdict["good.x.org"] == verdict["one.y.org"] == verdict["new.x.org"] == "allow"
 
 
+def test_domains(spark):
+    want = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "x.com.cn": ("x.com.cn", "com.cn"), "me.github.io": ("me.github.io", "github.io"), "www.a.org:8080": ("a.org", "org"),
+        "u@a.org": ("a.org", "org"), "1.2.3.4": ("1.2.3.4", "1.2.3.4"), "1.2.3.4:80": ("1.2.3.4", "1.2.3.4"), "[::1]:80": ("[::1]", "[::1]"), "localhost": ("localhost", "localhost"), "": ("", ""),
+    }
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r[0]: (r[1], r[2]) for r in hosts.select("host", url_filters.domain_of(F.col("host")), url_filters.suffix_of(F.col("host"))).collect()} == want
+
+
+def test_url_filters_of_odd_tables(spark):
+    none = spark.createDataFrame([], "page_id long, good boolean")
+    assert url_filters.filter_urls(spark.createDataFrame([], "page_id long, url string"), none).isEmpty()
+    far = "http://h.org/" + "a" * 200_000
+    rows = [(1, far, "x", 0.5), (1, far, "x", 0.5), (None, "http://h.org/b", None, None)]
+    got = url_filters.filter_urls(spark.createDataFrame(rows, "page_id long, url string, host string, post_mean double"), none).collect()
+    assert [(r.host, r.verdict) for r in got] == [("h.org", "allow")] * 3 and sum(r.path == far[12:] for r in got) == 2
+
+
+def test_op1_equals_its_sql(spark, tmp_path):
+    """Hosts that fall both ways, so the posterior decides, not the rules alone."""
+    import duckdb
+
+    rows, labels = [], []
+    for i in range(400):
+        host = ["bad.shop.org", "www.good.org", "x.co.uk", "1.2.3.4:80", f"h{i % 7}.site.com.cn", "a.example.com", "z.net"][i % 7]
+        rows.append((i, f"http://{host}/en/{i}.html"))
+        if i % 3:
+            labels.append((i, int(host != "bad.shop.org" and i % 11 > 0), 0))
+    spark.createDataFrame([*rows, (400, None), (401, "no url")], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = [tuple(r) for r in queries.op1_url_filters(spark, str(tmp_path)).collect()]
+    with duckdb.connect() as con:
+        for t in ("pages", "labels"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+        assert sorted(got, key=repr) == sorted(con.execute(queries.ORACLE_SQL["op1_url_filters"]).fetchall(), key=repr)
+    assert {r[4] for r in got if r[3] is None} == {"allow", "block"}
+
+
 def test_labels_by_path(spark):
     pages = spark.createDataFrame([(1, "http://a/en/5?x"), (2, "http://a/en/6.html"), (3, "http://a/en/7/"), (4, "http://a/x"), (5, None)], "page_id long, url string")
     labels = spark.createDataFrame([(5, 1, 0), (6, 0, 0), (7, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
@@ -86,6 +124,82 @@ def test_fingerprints(edge, empty, docs):
     assert one.near_next == 1.0
 
 
+def brute_order_minhash(text):
+    """The fingerprint by its definition, with Spark's hash: XXH64 chained by seeds from 42 on."""
+    def h(*parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p, seed)
+        return seed
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    tokens = [t.encode() for w in words for t in ([w] if len(w) <= 16 else w)]
+    if not tokens:
+        return "0" * 256
+    grams = [h(*tokens[i : i + 3]) & ((1 << 38) - 1) for i in range(max(1, len(tokens) - 2))]
+    seen, ring = Counter(), []
+    for place, g in enumerate(grams):
+        seen[g] += 1
+        signed = g - (1 << 38) if g >> 37 else g
+        x = h(signed.to_bytes(8, "little", signed=True), seen[g].to_bytes(4, "little")) & ((1 << 37) - 1)
+        ring.append((x >> 31, x & ((1 << 31) - 1), place))
+    ring.sort()
+    out = ""
+    for b in range(64):
+        two = sorted(ring, key=lambda r: ((r[0] - b) % 64, r[1], r[2]))[:2]
+        first, second = sorted([two[0], two[-1]], key=lambda r: r[2])
+        out += f"{h(first[1].to_bytes(8, 'little'), second[1].to_bytes(8, 'little')) & 65535:04x}"
+    return out
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def likeness(x, y):
+    return sum(x[i : i + 4] == y[i : i + 4] for i in range(0, 256, 4)) / 64
+
+
+def prints(docs, texts):
+    rows = docs(list(enumerate(texts))).select("doc_id", fingerprints.fingerprint(F.col("text")).alias("fp")).collect()
+    return [r.fp for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_fingerprints_by_brute_force(docs):
+    rng = np.random.default_rng(3)
+    texts = [t for _, t in EDGE] + [" ".join(rng.choice(["a", "b", "cc", "d" * 16, "e" * 17, "é😀"], n)) for n in (1, 2, 3, 4, 5, 9, 40, 200)] + ["漢字仮名" * 30 + " x", "ab" * 300]
+    assert prints(docs, texts) == [brute_order_minhash(t) for t in texts]
+
+
+def test_likeness_follows_edits_without_blanks(docs):
+    rng = np.random.default_rng(4)
+    text = "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 3000, 400))
+    same, front, middle, other = prints(docs, [text, "x" + text, text[:200] + "yz" + text[200:], text[::-1]])
+    assert likeness(same, front) > 0.9 and likeness(same, middle) > 0.85 and likeness(same, other) < 0.1
+
+
+def test_likeness_falls_with_edit_distance(docs):
+    rng, moves = np.random.default_rng(6), {}
+    for n in (20, 40, 70, 130, 250):
+        words = [f"w{x}" for x in rng.integers(0, 10 * n, n)]
+        versions = [words, words[n // 2 :] + words[: n // 2]]
+        for share in (0.03, 0.1, 0.2, 0.4, 0.8):
+            versions.append([f"n{i}" if rng.random() < share else w for i, w in enumerate(words)])
+        first, moved, *edited = prints(docs, [" ".join(v) for v in versions])
+        moves[n] = likeness(first, moved)
+        # Of replaced words, more of them never look nearer.
+        far, near = [edit_distance(words, v) for v in versions[2:]], [likeness(first, f) for f in edited]
+        assert all(x >= y for (_, x), (_, y) in zip(sorted(zip(far, near)), sorted(zip(far, near))[1:])) and near[-1] < 0.1
+    # Halves that change places keep nearly all k-mers, but about half of the tuples lose their order, in short texts too.
+    assert all(0.1 < x < 0.7 for x in moves.values()), moves
+    print("likeness after a swap of halves, by words:", moves)
+
+
 def test_order_counts(docs):
     words = [f"t{i}" for i in range(400)]
     texts = [words, words[200:] + words[:200], words[:390] + ["new"] * 10, [w for w in words for _ in range(1)][::-1]]
