@@ -496,6 +496,49 @@ def test_template(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
 
 
+def test_induction_decides_without_telling_names(spark):
+    """Names that say nothing: menus, adverts and footers that vary from page to page are told by their slots alone."""
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    rows, want = [], {}
+    for i in range(40):
+        title, paragraphs = words(4), [words(int(n)) for n in rng.integers(15, 60, rng.integers(1, 9))]
+        menu = "".join(f"<li>{words(1)}</li>" for _ in range(rng.integers(3, 7)))
+        note = "<div class='comments'><p>" + words(9) + "</p></div>" if i % 4 == 0 else ""
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        html = f"<html><body><div class='q1'><ul>{menu}</ul></div><div class='z7'><h1>{title}</h1><div class='z8'>{body}</div>{note}</div><div class='q2'>{words(8)}</div><div class='q3'>{words(5)}</div></body></html>"
+        rows.append((i, "http://plain.org/a", html))
+        want[i] = " ".join([title, *paragraphs])
+    # Few pages of a host: only names are left.
+    rows.append((100, "http://few.org/a", "<div class='menu'>m</div><div class='post'>text</div>"))
+    want[100] = "text"
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows + rows[:2]], "page_id long, url string, html string, text string, host int")
+    got = html_text.extract(pages).collect()
+    assert len(got) == len(rows) + 2 and {r.page_id: r.text for r in got} == want
+
+
+def test_long_and_deep_pages(spark):
+    long = "<article><p>" + "word " * 100_000 + "</p></article>"
+    rows = [(i, "http://h/", long) for i in range(6)] + [(9, "http://h/", "<div>" * 3000 + "deep")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got[0]) == 499_999 and got[9] == "deep"
+
+
+def test_articles_of_the_pages_by_a_pattern(spark):
+    """Every page of the smallest table against a plain reading of its fixed frame: what its one article holds, without marks."""
+    import html
+    from pathlib import Path
+
+    path = Path("/root/testdata/sf0.001/pages.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    pages = spark.read.parquet(str(path)).select("page_id", "url", "html")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    articles = {r.page_id: re.findall(r"(?s)<article>(.*?)</article>", r.html or "") for r in pages.collect()}
+    plain = {k: " ".join(html.unescape(re.sub(r"<[^>]*>", " ", a[0])).split()) for k, a in articles.items() if len(a) == 1}
+    assert len(plain) > 0.9 * len(got) and all(" ".join(got[k].split()) == t for k, t in plain.items())
+
+
 # 9
 
 
