@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, fingerprints, html_text, language_id, mixing, quality, sharding, simhash, training_order, url_filters
+from marginalia.llm import bpe, fim, fingerprints, html_text, language_id, mixing, quality, sharding, simhash, training_order, url_filters
 from marginalia.llm.common import materialize, shared_path
 
 #: The production tokenizer: a file of the installed package of public vocabularies.
@@ -73,6 +73,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    chars = [F.length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    return made.select("doc_id", "n", "form", *chars, F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_fingerprints": op2_fingerprints,
@@ -84,9 +90,11 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op11_fim": op11_fim,
 }
 
 ORACLE_SQL = {
     "op1_url_filters": url_filters.oracle(),
     "op9_mixing": mixing.oracle(),
+    "op11_fim": fim.oracle(),
 }
