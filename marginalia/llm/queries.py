@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, fim, fingerprints, html_text, language_id, mixing, quality, sharding, simhash, training_order, url_filters
+from marginalia.llm import bpe, fim, fingerprints, hard_negatives, html_text, language_id, mixing, quality, sharding, simhash, topk_search, training_order, url_filters
 from marginalia.llm.common import materialize, shared_path
 
 #: The production tokenizer: a file of the installed package of public vocabularies.
@@ -79,6 +79,16 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", *chars, F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(moved, F.col("vec_id") % hard_negatives.EVERY == 0)
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % topk_search.EVERY == 0)
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_fingerprints": op2_fingerprints,
@@ -91,10 +101,14 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
     "op11_fim": op11_fim,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_topk_search": op13_topk_search,
 }
 
 ORACLE_SQL = {
     "op1_url_filters": url_filters.oracle(),
     "op9_mixing": mixing.oracle(),
     "op11_fim": fim.oracle(),
+    "op12_hard_negatives": hard_negatives.oracle(),
+    "op13_topk_search": topk_search.oracle(),
 }
