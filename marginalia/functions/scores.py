@@ -5,7 +5,7 @@ A query's features (query_features) are computed once a query, a text's (tokens,
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
@@ -154,6 +154,21 @@ def line_quality(line: Column, tokens: Column, norm: Column) -> Column:
     return F.least(F.lit(0.30), mark + 0.12 * F.greatest(F.lit(0.0), 1 - F.least(F.length(norm), F.lit(180)) / 180.0))
 
 
+def best_of_lines(rows: DataFrame) -> DataFrame:
+    """rows: query_id, rel_path, line, content, q (query features), d (text features of content). The best line of each query and rel_path with its scores.
+
+    One row a line and query, whose maximum by score and tie-breaks is taken with partial aggregation.
+    """
+    q, d = F.col("q"), F.col("d")
+    x = rows.withColumns({
+        "quality": line_quality(F.col("content"), d["tokens"], d["norm"]),
+        "phrase": phrase_match(q, d["norm"]), "text": text_match(q["phrase"], q["toks"], d["lower"], d["tokens"]), "keyword": keyword(q["toks"], d["tokens"]),
+        "literal": literal_match(q["terms"], d["lower"]), "ordered": ordered_match(q["toks"], d["norm"]),
+    })
+    order = F.struct(F.greatest("phrase", "text", "keyword", "ordered", "literal").alias("score"), "literal", "phrase", "ordered", "text", "keyword", "quality", (-F.col("line")).alias("back"))
+    return x.groupBy("query_id", "rel_path").agg(F.max(order).alias("b")).select("query_id", "rel_path", "b.*").withColumn("line", -F.col("back")).drop("back")
+
+
 def text_candidate(kind: Column, filename: Column, metadata: Column, phrase: Column, text: Column, keyword: Column, quality: Column, ordered: Column, literal: Column) -> Column:
     """The first rung of the ladder that fits decides."""
     cap = lambda most, value: F.least(F.lit(most), value)

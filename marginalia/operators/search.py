@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import scores as S
 from marginalia.functions import text as T
+from marginalia.operators import postings as P
 from marginalia.operators.vectors import nearest
 
 FILENAME_GATE, PHRASE_GATE, TEXT_GATE, KEYWORD_GATE = 0.55, 0.62, 0.55, 0.50
@@ -84,26 +85,15 @@ def filename_channel(queries: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def best_lines(queries: DataFrame, notes: DataFrame) -> DataFrame:
-    """The best line of each note for each query: query_id, rel_path, line (from 0) and the scores of that line.
-
-    One row a line and query, whose maximum by score and tie-breaks is taken with partial aggregation.
-    """
-    rows = notes.select("rel_path", F.posexplode(T.lines(F.coalesce("text", F.lit("")))).alias("line", "content")).withColumn("d", S.text_features(F.col("content")))
-    rows = rows.withColumn("quality", S.line_quality(F.col("content"), F.col("d")["tokens"], F.col("d")["norm"])).drop("content")
-    x = rows.crossJoin(F.broadcast(queries.select("query_id", "q")))
-    q, d = F.col("q"), F.col("d")
-    x = x.withColumns({
-        "phrase": S.phrase_match(q, d["norm"]), "text": S.text_match(q["phrase"], q["toks"], d["lower"], d["tokens"]), "keyword": S.keyword(q["toks"], d["tokens"]),
-        "literal": S.literal_match(q["terms"], d["lower"]), "ordered": S.ordered_match(q["toks"], d["norm"]),
-    })
-    order = F.struct(F.greatest("phrase", "text", "keyword", "ordered", "literal").alias("score"), "literal", "phrase", "ordered", "text", "keyword", "quality", (-F.col("line")).alias("back"))
-    return x.groupBy("query_id", "rel_path").agg(F.max(order).alias("b")).select("query_id", "rel_path", "b.*").withColumn("line", -F.col("back")).drop("back")
+    """The best line of each note for each query, however low: query_id, rel_path, line (from 0) and the scores of that line."""
+    rows = P.line_rows(notes).withColumn("d", S.text_features(F.col("content")))
+    return S.best_of_lines(rows.crossJoin(F.broadcast(queries.select("query_id", "q"))))
 
 
-def text_channel(queries: DataFrame, notes: DataFrame) -> DataFrame:
-    """Notes with a line that fits a passage query."""
+def text_channel(queries: DataFrame, notes: DataFrame, index: P.Postings | None = None) -> DataFrame:
+    """Notes with a line that fits a passage query. Lines are found through an inverted index (built here unless one is given); only those that can pass are scored."""
     asked = queries.where(F.col("q")["kind"] == "snippet_focus")
-    b = best_lines(asked, notes).where((F.col("phrase") >= PHRASE_GATE) | ((F.col("text") >= TEXT_GATE) & (F.col("keyword") >= KEYWORD_GATE)))
+    b = P.best_lines(index or P.build(notes), asked).where((F.col("phrase") >= PHRASE_GATE) | ((F.col("text") >= TEXT_GATE) & (F.col("keyword") >= KEYWORD_GATE)))
     x = b.withColumnRenamed("text", "text_score").join(notes.select("rel_path", T.lines(F.col("text")).alias("lines")), "rel_path").join(F.broadcast(asked.select("query_id", "q")), "query_id")
     first = F.col("lines")[0]
     x = x.withColumns({"filename": S.filename_match(F.col("q"), S.path_features(F.col("rel_path"))), "m": S.text_features(S.metadata_text(F.col("rel_path"), F.lit(None).cast("string"), first))})
@@ -131,10 +121,10 @@ def per_file(hits: DataFrame, most: int) -> DataFrame:
     return hits.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
 
 
-def search(queries: DataFrame, notes: DataFrame, chunks: DataFrame, limit: int = 8, top_k: int = 10) -> DataFrame:
+def search(queries: DataFrame, notes: DataFrame, chunks: DataFrame, limit: int = 8, top_k: int = 10, index: P.Postings | None = None) -> DataFrame:
     """The ranked hits of each query: HIT columns but place, with query, query_type and rank."""
     featured = with_features(queries)
-    hits = merge(semantic_channel(featured, chunks, fetch_size(limit, top_k)), filename_channel(featured, notes), text_channel(featured, notes))
+    hits = merge(semantic_channel(featured, chunks, fetch_size(limit, top_k)), filename_channel(featured, notes), text_channel(featured, notes, index))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "rel_path")
     best = per_file(hits, 1).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     return best.join(F.broadcast(featured.select("query_id", "query", F.col("q")["kind"].alias("query_type"))), "query_id").drop("place")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import scores as S
 from marginalia.functions import text as T
 from marginalia.functions import words
+from marginalia.operators import cells as N
 from marginalia.operators import chunks as C
 from marginalia.operators import density as D
 from marginalia.operators import evaluation as E
@@ -237,6 +238,24 @@ def knn_topk(spark, sf_dir):
     return V.nearest(A.searches(spark, sf_dir), A.chunks(spark, sf_dir).select("id", "embedding"), 30).select("query_id", "id", "rank", r6("distance"))
 
 
+_ITEM_KNN = f"WITH s AS (SELECT item_id query_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id), a AS (SELECT query_id, vec_id id, {_L2} distance FROM embeddings v, s), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) rank FROM a)"
+
+
+@query(_ITEM_KNN + " SELECT query_id, id, rank::INT AS rank, round(distance, 6) AS distance FROM k WHERE rank <= 30")
+def knn_cells(spark, sf_dir):
+    """The neighbours of every benchmark item's vector among all vectors, through the index of cells."""
+    index = N.build(A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+    return N.nearest(index, A.items(spark, sf_dir), 30).select("query_id", "id", "rank", r6("distance"))
+
+
+@query("SELECT (SELECT count(*) FROM benchmark JOIN embeddings ON vec_id = item_id) AS queries, (SELECT count(*) FROM embeddings) AS vectors, true AS under_half")
+def knn_cells_read(spark, sf_dir):
+    """How many of the vectors that search compares in full: less than half of all pairs."""
+    vectors, items = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), A.items(spark, sf_dir)
+    index, n = N.build(vectors), items.count()
+    return N.share_read(index, N.candidates(index, items, 30), n).select(F.lit(n).cast("long").alias("queries"), F.lit(index.vectors).cast("long").alias("vectors"), (F.col("share") < 0.5).alias("under_half"))
+
+
 @query(f"WITH {_KNN} SELECT query_id, id, round(1 - (rank - 1) / 49.0, 6) AS score FROM k WHERE rank <= 50")
 def semantic_rank(spark, sf_dir):
     near = V.nearest(A.searches(spark, sf_dir), A.chunks(spark, sf_dir).select("id", "embedding"), 50)

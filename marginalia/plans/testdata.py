@@ -54,6 +54,12 @@ def searches(spark: SparkSession, sf_dir: str, embedded: bool = True) -> DataFra
     return q.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item with the vector of its number: query_id, embedding."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).join(v, "query_id")
+
+
 def old_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The notes' manifest before changes: every tenth note missing, every seventh older, a hundred that are gone since."""
     n = notes(spark, sf_dir).where("doc_id % 10 <> 3").select("rel_path", (F.col("mtime") - F.when(F.col("doc_id") % 7 == 0, 1.0).otherwise(0.0)).alias("mtime"), "size")
