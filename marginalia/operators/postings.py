@@ -1,9 +1,10 @@
 """Inverted index of the lines of notes, and the lines of a batch of queries that can score at all.
 
-The index, three tables:
+The index, four tables:
   lines     note, line, content: every line once
   postings  word, note, line, before, after: every place of every word, with its neighbours in the line; filed in folders by the word's hash
-  words     word, lines: how many lines a word is in; gram: each run of three characters of a word, for words that contain a query's token
+  words     word, lines: how many places a word has
+  grams     gram, word, lines: each run of three characters of a word, in order, to find the words that contain a query's token
 
 Search. A line matters only if one of its five scores reaches LEAST. Each score then needs words of the query to be there, which is a join of
 words with postings, not a scan of texts:
@@ -26,13 +27,13 @@ from pyspark.sql import functions as F
 from marginalia.functions import scores as S
 from marginalia.functions import text as T
 from marginalia.functions.columns import let
-from marginalia.sources.scratch import new_path, spread
+from marginalia.sources.scratch import kept, new_path, spread
 
 #: The least score of a line that matters, in hundredths: the lower of the gates of the text channel.
 LEAST = 55
 #: At most this share of a query's tokens, in hundredths, is left out of the look-up.
 LEFT_OUT = 25
-FOLDERS = 32
+FOLDERS, SALTS = 32, 4
 RUN = "[a-z0-9']+"
 
 
@@ -53,6 +54,10 @@ class Postings:
     def postings(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/postings")
 
+    @property
+    def grams(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/grams")
+
     @property
     def words(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/words")
@@ -81,19 +86,21 @@ def build(notes: DataFrame, path: str | None = None) -> Postings:
     found = let(norm, lambda w: places(w, T.tokens(F.col("content"))))
     rows = lines.select(F.explode(found).alias("p"), "rel_path", "line").select("p.*", "rel_path", "line")
     filed = rows.withColumn("folder", _folder(F.col("word")))
-    filed.repartition("folder", F.xxhash64("rel_path") % 8).sortWithinPartitions("folder", "word").write.partitionBy("folder").parquet(f"{path}/postings")
+    # A frequent word makes its folder large: each folder is dealt out to SALTS tasks.
+    filed.repartition(FOLDERS * SALTS, "folder", F.pmod(F.xxhash64("rel_path"), F.lit(SALTS))).sortWithinPartitions("folder", "word").write.partitionBy("folder").parquet(f"{path}/postings")
     counts = spark.read.parquet(f"{path}/postings").groupBy("word").agg(F.count(F.lit(1)).alias("lines"))
     grams = F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring(F.col("word"), i, F.lit(3)))
     grams = F.when(F.length("word") >= 3, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
-    counts.withColumn("grams", grams).write.parquet(f"{path}/words")
+    counts.write.parquet(f"{path}/words")
+    words = spark.read.parquet(f"{path}/words")
+    words.select("word", "lines", F.explode(grams).alias("gram")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/grams")
     return Postings(spark, path)
 
 
 def _holding(index: Postings, tokens: DataFrame) -> DataFrame:
     """tokens: token. token, word, lines for the words that contain it: those that have its first three characters in a row are compared."""
-    grams = index.words.select("word", "lines", F.explode("grams").alias("gram"))
     asked = tokens.select("token", F.substring("token", 1, 3).alias("gram")).distinct()
-    return grams.join(asked, "gram").where(F.contains("word", "token")).select("token", "word", "lines")
+    return index.grams.join(asked, "gram").where(F.contains("word", "token")).select("token", "word", "lines")
 
 
 def needles(index: Postings, queries: DataFrame) -> DataFrame:
@@ -108,10 +115,10 @@ def needles(index: Postings, queries: DataFrame) -> DataFrame:
     runs = F.transform("terms", lambda t: F.array_max(F.transform(F.regexp_extract_all(t, F.lit(RUN), F.lit(0)), lambda r: F.struct(F.length(r).alias("k"), r.alias("r")))))
     run = toks.select("query_id", F.explode(F.filter(runs, lambda r: r["k"] >= 3)).alias("r")).select("query_id", F.col("r.r").alias("token")).distinct()
     # Words that contain a token, and how many lines those are in (counted by place, which is enough to order tokens).
-    holding = _holding(index, one.select("token").union(run.select("token")).distinct()).persist()
+    holding = kept(_holding(index, one.select("token").union(run.select("token")).distinct()), "holding")
     inside = holding.groupBy("token").agg(F.sum("lines").alias("inside"))
     as_word = index.words.select(F.col("word").alias("token"), F.col("lines").alias("own"))
-    known = one.join(inside, "token", "left").join(as_word, "token", "left").na.fill(0, ["inside", "own"])
+    known = kept(one.join(inside, "token", "left").join(as_word, "token", "left").na.fill(0, ["inside", "own"]), "tokens")
 
     # Text and keyword: all distinct tokens but the most frequent.
     mine = known.groupBy("query_id", "n", "token", "own").agg(F.count(F.lit(1)).alias("weight"))

@@ -13,6 +13,7 @@ from marginalia.functions import scores as S
 from marginalia.functions import text as T
 from marginalia.operators import postings as P
 from marginalia.operators.vectors import nearest
+from marginalia.sources.scratch import kept
 
 FILENAME_GATE, PHRASE_GATE, TEXT_GATE, KEYWORD_GATE = 0.55, 0.62, 0.55, 0.50
 HIT = (
@@ -22,7 +23,8 @@ HIT = (
 
 
 def with_features(queries: DataFrame) -> DataFrame:
-    return queries.withColumn("q", S.query_features(F.col("query")))
+    """queries with q, their features. Every channel reads these rows several times, so they are written once."""
+    return kept(queries.withColumn("q", S.query_features(F.col("query"))), "queries")
 
 
 def fetch_size(limit: int, top_k: int) -> int:

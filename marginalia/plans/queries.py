@@ -342,6 +342,16 @@ def text_channel(spark, sf_dir):
     return x.select("query_id", "rel_path", "start_line", "end_line", "snippet", r6("score"), F.array_join("reasons", ", ").alias("reasons"))
 
 
+_ITEM_ROWS = "q0 AS (SELECT item_id query_id, 'find the passage ' || replace(text, chr(10), ' ') query FROM benchmark)"
+
+
+@query(f"WITH {_ITEM_ROWS}, {X.features('q0')}, {X.NOTES}, {_TEXT_CHANNEL} SELECT query_id, rel_path, start_line, end_line, round(score, 6) AS score, reasons FROM tc")
+def passage_search(spark, sf_dir):
+    """Every benchmark item, as a whole, looked for in all lines of all notes."""
+    x = Q.text_channel(Q.with_features(A.passages(spark, sf_dir)), A.notes(spark, sf_dir))
+    return x.select("query_id", "rel_path", "start_line", "end_line", r6("score"), F.array_join("reasons", ", ").alias("reasons"))
+
+
 _SEM = {"semantic": "sem", "keyword": "kw", "filename": "f", "text": "tx", "metadata": "md", "phrase": "ph"}
 _RELEVANCE = f"CASE WHEN {X.norm('x')} = '' THEN 0.0 ELSE greatest({X.phrase_match('c3', X.norm('x'))}, {X.text_match('c3.phrase', 'c3.toks', 'lower(x)', X.tokens('x'))}, {X.keyword('c3.toks', X.tokens('x'))}) END"
 _SEM_CHANNEL = (

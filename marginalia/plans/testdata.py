@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.sources.scratch import spread
 
 #: A batch of search queries, by number; a query's embedding is the vector of its number.
 SEARCHES = (
@@ -27,7 +28,8 @@ ANSWERS = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, over all cores: the small ones are one row group, which one task would read and work on alone."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +62,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).join(v, "query_id")
 
 
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a query for a passage: query_id, query."""
+    text = F.concat(F.lit("find the passage "), F.replace("text", F.lit("\n"), F.lit(" ")))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"))
+
+
 def old_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The notes' manifest before changes: every tenth note missing, every seventh older, a hundred that are gone since."""
     n = notes(spark, sf_dir).where("doc_id % 10 <> 3").select("rel_path", (F.col("mtime") - F.when(F.col("doc_id") % 7 == 0, 1.0).otherwise(0.0)).alias("mtime"), "size")
