@@ -44,18 +44,10 @@ def drop_intermediates(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _release(spark: SparkSession) -> None:
-    """Once the driver's heap has grown to half of its limit, collect it: it shrinks again, and Spark drops broadcasts and shuffle files of finished steps."""
-    runtime = spark._jvm.java.lang.Runtime.getRuntime()
-    if 2 * runtime.totalMemory() > runtime.maxMemory():
-        spark._jvm.java.lang.System.gc()
-
-
 def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path, compression=compression)
-    _release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,15 +5,14 @@ held against a minimum-covariance-determinant estimate of their group, the docum
 MIN_GROUP documents are held against the estimate of their whole language; languages of fewer, against that of all documents.
 
 The estimate has three deterministic starts: medians and quartile ranges; means and all covariances; and the covariances of statistics pulled in by a
-hyperbolic tangent. In a concentration step the HALF share of the group nearest by Mahalanobis distance gives the next mean and covariance. Each start
-takes FIRST_STEPS; of each group the start of least determinant then goes on (of equal ones the first), until no group's determinant changes any
-more, for MORE_STEPS at most. The covariance is made consistent for the normal case and FLOOR squared is added to its diagonal, because most clean
+hyperbolic tangent. In a concentration step the HALF share of the group nearest by Mahalanobis distance gives the next mean and covariance. Every start
+goes on until its determinant falls no more, with no other end; of each group the start of least determinant counts (of equal ones the first). The covariance is made consistent for the normal case and FLOOR squared is added to its diagonal, because most clean
 texts have exactly no symbols and no repeats, so that the raw determinant is zero. A document is rejected if its squared distance
 exceeds the chi-square quantile at 1 - TAIL.
 
-All of it is DataFrame work. Every step over the documents is a count by (group, bin) or a sum of moments by group, so
-a group that holds a third of all rows costs no task more than the others; nearest shares are found from
-histograms of log distance with BIN steps a unit, over all documents. Group statistics are one narrow row a group and start; they are broadcast only while
+All of it is DataFrame work. The documents are counted once, by group and point of a grid of the four statistics; all steps go over these points, one
+aggregation by (group, start, bin of distance) each, so a group that holds a third of all rows costs no task more than the others, and a step costs
+the same whatever the number of documents. Nearest shares are found from histograms of log distance with BIN steps a unit. Group statistics are one narrow row a group and start; they are broadcast only while
 there are at most BROADCAST_GROUPS, and joined plainly beyond.
 
 Edge cases: a null text has no words (base_failed); null languages and sources form groups of their own, apart from the wider groups; repeated rows
@@ -39,10 +38,10 @@ STATS = ("x_len", "x_sym", "x_line", "x_rep")
 FLOOR = (0.06, 0.25, 0.5, 0.08)
 PRIOR_WORDS, PRIOR_LEN = 50, 5.0
 MIN_GROUP, HALF, TAIL, BIN, BROADCAST_GROUPS = 60, 0.5, 1e-6, 200, 20_000
-#: Concentration steps from every start, and the most that follow from the best one.
-FIRST_STEPS, MORE_STEPS = 2, 4
-#: A determinant that changes by less than this share has settled.
-SETTLED = 1e-6
+#: Steps of the statistics' grid on which estimates are made: a hundredth or so of the least standard deviations.
+GRID = (0.001, 0.005, 0.01, 0.001)
+#: Concentration steps between two looks at the determinants; a log determinant that has not fallen by SETTLED since the last look has settled.
+STEPS, SETTLED = 3, 1e-6
 
 
 def words(text: Column) -> Column:
@@ -126,25 +125,25 @@ def _joined(df: DataFrame, small: DataFrame, on: str, few: bool) -> DataFrame:
 
 
 def _cholesky(df: DataFrame, factor: float) -> DataFrame:
-    """From mean and covariance columns m{i}, c{i}{j} (j <= i) to m{i}, l{i}{j}, with the covariance scaled and floored."""
+    """From mean and covariance columns m{i}, c{i}{j} (j <= i) to m{i}, l{i}{j}, with the covariance scaled and floored: one column of the factor at a time."""
     p = len(STATS)
-    for i in range(p):
-        for j in range(i + 1):
-            x = F.col(f"c{i}{j}") * factor + (FLOOR[i] ** 2 if i == j else 0.0)
-            for k in range(j):
-                x = x - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(x, F.lit(1e-12))) if i == j else x / F.col(f"l{j}{j}"))
+
+    def rest(i: int, j: int) -> Column:
+        x = F.col(f"c{i}{j}") * factor + (FLOOR[i] ** 2 if i == j else 0.0)
+        return sum((-F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), x)
+
+    for j in range(p):
+        root = F.sqrt(F.greatest(rest(j, j), F.lit(1e-12)))
+        df = df.withColumns({f"l{i}{j}": root if i == j else rest(i, j) / root for i in range(j, p)})
     return df
 
 
 def _distance(df: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance, by forward substitution."""
+    y: list[Column] = []
     for i, c in enumerate(STATS):
-        y = F.col(c) - F.col(f"m{i}")
-        for k in range(i):
-            y = y - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        df = df.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
-    return df.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, len(STATS))), F.col("y0") * F.col("y0")))
+        y.append(sum((-F.col(f"l{i}{k}") * y[k] for k in range(i)), F.col(c) - F.col(f"m{i}")) / F.col(f"l{i}{i}"))
+    return df.withColumn("d2", sum((v * v for v in y[1:]), y[0] * y[0]))
 
 
 def _quantile_bins(counts: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
@@ -154,10 +153,21 @@ def _quantile_bins(counts: DataFrame, keys: list[str], shares: dict[str, float])
     return c.groupBy(*keys).agg(*[F.min(F.when(F.col("_cum") >= F.lit(q) * F.col("_all"), F.col("bin"))).alias(name) for name, q in shares.items()])
 
 
-def _moments(prefix: str = "") -> list[Column]:
-    """Means and (population) covariances of STATS, as m{i} and c{i}{j}."""
-    x = [f"{prefix}{c}" for c in STATS]
-    return [*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.covar_pop(a, b).alias(f"c{i}{j}") for i, a in enumerate(x) for j, b in enumerate(x[: i + 1])]]
+#: Sums over points of weight k that give means and covariances: s (weights), s{i} (first moments), s{i}{j} (second).
+SUMS = ("s", *[f"s{i}" for i in range(len(STATS))], *[f"s{i}{j}" for i in range(len(STATS)) for j in range(i + 1)])
+
+
+def _sums(prefix: str = "") -> list[Column]:
+    x = [F.col(f"{prefix}{c}") for c in STATS]
+    k = F.col("k")
+    return [F.sum(k).alias("s"), *[F.sum(k * a).alias(f"s{i}") for i, a in enumerate(x)], *[F.sum(k * a * b).alias(f"s{i}{j}") for i, a in enumerate(x) for j, b in enumerate(x[: i + 1])]]
+
+
+def _moments(df: DataFrame, *keys: str) -> DataFrame:
+    """From the sums: keys, means m{i} and (population) covariances c{i}{j}."""
+    p = range(len(STATS))
+    df = df.withColumns({f"m{i}": F.col(f"s{i}") / F.col("s") for i in p})
+    return df.select(*keys, *[f"m{i}" for i in p], *[(F.col(f"s{i}{j}") / F.col("s") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i in p for j in range(i + 1)])
 
 
 def _log_det() -> Column:
@@ -165,45 +175,70 @@ def _log_det() -> Column:
 
 
 def _starts(x: DataFrame) -> DataFrame:
-    """gid, start, m{i} and c{i}{j} of the three starts of each group."""
+    """x: gid, STATS, k. gid, start, m{i} and c{i}{j} of the three starts of each group."""
     p = range(len(STATS))
     pairs = [(i, j) for i in p for j in range(i + 1)]
-    stacked = x.select("gid", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.round(F.col(c) * 1000).cast("long").alias("bin")) for i, c in enumerate(STATS)])).alias("s"))
-    counts = stacked.groupBy("gid", "s.f", "s.bin").agg(F.count(F.lit(1)).alias("k"))
+    stacked = x.select("gid", "k", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.round(F.col(c) * 1000).cast("long").alias("bin")) for i, c in enumerate(STATS)])).alias("s"))
+    counts = stacked.groupBy("gid", "s.f", "s.bin").agg(F.sum("k").alias("k"))
     q = _quantile_bins(counts, ["gid", "f"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     middle = q.groupBy("gid").agg(*[F.max(F.when(F.col("f") == i, F.col("q2"))).alias(f"q{i}") for i in p], *[F.max(F.when(F.col("f") == i, F.col("q3") - F.col("q1"))).alias(f"w{i}") for i in p])
     middle = materialize(middle.select("gid", *[(F.col(f"q{i}") / 1000).alias(f"q{i}") for i in p], *[(F.col(f"w{i}") / 1349.0).alias(f"w{i}") for i in p]), "middle")
     first = middle.select("gid", F.lit(0).alias("start"), *[F.col(f"q{i}").alias(f"m{i}") for i in p], *[(F.pow(F.col(f"w{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in pairs])
-    second = x.groupBy("gid").agg(*_moments()).withColumn("start", F.lit(1))
+    second = _moments(x.groupBy("gid").agg(*_sums()), "gid").withColumn("start", F.lit(1))
     scale = [F.greatest(F.col(f"w{i}"), F.lit(FLOOR[i])) for i in p]
     pulled = _joined(x, middle, "gid", middle.count() <= BROADCAST_GROUPS)
-    pulled = pulled.select("gid", *[F.col(f"q{i}") for i in p], *[F.col(f"w{i}") for i in p], *[F.tanh((F.col(c) - F.col(f"q{i}")) / scale[i]).alias(f"t_{c}") for i, c in enumerate(STATS)])
-    third = pulled.groupBy("gid", *[f"q{i}" for i in p], *[f"w{i}" for i in p]).agg(*_moments("t_"))
+    pulled = pulled.select("gid", "k", *[F.col(f"q{i}") for i in p], *[F.col(f"w{i}") for i in p], *[F.tanh((F.col(c) - F.col(f"q{i}")) / scale[i]).alias(f"t_{c}") for i, c in enumerate(STATS)])
+    third = _moments(pulled.groupBy("gid", *[f"q{i}" for i in p], *[f"w{i}" for i in p]).agg(*_sums("t_")), "gid", *[f"q{i}" for i in p], *[f"w{i}" for i in p])
     third = third.select("gid", F.lit(2).alias("start"), *[F.col(f"q{i}").alias(f"m{i}") for i in p], *[(F.col(f"c{i}{j}") * scale[i] * scale[j]).alias(f"c{i}{j}") for i, j in pairs])
     return first.unionByName(second).unionByName(third)
 
 
+def _step(x: DataFrame, fit: DataFrame, few: bool, factor: float) -> DataFrame:
+    """One concentration step of every (gid, start) of fit: one pass over the points.
+
+    Points are summed up by bins of their distance; the nearest bins that hold HALF of a group together are summed up again.
+    """
+    far = _distance(_joined(x, fit, "gid", few)).withColumn("bin", F.floor(F.log1p("d2") * BIN).cast("long"))
+    bins = far.groupBy("gid", "start", "bin").agg(*_sums())
+    own = Window.partitionBy("gid", "start")
+    bins = bins.withColumns({"_before": F.sum("s").over(own.orderBy("bin")) - F.col("s"), "_all": F.sum("s").over(own)})
+    near = bins.where(F.col("_before") < F.lit(HALF) * F.col("_all")).groupBy("gid", "start").agg(*[F.sum(c).alias(c) for c in SUMS])
+    return _cholesky(_moments(near, "gid", "start"), factor).withColumn("log_det", _log_det()).select("gid", "start", *FIT)
+
+
+FIT = (*[f"m{i}" for i in range(len(STATS))], *[f"l{i}{j}" for i in range(len(STATS)) for j in range(i + 1)], "log_det")
+
+
 def robust_fit(x: DataFrame) -> tuple[DataFrame, bool]:
     """x: gid and STATS. (one row for each gid with m{i}, l{i}{j}, log_det and start; whether there are few groups)."""
-    columns = [*[f"m{i}" for i in range(len(STATS))], *[f"l{i}{j}" for i in range(len(STATS)) for j in range(i + 1)]]
-    fit = materialize(_cholesky(_starts(x), 1.0).select("gid", "start", *columns, F.lit(None).cast("double").alias("log_det")), "mcd")
+    x = materialize(points(x), "points")
+    fit = materialize(_cholesky(_starts(x), 1.0).select("gid", "start", *FIT[:-1], F.lit(None).cast("double").alias("log_det")), "mcd")
     few = fit.count() <= BROADCAST_GROUPS
     cut = chi2_quantile(HALF, len(STATS))
     factor = HALF / chi2_cdf(cut, len(STATS) + 2)
-    for step in range(FIRST_STEPS + MORE_STEPS):
-        # Each document meets every start of its group that is left.
-        far = _distance(_joined(x, fit, "gid", few)).select("gid", "start", "log_det", *STATS, F.floor(F.log1p("d2") * BIN).cast("long").alias("bin"))
-        edge = _quantile_bins(far.groupBy("gid", "start", "bin").agg(F.count(F.lit(1)).alias("k")), ["gid", "start"], {"edge": HALF})
-        near = far.join(F.broadcast(edge) if few else edge, ["gid", "start"]).where("bin <= edge")
-        sums = near.groupBy("gid", "start").agg(F.first("log_det").alias("_last"), *_moments())
-        fit = _cholesky(sums, factor).withColumn("log_det", _log_det()).select("gid", "start", *columns, "log_det", "_last")
-        if step == FIRST_STEPS - 1:
-            fit = fit.groupBy("gid").agg(F.min_by(F.struct("start", *columns, "log_det", "_last"), F.struct(F.round("log_det", 9), "start")).alias("b")).select("gid", "b.*")
-        fit = materialize(fit, "mcd")
-        if step >= FIRST_STEPS and fit.where(F.abs(F.col("log_det") - F.col("_last")) > SETTLED).isEmpty():
+    done = None
+    while True:
+        # The first round goes from the starts, which have no determinant of their own to be held against.
+        new = fit
+        for _ in range(STEPS):
+            new = _step(x, new, few, factor)
+        was = fit.select("gid", "start", F.struct(*FIT).alias("was"))
+        new = new.select("gid", "start", F.struct(*FIT).alias("now")).join(F.broadcast(was) if few else was, ["gid", "start"])
+        less = F.col("was.log_det").isNull() | (F.col("now.log_det") < F.col("was.log_det") - SETTLED)
+        new = materialize(new.select("gid", "start", (~less).alias("settled"), F.when(less, F.col("now")).otherwise(F.col("was")).alias("b")).select("gid", "start", "settled", "b.*"), "mcd")
+        ended = new.where("settled").drop("settled")
+        done = ended if done is None else done.unionByName(ended)
+        fit = new.where("not settled").drop("settled")
+        if fit.isEmpty():
             break
-        fit = fit.drop("_last")
-    return fit, few
+    best = done.groupBy("gid").agg(F.min_by(F.struct("start", *FIT), F.struct(F.round("log_det", 9), "start")).alias("b")).select("gid", "b.*")
+    return materialize(best, "mcd"), few
+
+
+def points(x: DataFrame) -> DataFrame:
+    """gid, STATS (rounded to GRID) and k, the documents there: what the estimates are made of. Its size is bounded by the grid, not by the documents."""
+    rounded = [(F.round(F.col(c) / g) * g).alias(c) for c, g in zip(STATS, GRID)]
+    return x.select("gid", *rounded).groupBy("gid", *STATS).agg(F.count(F.lit(1)).cast("double").alias("k"))
 
 
 def _group_of(level: str, *names: str) -> Column:
@@ -220,7 +255,8 @@ def judge(docs: DataFrame) -> DataFrame:
     sizes = materialize(fits.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_n")), "sizes")
     own, language, every = _group_of("source", "lang", "source"), _group_of("language", "lang"), _group_of("all")
     spoken = sizes.groupBy("lang").agg(F.sum("_n").alias("_of_lang"), F.min("_n").alias("_least")).withColumnRenamed("lang", "_k")
-    groups = sizes.join(spoken, F.col("lang").eqNullSafe(F.col("_k"))).withColumn("_wide", F.min("_of_lang").over(Window.partitionBy(F.lit(1))) < MIN_GROUP)
+    rarest = spoken.agg(F.min("_of_lang")).first()[0]
+    groups = sizes.join(spoken, F.col("lang").eqNullSafe(F.col("_k"))).withColumn("_wide", F.lit(rarest is not None and rarest < MIN_GROUP))
     # gid: what a document is held against; member: the groups whose estimates it is counted in.
     gid = F.when(F.col("_n") >= MIN_GROUP, own).when(F.col("_of_lang") >= MIN_GROUP, language).otherwise(every)
     member = F.array_compact(F.array(F.when(F.col("_n") >= MIN_GROUP, own), F.when((F.col("_least") < MIN_GROUP) & (F.col("_of_lang") >= MIN_GROUP), language), F.when(F.col("_wide"), every)))

@@ -479,6 +479,23 @@ def test_least_determinant(spark):
             assert max(abs(got[f"m{i}"] - x[:10, i].mean()) for i in range(4)) < 1.0
 
 
+def test_estimates_have_settled(spark):
+    """Further steps lower no determinant, and no verdict changes."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(300, 4)) * [0.2, 0.6, 1.2, 0.2], rng.normal(size=(140, 4)) * [0.3, 0.6, 1.2, 0.1] + 3])
+    df = spark.createDataFrame([(f"g{i % 2}", *map(float, r)) for i, r in enumerate(x)], "gid string, x_len double, x_sym double, x_line double, x_rep double")
+    fit, _ = quality.robust_fit(df)
+    cut = quality.chi2_quantile(quality.HALF, 4)
+    on, points = fit, quality.points(df)
+    for _ in range(6):
+        on = queries.materialize(quality._step(points, on, True, quality.HALF / quality.chi2_cdf(cut, 6)), "more")
+    was, now = ({r.gid: r for r in f.collect()} for f in (fit, on))
+    assert all(now[g].log_det >= was[g].log_det - 2 * quality.SETTLED for g in was)
+    limit = quality.chi2_quantile(1 - quality.TAIL, 4)
+    verdict = lambda f: sorted((r.gid, r.x_len, r.d2 <= limit) for r in quality._distance(df.join(f, "gid")).collect())
+    assert verdict(fit) == verdict(on)
+
+
 def test_chi_square():
     assert quality.chi2_quantile(0.95, 4) == pytest.approx(9.4877, abs=1e-3) and quality.chi2_cdf(12.5916, 6) == pytest.approx(0.95, abs=1e-4)
 
