@@ -13,6 +13,7 @@ from marginalia.operators import density, evaluation, grounding, index, listing,
 from marginalia.providers import HashedEmbedding, NoLanguageModel
 from marginalia.sources import files, jsonl, manifest
 from marginalia.sources.config import Config
+from marginalia.sources.scratch import kept
 
 
 class ToolError(ValueError):
@@ -30,10 +31,12 @@ def required(value: str | None, name: str) -> str:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, config: Config, embed=None, llm=None, log_path: str | None = None, eval_path: str | None = None):
+    def __init__(self, spark: SparkSession, config: Config, embed=None, llm=None, log_path: str | None = None, eval_path: str | None = None, candidates_path: str | None = None):
         self.spark, self.config = spark, config
         self.embed, self.llm = embed or HashedEmbedding(), llm or NoLanguageModel()
         self.log_path, self.eval_path = log_path or f"{config.data_dir}/search_log", eval_path
+        self.candidates_path = candidates_path or f"{config.data_dir}/eval_candidates.json"
+        self.group = f"marginalia-index-{id(self)}"
         self.lock, self.state = threading.Lock(), {"running": False, "last": None, "error": None}
 
     # Tables.
@@ -57,8 +60,16 @@ class Engine:
         return self.notes().join(self.indexed().files.select("rel_path"), "rel_path", "left_semi")
 
     def queries(self, *texts: str) -> DataFrame:
-        q = self.spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
-        return self.embed(q, "query")
+        """query_id, query, embedding. Embeddings come from the cache of queries; only those that it lacks are asked for."""
+        return self.embedded(self.spark.createDataFrame(list(enumerate(texts)), "query_id long, query string"))
+
+    def embedded(self, rows: DataFrame) -> DataFrame:
+        """rows (query_id, query) with embedding, through the cache."""
+        name = getattr(self.embed, "model", type(self.embed).__name__)
+        key = T.cache_key(F.lit(name), F.col("query"))
+        wanted = rows.select("query_id", "query", key.alias("cache_key"), F.lit(name).alias("model"), F.col("query").alias("query_text"))
+        cache = manifest.embedding_cache(self.spark, f"{self.config.data_dir}/query_embeddings")
+        return manifest.read_through(wanted, cache, lambda x: self.embed(x, "query_text").select("cache_key", "model", "query_text", "embedding")).select("query_id", "query", "embedding")
 
     # Tools.
 
@@ -69,8 +80,10 @@ class Engine:
     def query_notes(self, *queries: str, limit: int = 8) -> DataFrame:
         for q in queries:
             required(q, "query")
-        hits = search.search(self.queries(*queries), self.indexed_notes(), self.chunks(), clamp(limit, 1, 30), self.config.top_k)
-        jsonl.append(jsonl.log_rows(hits, F.unix_micros(F.current_timestamp()) / 1e6), self.log_path)
+        asked = self.queries(*queries)
+        found = search.search(asked, self.indexed_notes(), self.chunks(), clamp(limit, 1, 30), self.config.top_k)
+        hits = kept(found, "hits")  # searched once: for the log and for the caller
+        jsonl.append(jsonl.log_rows(asked, hits, F.unix_micros(F.current_timestamp()) / 1e6), self.log_path)
         return hits
 
     def search_notes(self, query: str, top_k: int | None = None, include_text: bool = True, max_chars: int = 35_000) -> DataFrame:
@@ -80,25 +93,35 @@ class Engine:
         return vectors.within_budget(found, clamp(max_chars, 500, 200_000)) if include_text else found.withColumn("text", F.lit(""))
 
     def answer_from_notes(self, question: str, top_k: int = 10, max_sources_chars: int | None = None) -> dict:
-        most = max_sources_chars or self.config.max_sources_chars
-        packed = grounding.packed_sources(self.search_notes(question, clamp(top_k, 1, 30), True, 200_000), most)
-        block, allowed = grounding.sources_block(packed).first(), grounding.allowed_citations(packed).first()
-        if block is None:
-            return {"ok": True, "answer": grounding.REFUSAL}
-        system = "Answer only from the sources, in two sections: 'Answer:' and 'Evidence:' with quoted lines that end in (rel_path: start-end)."
-        prompt = f"SOURCES\n{block.sources}\n\nQUESTION\n{question}"
-        reason = ""
-        for _ in range(2):
-            answer = self.llm(system, prompt if not reason else f"{prompt}\n\nYour last answer failed: {reason}\n{answer}")
-            row = self.spark.createDataFrame([(answer, allowed.allowed)], "a string, allowed array<string>")
-            reason = row.select(grounding.validate_answer(F.col("a"), F.col("allowed"))).first()[0]
-            if reason == "OK":
-                return {"ok": True, "answer": answer}
-        return {"ok": False, "answer": grounding.REFUSAL, "reason": reason}
-
-    def chat(self, query: str, history: list[tuple[str, str]] = ()) -> str:
-        said = "\n".join(f"{role}: {text}" for role, text in list(history)[-2 * self.config.max_history_turns :]) if self.config.max_history_turns else ""
-        return self.llm("You are a helpful assistant.", f"{said}\nuser: {required(query, 'query')}".strip())
+        r = self.answers(required(question, "question"), top_k=top_k, max_sources_chars=max_sources_chars).first()
+        return {"ok": r.ok, "answer": r.answer} | ({} if r.ok else {"reason": r.reason})
+
+    def answers(self, *questions: str, top_k: int = 10, max_sources_chars: int | None = None) -> DataFrame:
+        """query_id, query, ok, answer, reason, rounds for a batch of questions; the language model is called in the tasks."""
+        q, k = self.queries(*questions), clamp(top_k, 1, 30)
+        found = vectors.within_budget(vectors.hybrid_rerank(q, vectors.nearest(q, self.chunks(), 3 * k), k), 200_000)
+        return grounding.answers(q, grounding.packed_sources(found, max_sources_chars or self.config.max_sources_chars), self.llm)
+
+    def chat(self, query: str, history: list[tuple[str, str]] | None = None) -> str:
+        """An answer without notes. Without a history of the caller's own, the stored one is used, and the two new turns are added to it."""
+        past = self.history() if history is None else list(history)
+        most = 2 * self.config.max_history_turns
+        said = "\n".join(f"{role}: {text}" for role, text in (past[-most:] if most else []))
+        answer = self.llm("You are a helpful assistant.", f"{said}\nuser: {required(query, 'query')}".strip())
+        if history is None:
+            turns = self.spark.createDataFrame([("user", query, time.time(), 0), ("assistant", answer, time.time(), 1)], "role string, content string, ts double, place long")
+            jsonl.append_turns(turns, self.config.chat_history_path)
+        return answer
+
+    def history(self) -> list[tuple[str, str]]:
+        """The last turns of the stored chat, oldest first."""
+        if not jsonl.exists(self.spark, self.config.chat_history_path):
+            return []
+        turns = jsonl.read_history(self.spark, self.config.chat_history_path).orderBy(F.desc("ts"), F.desc("place")).limit(2 * max(1, self.config.max_history_turns))
+        return [(r.role, r.content) for r in turns.collect()][::-1]
+
+    def clear_history(self) -> bool:
+        return jsonl.clear(self.spark, self.config.chat_history_path)
 
     def density(self, question: str) -> str | None:
         """The report that a density question asks for, or None if it is none."""
@@ -135,41 +158,76 @@ class Engine:
     def list_large_files(self, min_size_mb: float = 1.0, limit: int = 100) -> DataFrame:
         return listing.large_files(files.discover(self.spark, self.config.doc_root, self.config.include_ext), float(min_size_mb), clamp(limit, 1, 500))
 
-    def eval_candidates(self, limit: int = 25) -> DataFrame:
-        cases = jsonl.read_cases(self.spark, self.eval_path) if self.eval_path else self.spark.createDataFrame([], jsonl.CASE)
-        return evaluation.candidates(jsonl.read_log(self.spark, self.log_path), cases, clamp(limit, 1, 200))
+    def cases(self) -> DataFrame:
+        return jsonl.read_cases(self.spark, self.eval_path) if self.eval_path and jsonl.exists(self.spark, self.eval_path) else self.spark.createDataFrame([], jsonl.CASE)
+
+    def eval_candidates(self, limit: int = 25, refresh: bool = False) -> DataFrame:
+        """The stored page of candidates; with refresh, or where none is stored, a new one is made from the search log and stored."""
+        at = self.candidates_path
+        if refresh or not jsonl.exists(self.spark, at):
+            log = jsonl.read_log(self.spark, self.log_path) if jsonl.exists(self.spark, self.log_path) else jsonl.clean_log(self.spark.createDataFrame([], "value string, line_no long"))
+            jsonl.write_candidates(evaluation.candidates(log, self.cases(), 200), at)
+        return jsonl.read_candidates(self.spark, at).where(F.col("n") <= clamp(limit, 1, 200))
 
     def eval_promote(self, selections: list = (), promote_all: bool = False) -> DataFrame:
-        """The cases with the selected candidates; without a selection, all of them only if promote_all says so."""
+        """Write the cases with the selected candidates, and the candidates that are left; the cases. Without a selection, all are taken only if promote_all says so."""
         found = self.eval_candidates(200)
         picked = None if promote_all else evaluation.parse_selections([str(s) for s in selections], 200) if selections else []
-        return evaluation.promote(found, jsonl.read_cases(self.spark, self.eval_path), picked)[0]
-
-    def run_eval(self, limit: int = 8) -> str:
-        """All cases in one batch: the rates as text."""
-        cases = jsonl.read_cases(self.spark, self.eval_path).withColumn("query_id", F.monotonically_increasing_id()).cache()
-        hits = search.search(self.embed(cases.select("query_id", "query"), "query"), self.indexed_notes(), self.chunks(), limit, self.config.top_k)
-        return evaluation.summary(evaluation.rates(evaluation.case_ranks(cases, hits), limit).first(), limit)
+        cases, left = (kept(x, "promoted") for x in evaluation.promote(found, self.cases(), picked))
+        if not self.eval_path:
+            raise ToolError("no file of cases is configured")
+        jsonl.write_cases(cases, self.eval_path)
+        jsonl.write_candidates(left, self.candidates_path)
+        return self.cases()
+
+    def eval_rows(self, limit: int = 8) -> DataFrame:
+        """Each case with rank, snippet_rank and query_type, all searched in one batch."""
+        cases = kept(self.cases().withColumn("query_id", F.monotonically_increasing_id()), "cases")
+        hits = search.search(self.embedded(cases.select("query_id", "query")), self.indexed_notes(), self.chunks(), limit, self.config.top_k)
+        return kept(evaluation.case_ranks(cases, hits), "ranked")
+
+    def run_eval(self, limit: int = 8, each=None) -> str:
+        """All cases: the rates as text. each is called with every case's row as it is read back, one partition at a time."""
+        ranked = self.eval_rows(limit)
+        for row in ranked.orderBy("query_id").toLocalIterator() if each else ():
+            each(row)
+        return evaluation.summary(evaluation.rates(ranked, limit).first(), limit)
 
     def reindex_status(self) -> dict:
-        return dict(self.state)
-
-    def reindex_now(self, wait: bool = True, force: bool = False, lock_timeout: float = 300) -> dict:
-        """One pass; with wait=False in the background. One pass runs at a time, and the lock is taken before a start is reported."""
-        if not self.lock.acquire(timeout=clamp(lock_timeout, 1.0, 86_400.0) if wait else 0):
-            return {"started": False, **self.state}
+        """The state of the last or the running pass; while one runs, its phase with counts, and the tasks of the stages that Spark is working on."""
+        state = dict(self.state)
+        if state["running"]:
+            tracker = self.spark.sparkContext.statusTracker()
+            stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(self.group) if (info := tracker.getJobInfo(j)) and info.status == "RUNNING" for s in info.stageIds]
+            stages = [s for s in stages if s]
+            state |= {"tasks": sum(s.numTasks for s in stages), "tasks_done": sum(s.numCompletedTasks for s in stages)}
+        return state
+
+    def reindex_now(self, wait: bool = True, force: bool = False, lock_timeout: float = 300, force_reindex: bool | None = None, lock_timeout_seconds: float | None = None, embed=None) -> dict:
+        """One pass; with wait=False in the background. One pass runs at a time, and the lock is taken before a start is reported.
+
+        force_reindex and lock_timeout_seconds are other names of force and lock_timeout.
+        """
+        force, lock_timeout = force if force_reindex is None else force_reindex, lock_timeout if lock_timeout_seconds is None else lock_timeout_seconds
+        if not self.lock.acquire(timeout=clamp(float(lock_timeout), 1.0, 86_400.0) if wait else 0):
+            return {"started": False, **self.reindex_status()}
+        self.state = {"running": True, "last": None, "error": None, "started_at": time.time(), "phase": "start"}
+
+        def tell(**progress) -> None:
+            self.state = self.state | progress
 
         def run() -> None:
             try:
-                self.state = {"running": True, "last": None, "error": None, "started_at": time.time()}
+                self.spark.sparkContext.setJobGroup(self.group, "index pass")
                 c = self.config
-                counters = index.index_once(self.spark, self.notes(), c.index_dir, index.IndexConfig(c.chunk_chars, c.chunk_overlap, c.max_chunks_per_file, c.max_file_size_mb, embed=self.embed), force)
+                counters = index.index_once(self.spark, self.notes(), c.index_dir, index.IndexConfig(c.chunk_chars, c.chunk_overlap, c.max_chunks_per_file, c.max_file_size_mb, embed=embed or self.embed), force, tell)
                 self.state = {"running": False, "last": counters, "error": None}
             except Exception as e:
                 self.state = {"running": False, "last": None, "error": str(e)}
                 if wait:
                     raise
             finally:
+                self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
                 self.lock.release()
 
         if wait:

@@ -38,21 +38,35 @@ def cut(text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP) -> list[tupl
         start = max(end - overlap, start + 1)
 
 
-def chunk_notes(notes: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLAP, most: int = MOST_CHUNKS) -> DataFrame:
-    """notes: rel_path, text. rel_path, chunk_index, start_line, end_line, text; at most `most` chunks a note.
+CHUNK = "rel_path string, chunk_index int, start_line int, end_line int, text string"
+
+
+def chunk_rows(notes: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLAP, most: int = MOST_CHUNKS, cutter=cut) -> DataFrame:
+    """notes: rel_path, text. The columns of CHUNK and error: one row for each chunk, at most `most` a note, and one for each note that fails, with the reason.
 
     The start of a chunk depends on the end of the one before, which no built-in function expresses; texts pass through
-    Python once, in Arrow batches, without a shuffle.
+    Python once, in Arrow batches, without a shuffle. A note whose cutting raises an error costs no other note.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = cut(text or "", size, overlap)[:most]
+                try:
+                    rows, error = cutter(text or "", size, overlap)[:most], None
+                except Exception as e:
+                    rows, error = [(None, None, None, None)], f"{type(e).__name__}: {e}"
                 if rows:
                     k, a, b, body = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(k)), pa.array(k, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(body)], ["rel_path", "chunk_index", "start_line", "end_line", "text"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path] * len(k)), pa.array(k, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(body, pa.string()), pa.array([error] * len(k), pa.string())],
+                        ["rel_path", "chunk_index", "start_line", "end_line", "text", "error"],
+                    )
 
-    return notes.select("rel_path", "text").mapInArrow(run, "rel_path string, chunk_index int, start_line int, end_line int, text string")
+    return notes.select("rel_path", "text").mapInArrow(run, f"{CHUNK}, error string")
+
+
+def chunk_notes(notes: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLAP, most: int = MOST_CHUNKS) -> DataFrame:
+    """The chunks of chunk_rows(); notes that fail have none."""
+    return chunk_rows(notes, size, overlap, most).where("error is null").drop("error")
 
 
 def enrich(chunks: DataFrame, notes: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.functions import words
 from marginalia.functions.columns import let
+from marginalia.sources.scratch import kept
 
 
 def citation(path: Column, start: Column, end: Column) -> Column:
@@ -53,6 +55,51 @@ def validate_answer(text: Column, allowed: Column, accept_refusal: bool = True)
     return F.when(T.strip(text) == REFUSAL, "OK").otherwise(out) if accept_refusal else out
 
 
+INSTRUCTIONS = "Answer only from the sources, in two sections: 'Answer:' and 'Evidence:' with quoted lines that end in (rel_path: start-end)."
+
+
+def _asked(rows: DataFrame, llm, prompt: Column) -> DataFrame:
+    """rows with answer and failure: the model is called once a row, in the tasks; a call that fails is a row with its reason."""
+    def run(batches):
+        for b in batches:
+            answers, failures = [], []
+            for p in b.column("_prompt").to_pylist():
+                try:
+                    answers.append(llm(INSTRUCTIONS, p))
+                    failures.append(None)
+                except Exception as e:
+                    answers.append(None)
+                    failures.append(f"{type(e).__name__}: {e}")
+            yield b.drop_columns(["_prompt"]).append_column("answer", pa.array(answers, pa.string())).append_column("failure", pa.array(failures, pa.string()))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.withColumn("_prompt", prompt).mapInArrow(run, f"{kinds}, answer string, failure string")
+
+
+def answers(questions: DataFrame, packed: DataFrame, llm) -> DataFrame:
+    """questions: query_id, query. packed: packed_sources(). query_id, query, ok, answer, reason, rounds for every question.
+
+    The model answers each question from its sources; an answer that fails its check is asked for once more, with the reason. A question without
+    sources, and one whose second answer fails, gets the refusal; a model that raises an error fails its own question alone. Each round's answers are
+    written before they are checked, so no call is made twice.
+    """
+    x = questions.select("query_id", "query").join(sources_block(packed), "query_id", "left").join(allowed_citations(packed), "query_id", "left")
+    x = kept(x, "questions")
+    none = x.where("sources is null").select("query_id", "query", F.lit(True).alias("ok"), F.lit(REFUSAL).alias("answer"), F.lit(None).cast("string").alias("reason"), F.lit(0).alias("rounds"))
+    prompt = F.concat(F.lit("SOURCES\n"), F.col("sources"), F.lit("\n\nQUESTION\n"), F.col("query"))
+    verdict = F.when(F.col("failure").isNotNull(), F.col("failure")).otherwise(validate_answer(F.col("answer"), F.col("allowed")))
+    one = kept(_asked(x.where("sources is not null"), llm, prompt), "answers").withColumn("reason", verdict)
+    again = one.where("reason <> 'OK'").withColumnRenamed("answer", "last").drop("failure")
+    more = F.concat(prompt, F.lit("\n\nYour last answer failed: "), F.col("reason"), F.lit("\n"), F.coalesce("last", F.lit("")))
+    two = kept(_asked(again, llm, more).drop("reason", "last"), "answers").withColumn("reason", verdict)
+
+    def told(rows: DataFrame, rounds: int) -> DataFrame:
+        good = F.col("reason") == "OK"
+        return rows.select("query_id", "query", good.alias("ok"), F.when(good, F.col("answer")).otherwise(REFUSAL).alias("answer"), F.when(~good, F.col("reason")).alias("reason"), F.lit(rounds).alias("rounds"))
+
+    return none.unionByName(told(one.where("reason = 'OK'"), 1)).unionByName(told(two, 2))
+
+
 def recent_turns(turns: DataFrame, most_turns: int = 12, by: str = "conv_id", order: str = "turn") -> DataFrame:
     """The last 2 * most_turns rows of each conversation."""
     w = Window.partitionBy(by).orderBy(F.desc(order))

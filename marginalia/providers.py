@@ -35,7 +35,10 @@ class HashedEmbedding:
 
 
 class BatchEmbedding:
-    """A client that embeds lists of texts (texts -> vectors), called in batches of `batch` from Arrow batches on the executors."""
+    """A client that embeds lists of texts (texts -> vectors), called in batches of `batch` from Arrow batches on the executors.
+
+    Where a batch fails, its texts are sent one by one; those that fail alone have a null vector and the reason in the column error.
+    """
 
     def __init__(self, make_client, batch: int = 96):
         self.make_client, self.batch = make_client, batch
@@ -46,18 +49,27 @@ class BatchEmbedding:
 
         make, size = self.make_client, self.batch
 
+        def one(client, given: list[str]) -> list[tuple]:
+            try:
+                return [(list(map(float, v)), None) for v in client(given)]
+            except Exception as e:
+                if len(given) == 1:
+                    return [(None, f"{type(e).__name__}: {e}")]
+                return [x for t in given for x in one(client, [t])]
+
         def embed(parts):
             client = make()
             for part in parts:
                 out = []
                 for at in range(0, len(part), size):
-                    out += [list(map(float, v)) for v in client(part.iloc[at : at + size].tolist())]
-                yield pd.Series(out)
+                    out += one(client, part.iloc[at : at + size].tolist())
+                yield pd.DataFrame(out, columns=["embedding", "error"])
 
         from collections.abc import Iterator
 
-        embed.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        return rows.withColumn("embedding", pandas_udf(embed, "array<float>")(F.col(text)))
+        embed.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+        out = rows.withColumn("_e", pandas_udf(embed, "embedding array<float>, error string")(F.col(text)))
+        return out.select(*rows.columns, "_e.embedding", "_e.error")
 
 
 class NoLanguageModel:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
-import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.sources import pointers
 
 HIT = "struct<rel_path:string,start_line:int,end_line:int,snippet:string,score:double,reasons:array<string>>"
 LOG = f"ts double, query string, query_type string, top_hits array<{HIT}>"
@@ -16,18 +16,37 @@ TURN = "role string, content string, ts double"
 CASE = "query string, expected_paths array<string>, expected_snippet_terms array<string>, expected_query_type string, notes string"
 
 
-def log_rows(hits: DataFrame, ts: Column, most: int = 5) -> DataFrame:
-    """hits: query_id, query, query_type, rank, rel_path, start_line, end_line, snippet, score, reasons. One log row for each query, with its first hits."""
+def log_rows(queries: DataFrame, hits: DataFrame, ts: Column, most: int = 5) -> DataFrame:
+    """queries: query_id, query. hits: query_id, query_type, rank, rel_path, start_line, end_line, snippet, score, reasons. One log row for each query, with its first hits (none: an empty list)."""
     few = hits.where(F.col("rank") <= most)
     hit = F.struct("rel_path", "start_line", "end_line", "snippet", F.round("score", 6).alias("score"), "reasons")
     listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", hit.alias("hit")))), lambda s: s["hit"])
-    return few.groupBy("query_id", "query", "query_type").agg(listed.alias("top_hits")).select(ts.alias("ts"), "query", "query_type", "top_hits")
+    found = few.groupBy("query_id").agg(listed.alias("top_hits"))
+    x = queries.select("query_id", "query", T.query_type(F.col("query")).alias("query_type")).join(found, "query_id", "left")
+    return x.select(ts.alias("ts"), "query", "query_type", F.coalesce("top_hits", F.array().cast(f"array<{HIT}>")).alias("top_hits"))
 
 
 def append(rows: DataFrame, path: str) -> None:
+    """Add rows to a folder of JSON lines. Files become visible when the whole job has ended (the writer's two-phase commit)."""
     rows.write.mode("append").json(path)
 
 
+def clear(spark: SparkSession, path: str) -> bool:
+    """Delete a folder or file of JSON lines; whether there was one."""
+    fs, p = pointers.file_of(spark, path)
+    return bool(fs.exists(p) and fs.delete(p, True))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = pointers.file_of(spark, path)
+    return bool(fs.exists(p))
+
+
+def append_turns(turns: DataFrame, path: str) -> None:
+    """turns: role, content, ts, and place (order of equal times)."""
+    append(turns.select("role", "content", "ts", "place"), path)
+
+
 def clean_log(raw: DataFrame) -> DataFrame:
     """raw: value (a line) and line_no. Blank lines, malformed JSON, other than objects and blank queries are dropped; hits that are no objects too."""
     kept = raw.where(F.trim("value").startswith("{")).withColumn("j", F.from_json("value", LOG, {"mode": "PERMISSIVE"}))
@@ -46,8 +65,8 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Chat turns; malformed lines are dropped, as in the log."""
-    raw = spark.read.text(path).withColumn("j", F.from_json("value", TURN))
-    return raw.where(F.col("j").isNotNull() & F.col("j")["role"].isNotNull()).select("j.*")
+    raw = spark.read.text(path).withColumn("j", F.from_json("value", TURN + ", place bigint"))
+    return raw.where(F.col("j").isNotNull() & F.col("j")["role"].isNotNull()).select("j.role", "j.content", "j.ts", F.coalesce("j.place", F.lit(0)).alias("place"))
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -66,10 +85,34 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     return x.select((F.col("i") + 1).alias("n"), "j.*")
 
 
+def write_array(rows: DataFrame, path: str, order: Column, *left_out: str) -> int:
+    """rows as one JSON array file, which takes the place of the old one when it is whole; their number.
+
+    For lists that people review and edit (cases, a page of candidates): the array is put together by Spark and is one row.
+    """
+    spark = rows.sparkSession
+    item = F.struct(order.alias("o"), F.to_json(F.struct(*[c for c in rows.columns if c not in left_out])).alias("j"))
+    listed = rows.select(item.alias("x")).agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["j"]).alias("all"))
+    text, n = listed.select(F.concat(F.lit("[\n  "), F.array_join("all", ",\n  "), F.lit("\n]\n")), F.size("all")).first()
+    fs, fresh = pointers.file_of(spark, f"{path}.{uuid.uuid4().hex}.new")
+    _, old = pointers.file_of(spark, path)
+    out = fs.create(fresh, False)
+    out.write(bytearray((text if n else "[]\n").encode()))
+    out.close()
+    _, aside = pointers.file_of(spark, f"{path}.old")
+    fs.delete(aside, False)
+    if fs.exists(old):
+        fs.rename(old, aside)
+    if not fs.rename(fresh, old):
+        raise OSError(f"could not write {path}")
+    return n
+
+
 def write_candidates(found: DataFrame, path: str) -> int:
-    """One small JSON array file (at most a page of candidates for people to review); the number written."""
-    rows = [json.loads(r) for r in found.orderBy("n").drop("n").toJSON().collect()]
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps(rows, indent=2, ensure_ascii=True) + "\n")
-    return len(rows)
+    """Candidates as one JSON array, in the order of n; the number written."""
+    return write_array(found, path, F.col("n"), "n")
+
+
+def write_cases(cases: DataFrame, path: str) -> int:
+    """Cases as one JSON array, in the order of their queries; the number written."""
+    return write_array(cases, path, F.col("query"))

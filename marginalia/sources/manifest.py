@@ -6,13 +6,16 @@ a large index costs the buckets that its changes touch, and readers see the old
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.sources import pointers
+from marginalia.sources.keyed import KeyedTable
+from marginalia.sources.scratch import kept
+
 FILES = "rel_path string, mtime double, size bigint"
 
 
@@ -23,19 +26,13 @@ class Generation:
     version: str
     buckets: dict[int, str]  # bucket: its folder, relative to the index
     count: int
+    number: int = 0
 
 
 def empty_files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], FILES)
 
 
-def _file(spark: SparkSession, path: str):
-    """(file system, path) through Hadoop, so that any store that Spark reaches will do."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def bucket_of(count: int):
     """The bucket of a note."""
     return F.pmod(F.xxhash64("rel_path"), F.lit(count)).cast("int")
@@ -46,33 +43,26 @@ def read_buckets(spark: SparkSession, path: str, folders) -> DataFrame | None:
 
 
 def current(spark: SparkSession, path: str) -> Generation | None:
-    fs, p = _file(spark, f"{path}/current.json")
-    if not fs.exists(p):
+    found = pointers.newest(spark, path)
+    if found is None:
         return None
-    meta = json.loads(spark.read.text(f"{path}/current.json", wholetext=True).first()[0])
+    number, meta = found
     buckets = {int(k): v for k, v in meta["buckets"].items()}
-    return Generation(spark.read.parquet(f"{path}/{meta['files']}"), read_buckets(spark, path, sorted(buckets.values())), meta["version"], buckets, meta["count"])
+    return Generation(spark.read.schema(FILES).parquet(f"{path}/{meta['files']}"), read_buckets(spark, path, sorted(buckets.values())), meta["version"], buckets, meta["count"], number)
 
 
 def commit(spark: SparkSession, path: str, files: DataFrame, chunks: DataFrame, touched: list[int], version: str, count: int) -> None:
-    """chunks: all rows of the touched buckets. Write them and the files, then point to them by renaming a finished file over the pointer."""
+    """chunks: all rows of the touched buckets. Write them and the files, then publish a pointer to them; a crash at any step leaves the last version."""
     old = current(spark, path)
     name = f"gen-{uuid.uuid4().hex}"
     chunks.withColumn("bucket", bucket_of(count)).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{name}/chunks")
     files.write.parquet(f"{path}/{name}/files")
-    fs, p = _file(spark, f"{path}/current.json")
     buckets = {k: v for k, v in (old.buckets if old and old.count == count else {}).items() if k not in set(touched)}
     for k in touched:  # a bucket whose notes are all gone has no folder
-        if fs.exists(_file(spark, f"{path}/{name}/chunks/bucket={k}")[1]):
+        fs, folder = pointers.file_of(spark, f"{path}/{name}/chunks/bucket={k}")
+        if fs.exists(folder):
             buckets[k] = f"{name}/chunks/bucket={k}"
-    _, fresh = _file(spark, f"{path}/{name}/current.json")
-    out = fs.create(fresh, True)
-    out.write(bytearray(json.dumps({"files": f"{name}/files", "buckets": buckets, "version": version, "count": count}).encode()))
-    out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(fresh, p):
-        raise OSError(f"could not point {path} to {name}")
+    pointers.publish_next(spark, path, old.number if old else 0, {"files": f"{name}/files", "buckets": buckets, "version": version, "count": count})
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str = "rel_path") -> DataFrame:
@@ -88,8 +78,17 @@ def lookup(table: DataFrame, key: str, value) -> DataFrame:
     return table.where(F.col(key) == F.lit(value))
 
 
-def read_through(wanted: DataFrame, cache: DataFrame, embed) -> tuple[DataFrame, DataFrame]:
-    """wanted: cache_key, model, query_text. (wanted with embedding, the cache with the new ones). embed is called on the misses only."""
-    misses = embed(wanted.join(cache.select("cache_key"), "cache_key", "left_anti").dropDuplicates(["cache_key"]))
-    full = cache.select("cache_key", "model", "query_text", "embedding").unionByName(misses.select("cache_key", "model", "query_text", "embedding"))
-    return wanted.join(full.select("cache_key", "embedding"), "cache_key"), full
+CACHE = "cache_key string, model string, query_text string, embedding array<float>"
+
+
+def embedding_cache(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, CACHE, "cache_key")
+
+
+def read_through(wanted: DataFrame, cache: KeyedTable, embed) -> DataFrame:
+    """wanted: cache_key, model, query_text and any others. wanted with embedding; embed is called once on each key that the table lacks, and what it gives is merged into it."""
+    lacking = wanted.join(cache.read().select("cache_key"), "cache_key", "left_anti").dropDuplicates(["cache_key"]).select("cache_key", "model", "query_text")
+    misses = kept(embed(lacking), "embedded")
+    if not misses.isEmpty():
+        cache.merge(misses)
+    return wanted.join(cache.read().select("cache_key", "embedding"), "cache_key")

@@ -8,7 +8,7 @@ from marginalia.engine import Engine, ToolError
 from marginalia.sources.config import Config, load_config
 from marginalia.streaming.index_stream import watch
 from marginalia.streaming.log_stream import keep_latest, read_log_stream, windowed_counts
-from marginalia.sources import manifest
+from marginalia.sources import jsonl, manifest
 
 
 @pytest.fixture(scope="module")
@@ -42,12 +42,63 @@ def test_tools(engine):
     assert engine.list_large_files(0).count() == 2 and engine.find_files("mode").count() == 1
     assert engine.run_eval().startswith("Summary: hit@1=1/1 (100.0%)")
     assert engine.eval_candidates().isEmpty()  # the only logged query is a case already
+    each = []
+    assert engine.run_eval(each=each.append).startswith("Summary") and [(r.query, r["rank"]) for r in each] == [("find my note about docker", 1)]
+    status = engine.reindex_status()
+    assert status["phase"] == "done" if "phase" in status else status["last"]["scanned"] == 2
+    assert engine.reindex_now(force_reindex=True, lock_timeout_seconds=5)["last"]["updated"] == 2
     with pytest.raises(ToolError):
         engine.find_files(" ")
     with pytest.raises(ToolError):
         engine.call("drop_everything")
 
 
+def test_candidates_are_promoted(engine):
+    engine.query_notes("network host mode", "zzzz qqqq in no note at all")
+    log = jsonl.read_log(engine.spark, engine.log_path)
+    assert {r.query for r in log.collect()} >= {"network host mode", "zzzz qqqq in no note at all"}
+    found = engine.eval_candidates(refresh=True)
+    assert "network host mode" in {r.query for r in found.collect()}
+    n = found.where("query = 'network host mode'").first().n
+    assert {r.query for r in engine.eval_promote([n]).collect()} == {"find my note about docker", "network host mode"}
+    assert "network host mode" not in {r.query for r in engine.eval_candidates().collect()}
+    with open(engine.eval_path) as f:
+        assert len(json.load(f)) == 2
+
+
+def test_chat_history(engine):
+    assert engine.history() == [] and not engine.clear_history()
+    said = []
+    engine.llm, kept = (lambda s, p, temperature=0.1: said.append(p) or f"answer {len(said)}"), engine.llm
+    try:
+        engine.chat("one")
+        engine.chat("two")
+        engine.chat("apart", history=[])
+    finally:
+        engine.llm = kept
+    assert engine.history() == [("user", "one"), ("assistant", "answer 1"), ("user", "two"), ("assistant", "answer 2")]
+    assert "answer 1" in said[1] and "one" not in said[2] and engine.clear_history() and engine.history() == []
+
+
+def test_query_embeddings_are_cached(engine):
+    asked, real = [], engine.embed
+
+    class Counting:
+        model = "counting"
+
+        def __call__(self, rows, text="text"):
+            asked.append(rows.count())
+            return real(rows, text)
+
+    engine.embed = Counting()
+    try:
+        for _ in range(2):
+            assert engine.queries("alpha", "beta", "alpha").count() == 3
+    finally:
+        engine.embed = real
+    assert asked == [2, 0]
+
+
 def test_server(engine):
     ask = lambda **m: server.handle(engine, {"jsonrpc": "2.0", "id": 1, **m})
     assert len(ask(method="tools/list")["result"]["tools"]) == 13

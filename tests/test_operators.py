@@ -164,14 +164,17 @@ def test_rates(spark):
     assert evaluation.summary(r).startswith("Summary: hit@1=0/2 (0.0%), hit@3=1/2 (50.0%)")
 
 
-def test_read_through(spark):
-    cache = spark.createDataFrame([("k1", "m", "t1", [1.0])], "cache_key string, model string, query_text string, embedding array<float>")
-    wanted = spark.createDataFrame([("k1", "m", "t1"), ("k2", "m", "t2"), ("k2", "m", "t2")], "cache_key string, model string, query_text string")
+def test_read_through(spark, tmp_path):
+    cache = manifest.embedding_cache(spark, str(tmp_path / "cache"))
+    cache.upsert(spark.createDataFrame([("k1", "m", "t1", [1.0])], manifest.CACHE))
+    wanted = spark.createDataFrame([("k1", "m", "t1", 1), ("k2", "m", "t2", 2), ("k2", "m", "t2", 3)], "cache_key string, model string, query_text string, query_id int")
     asked = []
 
     def embed(df):
         asked.extend(r.cache_key for r in df.collect())
         return df.withColumn("embedding", F.array(F.lit(2.0).cast("float")))
 
-    got, full = manifest.read_through(wanted, cache, embed)
-    assert asked == ["k2"] and got.count() == 3 and full.count() == 2
+    for _ in range(2):  # the second time all is there
+        got = manifest.read_through(wanted, cache, embed)
+        assert sorted((r.query_id, r.embedding) for r in got.collect()) == [(1, [1.0]), (2, [2.0]), (3, [2.0])]
+    assert asked == ["k2"] and cache.read().count() == 2 and cache.version == 2
