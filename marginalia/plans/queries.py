@@ -22,6 +22,10 @@ from marginalia.operators import search as Q
 from marginalia.operators import vectors as V
 from marginalia.plans import sqltext as X
 from marginalia.plans import testdata as A
+from marginalia.sources import jsonl
+from marginalia.sources import manifest as M
+from marginalia.sources.keyed import KeyedTable
+from marginalia.sources.scratch import kept, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,7 +53,7 @@ _DENSITY = {
     "url": "list_filter(list_transform(regexp_extract_all(t, '\\bhttps?://[^\\s<>''\"`]+'), lambda u: regexp_replace(u, '[.,;:!?)\\]}]+$', '')), lambda u: u <> '')",
     "api_key": " || ".join(f"regexp_extract_all(t, {X.quote(p)})" for p in words.API_KEYS),
     "credit_card": "list_filter(list_transform(regexp_extract_all(t, '\\b(?:\\d[ -]?){13,19}\\b'), lambda c: regexp_replace(c, '[^0-9]', '', 'g')), lambda c: length(c) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(c) + 1), lambda i: CASE WHEN (length(c) - i) % 2 = 1 THEN (CASE WHEN 2 * substr(c, i, 1)::INT > 9 THEN 2 * substr(c, i, 1)::INT - 9 ELSE 2 * substr(c, i, 1)::INT END) ELSE substr(c, i, 1)::INT END)) % 10 = 0)",
-    "sql": "list_transform(list_filter(list_transform(regexp_extract_all(t, '(?is)(?:^|[;\\n])\\s*((?:" + words.SQL_VERBS + ")\\b[\\s\\S]{1,1000}?;)', 1) || regexp_extract_all(t, '(?im)^\\s*(?:" + words.SQL_VERBS + ")\\b[^\\n;]{6,}$'), lambda s: lower(trim(s, E' \\n\\t\\r'))), lambda s: s <> '' AND NOT ((prefix(s, 'select') OR prefix(s, 'with')) AND NOT contains(s, ' from '))), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g')))",
+    "sql": "list_transform(list_filter(list_transform(regexp_extract_all(t, '(?is)(?:^|[;\\n])\\s*((?:" + words.SQL_VERBS + ")\\b[\\s\\S]{1,600}?[\\s\\S]{0,600}?;)', 1) || regexp_extract_all(t, '(?im)^\\s*(?:" + words.SQL_VERBS + ")\\b[^\\n;]{6,}$'), lambda s: lower(trim(s, E' \\n\\t\\r'))), lambda s: s <> '' AND NOT ((prefix(s, 'select') OR prefix(s, 'with')) AND NOT contains(s, ' from '))), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g')))",
 }
 
 
@@ -58,7 +62,7 @@ def _density_sql(target: str, rows: str) -> str:
 
 
 _DOC_ROWS = "SELECT lang || '/' || source || '/doc_' || doc_id || '.txt' rel_path, text t FROM documents"
-_PAGE_ROWS = "SELECT 'page_' || page_id rel_path, html t FROM pages"
+_PAGE_ROWS = "SELECT 'page_' || page_id rel_path, html || ' ' || url t FROM pages"
 _URL_ROWS = "SELECT 'page_' || page_id rel_path, url || ' and ' || url || '). See ' || url || '#a' t FROM pages"
 #: Keys and statements do not occur in the tables; these rows carry them beside each event.
 _KEY_ROWS = "SELECT 'event_' || event_id rel_path, 'key AKIA' || upper(lpad(user_id::VARCHAR, 16, 'A')) || ' and sk-' || lpad(event_id::VARCHAR, 18, 'x') || ', sk-short' t FROM events"
@@ -74,7 +78,7 @@ def _density(name: str, target: str, rows: str, notes) -> None:
 
 
 def _pages(spark, sf_dir):
-    return A.table(spark, sf_dir, "pages").select(F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("rel_path"), F.col("html").alias("text"))
+    return A.table(spark, sf_dir, "pages").select(F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("rel_path"), F.concat("html", F.lit(" "), "url").alias("text"))
 
 
 def _page_urls(spark, sf_dir):
@@ -476,7 +480,33 @@ def index_stats(spark, sf_dir):
 
 @query(_DIFF + "SELECT rel_path, mtime, size FROM x WHERE status IN ('new', 'changed', 'unchanged')")
 def manifest_upsert(spark, sf_dir):
-    return I.next_manifest(_diff(spark, sf_dir))
+    """The manifest as a keyed table: the old rows are put in, then the changed ones take their place and the deleted ones leave; read back."""
+    changes = kept(_diff(spark, sf_dir), "changes")
+    table = KeyedTable(spark, new_path(spark, "manifest"), M.FILES, "rel_path")
+    table.upsert(A.old_manifest(spark, sf_dir))
+    table.merge(changes.where(F.col("status").isin("new", "changed")).select("rel_path", "mtime", "size"), changes.where(F.col("status").isin("deleted", "oversize")).select("rel_path"))
+    return table.read()
+
+
+@query(_DIFF + "SELECT rel_path, s AS size FROM o WHERE rel_path IN (SELECT 'en/gone/doc_' || i || '.txt' FROM range(3) r(i))")
+def manifest_lookup(spark, sf_dir):
+    """Rows of single keys, each read from its own bucket."""
+    table = KeyedTable(spark, new_path(spark, "manifest"), M.FILES, "rel_path")
+    table.upsert(A.old_manifest(spark, sf_dir))
+    out = [table.lookup(f"en/gone/doc_{i}.txt").select("rel_path", "size") for i in range(3)]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query("SELECT conv_id, turn, sha256('hashed' || chr(10) || text) AS cache_key, length(text)::BIGINT AS n FROM conversations")
+def embedding_cache(spark, sf_dir):
+    """Every turn's embedding through a cache that holds the turns of even conversations: only the others are embedded, repeats once."""
+    turns = A.table(spark, sf_dir, "conversations")
+    key = T.cache_key(F.lit("hashed"), F.col("text"))
+    wanted = turns.select("conv_id", "turn", "text", key.alias("cache_key"), F.lit("hashed").alias("model"), F.col("text").alias("query_text"))
+    cache = M.embedding_cache(spark, new_path(spark, "cache"))
+    length = lambda x: x.withColumn("embedding", F.array(F.length("query_text").cast("float")))
+    cache.upsert(length(wanted.where("conv_id % 2 = 0").dropDuplicates(["cache_key"])))
+    return M.read_through(wanted, cache, length).select("conv_id", "turn", "cache_key", F.col("embedding")[0].cast("long").alias("n"))
 
 
 # Grounding.
@@ -499,9 +529,22 @@ def citation_set(spark, sf_dir):
     return G.allowed_citations(_packed(spark, sf_dir)).select("query_id", F.array_join("allowed", " ").alias("allowed"))
 
 
-@query()
+_ANSWERS = ", ".join(f"(-1::BIGINT, {i}::BIGINT, {X.quote(t)})" for i, t in enumerate(A.ANSWERS))
+_CITE = "'\\(([^:()]+):\\s*(\\d+)-(\\d+)\\)\\s*$'"
+_VERDICT = (
+    f"CASE WHEN NOT contains(b, '\"') THEN 'Evidence bullet missing quotes.' WHEN NOT regexp_matches(b, {_CITE}) THEN 'Evidence bullet missing valid citation format.' "
+    f"WHEN regexp_extract(b, {_CITE}, 1) || ':' || regexp_extract(b, {_CITE}, 2) || '-' || regexp_extract(b, {_CITE}, 3) <> 'a/b.md:1-3' THEN 'Citation not in provided sources: ' || regexp_extract(b, {_CITE}, 1) || ':' || regexp_extract(b, {_CITE}, 2) || '-' || regexp_extract(b, {_CITE}, 3) END"
+)
+
+
+@query(
+    f"WITH a AS (SELECT * FROM (VALUES {_ANSWERS}) v(conv_id, turn, text) UNION ALL SELECT conv_id, turn, 'Answer:' || chr(10) || 'x' || chr(10) || 'Evidence:' || chr(10) || '- \"' || text || '\" (a/b.md: 1-' || turn || ')' FROM conversations), "
+    "e AS (SELECT *, list_filter(list_transform(string_split(substr(text, instr(text, 'Evidence:') + 9), chr(10)), lambda x: trim(x, E' \\n\\t\\r')), lambda x: prefix(x, '-')) bullets FROM a), "
+    f"f AS (SELECT *, list_filter(list_transform(bullets, lambda b: {_VERDICT}), lambda r: r IS NOT NULL) bad FROM e) "
+    "SELECT conv_id, turn, CASE WHEN trim(text, E' \\n\\t\\r') = 'I can''t find that in your notes.' THEN 'OK' WHEN NOT (contains(text, 'Answer:') AND contains(text, 'Evidence:')) THEN 'Missing required sections.' WHEN len(bullets) = 0 THEN 'No evidence bullets.' ELSE coalesce(bad[1], 'OK') END AS verdict FROM f"
+)
 def validate_answers(spark, sf_dir):
-    """Fixed answers, and every turn as an answer. (No SQL: see the unit tests.)"""
+    """Fixed answers, and every turn as an answer."""
     fixed = spark.createDataFrame([(-1, i, t) for i, t in enumerate(A.ANSWERS)], "conv_id long, turn long, text string")
     turns = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit('Answer:\nx\nEvidence:\n- "'), F.col("text"), F.lit('" (a/b.md: 1-'), F.col("turn").cast("string"), F.lit(")")).alias("text"))
     return fixed.unionByName(turns).select("conv_id", "turn", G.validate_answer(F.col("text"), F.array(F.lit("a/b.md:1-3"))).alias("verdict"))
@@ -539,20 +582,56 @@ def _ranked_cases(spark, sf_dir):
     return E.case_ranks(A.eval_cases(spark, sf_dir), Q.search(A.searches(spark, sf_dir), A.notes(spark, sf_dir), A.chunks(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"WITH {X.SEARCH_ROWS}, {X.NOTES}, w AS (SELECT query_id, query, lower(list_extract(string_split(query, ' '), -1)) word FROM q0), f AS (SELECT query_id, list_slice(list_sort(list(rel_path)), 1, 10) p FROM w JOIN notes ON contains(lower(text), word) OR contains(lower(rel_path), word) GROUP BY query_id) "
+    "SELECT query_id, query, array_to_string(coalesce(p, []), ' ') AS paths, CASE WHEN query_id % 2 = 0 THEN word ELSE '' END AS terms, CASE WHEN query_id % 2 = 0 THEN 'snippet_focus' END AS expected_query_type FROM w LEFT JOIN f USING (query_id)"
+)
+def eval_cases_load(spark, sf_dir):
+    """The cases, written as a file and read back by the strict reader; those that expect no note are no cases and take no part in the file."""
+    every = A.eval_cases(spark, sf_dir)
+    path = f"{new_path(spark, 'cases')}/cases.json"
+    jsonl.write_cases(every.where(F.size("expected_paths") > 0).select("query", "expected_paths", "expected_snippet_terms", "expected_query_type", F.lit(None).cast("string").alias("notes")), path)
+    read = jsonl.read_cases(spark, path).join(every.select("query_id", "query"), "query")
+    return read.unionByName(every.where(F.size("expected_paths") == 0), allowMissingColumns=True).select("query_id", "query", F.array_join("expected_paths", " ").alias("paths"), F.array_join("expected_snippet_terms", " ").alias("terms"), "expected_query_type")
+
+
+_RANKS = (
+    f"WITH hits AS ({ORACLE_SQL['search_ranked']}), cases AS ({ORACLE_SQL['eval_cases_load']}), x AS (SELECT c.query_id, c.terms, c.paths, c.expected_query_type, h.rank, h.query_type, list_contains(string_split(c.paths, ' '), h.rel_path) hit, "
+    f"c.terms <> '' AND contains({X.norm('h.snippet')}, c.terms) termed FROM cases c LEFT JOIN hits h USING (query_id)), "
+    "r AS (SELECT query_id, min(CASE WHEN hit THEN rank END) rank, min(CASE WHEN hit AND termed THEN rank END) snippet_rank, max(query_type) query_type, max(expected_query_type) expected, max(terms) terms FROM x GROUP BY query_id) "
+)
+
+
+@query(_RANKS + "SELECT query_id, rank, snippet_rank, query_type FROM r")
 def eval_ranks(spark, sf_dir):
-    """Ranks of each case. (No SQL of its own: the hits are those of search_ranked.)"""
     return _ranked_cases(spark, sf_dir).select("query_id", "rank", "snippet_rank", "query_type")
 
 
-@query()
+@query(
+    _RANKS + "SELECT count(*) AS cases, count(*) FILTER (rank = 1) AS hit_1, count(*) FILTER (rank <= 3) AS hit_3, count(*) FILTER (rank <= 8) AS hit_limit, count(expected) AS typed, count(*) FILTER (expected = query_type) AS type_hits, "
+    "count(*) FILTER (terms <> '') AS snippet_cases, count(*) FILTER (terms <> '' AND snippet_rank = 1) AS snippet_1, count(*) FILTER (terms <> '' AND snippet_rank <= 3) AS snippet_3, count(*) FILTER (terms <> '' AND snippet_rank <= 8) AS snippet_limit FROM r"
+)
 def eval_metrics(spark, sf_dir):
     return E.rates(_ranked_cases(spark, sf_dir))
 
 
-@query(
-    f"WITH {X.SEARCH_ROWS}, {X.NOTES}, w AS (SELECT query_id, query, lower(list_extract(string_split(query, ' '), -1)) word FROM q0), f AS (SELECT query_id, list_slice(list_sort(list(rel_path)), 1, 10) p FROM w JOIN notes ON contains(lower(text), word) OR contains(lower(rel_path), word) GROUP BY query_id) "
-    "SELECT query_id, query, array_to_string(coalesce(p, []), ' ') AS paths, CASE WHEN query_id % 2 = 0 THEN word ELSE '' END AS terms, CASE WHEN query_id % 2 = 0 THEN 'snippet_focus' END AS expected_query_type FROM w LEFT JOIN f USING (query_id)"
-)
-def eval_cases_load(spark, sf_dir):
-    return A.eval_cases(spark, sf_dir).select("query_id", "query", F.array_join("expected_paths", " ").alias("paths"), F.array_join("expected_snippet_terms", " ").alias("terms"), "expected_query_type")
+@query()
+def answers_batch(spark, sf_dir):
+    """Every search answered from its packed sources, in two rounds; the model here quotes the first source. (No SQL: see the unit tests.)"""
+    return G.answers(A.searches(spark, sf_dir, embedded=False), _packed(spark, sf_dir), A.quoting_model).select("query_id", "ok", "answer", "rounds")
+
+
+@query(f"WITH {_LOG} SELECT query, count(*) AS searches, count(*) FILTER (nohit) AS without_hit FROM l GROUP BY query")
+def search_log(spark, sf_dir):
+    """The log written as JSON lines and read back, searches without a hit included."""
+    path = new_path(spark, "log")
+    jsonl.append(A.search_log(spark, sf_dir).drop("line_no"), path)
+    return jsonl.read_log(spark, path).groupBy("query").agg(F.count(F.lit(1)).alias("searches"), F.count(F.when(F.size("top_hits") == 0, 1)).alias("without_hit"))
+
+
+@query("SELECT conv_id, turn, role, text AS content FROM conversations")
+def chat_history(spark, sf_dir):
+    """Every turn appended to a history of its own lines and read back, in order."""
+    path = new_path(spark, "history")
+    jsonl.append_turns(A.table(spark, sf_dir, "conversations").select("role", F.col("text").alias("content"), F.col("conv_id").cast("double").alias("ts"), F.col("turn").alias("place")), path)
+    return jsonl.read_history(spark, path).select(F.col("ts").cast("long").alias("conv_id"), F.col("place").alias("turn"), "role", "content")

@@ -92,3 +92,13 @@ def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = q.join(n, n.low.contains(q.word) | F.lower(n.rel_path).contains(q.word)).groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("rel_path")), 1, 10).alias("expected_paths"))
     out = q.join(found, "query_id", "left").withColumn("expected_paths", F.coalesce("expected_paths", F.array().cast("array<string>")))
     return out.select("query_id", "query", "expected_paths", F.when(F.col("query_id") % 2 == 0, F.array("word")).otherwise(F.array().cast("array<string>")).alias("expected_snippet_terms"), "expected_query_type")
+
+
+def quoting_model(system: str, prompt: str) -> str:
+    """A stand-in for a language model: it quotes the first words of the first source, and cites it wrongly the first time that a question is even in length."""
+    header, _, rest = prompt.partition("\n")[2].partition("\n")
+    place = header.partition("] ")[2].replace(":", ": ", 1)
+    question = prompt.partition("QUESTION\n")[2].partition("\n")[0]
+    wrong = len(question) % 2 == 0 and "failed:" not in prompt
+    quote = " ".join(rest.split()[:4]).replace('"', "'")
+    return f'Answer:\nSee the evidence.\n\nEvidence:\n- "{quote}" ({"x/" * wrong}{place})'
