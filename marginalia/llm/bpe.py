@@ -68,6 +68,11 @@ def _tokenizer(path: str):
     return t
 
 
+def vocabulary_size(path: str) -> int:
+    """Ids are below this number."""
+    return _tokenizer(path).get_vocab_size(with_added_tokens=True)
+
+
 @cache
 def pieces(path: str) -> list[bytes]:
     """The bytes of each id: the table that decoding joins with."""

@@ -2,24 +2,28 @@
 
 Stream. The token ids of all documents, each ended by an end-of-document id, form one stream that is cut every STRIDE ids. Documents are
 dealt out into blocks of about BLOCK_BYTES by a hash of id and content; blocks follow each other in the stream by number, and documents within a
-block by id. One sum for each block fixes where each block starts, so all blocks are cut at once, and every sequence number
-0..n-1 is known where it is cut. The last sequence is filled up with a padding id.
+block by id. The blocks' sums are put in order and added up (global_order) and joined back, so every block knows where it starts, all
+blocks are cut at once, and every sequence number 0..n-1 is known where it is cut. The last sequence is filled up with a padding id.
 
 Order. The keyed Feistel permutation of feistel.py, cycle-walking on 0..n-1, gives sequence s the global slot p(s); anyone can compute it and its
 inverse from n and the key.
 
-Shards. Slot x lies in shard x div PER_SHARD at place x mod PER_SHARD. A shard is one row of a table: its slots' ids end to end at a fixed
-stride, little-endian, so place k starts at byte k * STRIDE * bytes. Spark's writer commits whole files, so a lost executor leaves no half shard,
-and any store that Spark writes will do. read_slots() reads any range of slots in order, from the shards of the range only, so a run resumes at any slot.
+Shards. Slot x lies in shard x div PER_SHARD at place x mod PER_SHARD. Range partition r holds shards r * PER_RANGE to (r + 1) * PER_RANGE - 1: since slots
+are numbers without gaps, the ranges are known and equal, and rows go straight to partition r, are sorted there by slot, and are put together one
+shard at a time. Partition r is one file, part-r (file_of). A shard is one row of it: its slots' ids end to end at a fixed stride, little-endian, so
+place k starts at byte k * STRIDE * bytes. Spark's writer commits whole files, so a lost executor leaves no half shard, and any store that Spark
+writes will do. read_slots() reads any range of slots in order, from the files of the range only, so a run resumes at any slot.
 
-Memory is bounded by a block (or one larger document) and by a shard. The texts are dealt out twice: by block and by shard.
+Memory is bounded by a block (or one larger document) and by a shard. The ids are dealt out twice: by block and by range.
 
 Edge cases: a null text counts as empty and is a sole end-of-document id; equal rows follow each other; null ids come first; an empty table
-gives no shard.
+gives no shard. Columns other than doc_id, text and the one that ids names are not read, so none can clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,29 +32,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import feistel
-from marginalia.llm.common import with_let
+from marginalia.llm.common import global_order, with_let
 
-STRIDE, PER_SHARD, KEY = 2048, 2048, 77
+STRIDE, PER_SHARD, PER_RANGE, KEY = 2048, 2048, 2, 77
+SHARD = "shard long, first_slot long, slots int, payload binary"
 BLOCK_BYTES = 16 << 20
 #: Ids of the byte vocabulary that follow its 256 bytes.
 END, PAD = 256, 257
 ID_BYTES = 2
 
 
-def materialise(docs: DataFrame, path: str, ids: Column | None = None, ids_bytes: int = 1, stride: int = STRIDE, per_shard: int = PER_SHARD, key: int = KEY, end: int = END, pad: int = PAD, id_bytes: int = ID_BYTES, block_bytes: int = BLOCK_BYTES) -> int:
+def materialise(docs: DataFrame, path: str, ids: Column | None = None, ids_bytes: int = 1, stride: int = STRIDE, per_shard: int = PER_SHARD, key: int = KEY, end: int = END, pad: int = PAD, id_bytes: int = ID_BYTES, block_bytes: int = BLOCK_BYTES, per_range: int = PER_RANGE) -> int:
     """Write the shards of docs (doc_id, text) below path; the number of sequences.
 
     ids: a binary column of little-endian unsigned ids of ids_bytes each (default: the text's UTF-8 bytes, a byte vocabulary);
-    the shards hold ids of id_bytes.
+    the shards hold ids of id_bytes. docs is read three times: give a table or a cheap plan.
     """
     content = F.coalesce(F.col("text"), F.lit("")).cast("binary") if ids is None else F.coalesce(ids, F.lit(b""))
     size = (F.octet_length(content) / ids_bytes).cast("long") + 1
     total = docs.agg(F.sum(size)).first()[0] or 0
     blocks = max(1, -(-total * ids_bytes // block_bytes))
     block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), content), F.lit(blocks)).cast("int").alias("block")
-    # One number a block: the table holds at most one for each BLOCK_BYTES of input.
-    sums = dict(docs.select(block, size.alias("n")).groupBy("block").agg(F.sum("n")).collect())
-    starts = np.concatenate([[0], np.cumsum([sums.get(b, 0) for b in range(blocks)])]).astype(np.int64)
+    # Where each block starts: sums in order of the block, a narrow table that is joined to the documents.
+    starts = global_order(docs.select(block, size.alias("n")).groupBy("block").agg(F.sum("n").alias("n")), ["block"], "n").select("block", F.col("start_at").alias("start"))
     n = -(-total // stride)
     kind, own = f"<u{id_bytes}", f"<u{ids_bytes}"
 
@@ -58,7 +62,7 @@ def materialise(docs: DataFrame, path: str, ids: Column | None = None, ids_bytes
         rows = sorted(zip(table["doc_id"].to_pylist(), table["ids"].to_pylist()), key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1]))
         last = np.array([end], dtype=kind)
         stream = np.concatenate([z for _, x in rows for z in (np.frombuffer(x, dtype=own).astype(kind), last)])
-        start = int(starts[table["block"][0].as_py()])
+        start = table["start"][0].as_py()
         edges = np.arange(-(-start // stride) * stride, start + len(stream), stride) - start
         edges = np.unique(np.concatenate([[0], edges, [len(stream)]]))
         zip_ = zstandard.ZstdCompressor(level=3)
@@ -66,35 +70,54 @@ def materialise(docs: DataFrame, path: str, ids: Column | None = None, ids_bytes
         data = [zip_.compress(stream[a:b].view(np.uint8).reshape(-1, id_bytes).T.tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
         at = edges[:-1] + start
         slot = feistel.permute(at // stride, n, key)
-        return pa.table({"shard": pa.array(slot // per_shard), "slot": pa.array(slot), "at": pa.array((at % stride).astype(np.int32)), "data": pa.array(data, pa.binary())})
-
-    def assemble(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        first, count = shard * per_shard, min(per_shard, n - shard * per_shard)
-        out = np.full((count, stride), pad, dtype=kind)
-        unzip = zstandard.ZstdDecompressor()
-        for slot, at, data in zip(table["slot"].to_pylist(), table["at"].to_pylist(), table["data"]):
-            planes = np.frombuffer(unzip.decompress(data.as_py()), dtype=np.uint8).reshape(id_bytes, -1)
-            part = np.ascontiguousarray(planes.T).view(kind).ravel()
-            out[slot - first, at : at + len(part)] = part
-        return pa.table({"shard": [shard], "first_slot": [first], "slots": pa.array([count], pa.int32()), "payload": pa.array([out.tobytes()], pa.binary())})
-
-    pieces = docs.select(block, "doc_id", content.alias("ids")).groupBy("block").applyInArrow(cut, "shard long, slot long, at int, data binary")
-    shards = pieces.groupBy("shard").applyInArrow(assemble, "shard long, first_slot long, slots int, payload binary")
-    shards.write.option("compression", "zstd").parquet(path)
+        return pa.table({"slot": pa.array(slot), "at": pa.array((at % stride).astype(np.int32)), "data": pa.array(data, pa.binary())})
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces in order of slot and place; a shard is given out as soon as one of the next begins."""
+        shard, out, unzip = -1, None, zstandard.ZstdDecompressor()
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"shard": [shard], "first_slot": [shard * per_shard], "slots": pa.array([len(out)], pa.int32()), "payload": pa.array([out.tobytes()], pa.binary())})
+
+        for batch in batches:
+            for slot, at, data in zip(batch["slot"].to_pylist(), batch["at"].to_pylist(), batch["data"]):
+                if slot // per_shard != shard:
+                    if out is not None:
+                        yield row()
+                    shard = slot // per_shard
+                    out = np.full((min(per_shard, n - shard * per_shard), stride), pad, dtype=kind)
+                planes = np.frombuffer(unzip.decompress(data.as_py()), dtype=np.uint8).reshape(id_bytes, -1)
+                part = np.ascontiguousarray(planes.T).view(kind).ravel()
+                out[slot - shard * per_shard, at : at + len(part)] = part
+        if out is not None:
+            yield row()
+
+    pieces = docs.select(block, "doc_id", content.alias("ids")).join(starts, "block").groupBy("block").applyInArrow(cut, "slot long, at int, data binary")
+    ranges = max(1, -(-n // (per_shard * per_range)))
+    placed = pieces.repartitionById(ranges, F.floor(F.col("slot") / F.lit(per_shard * per_range)).cast("int"))
+    placed.sortWithinPartitions("slot", "at").mapInArrow(assemble, SHARD).write.option("compression", "zstd").parquet(path)
     return n
 
 
-def read_slots(spark: SparkSession, path: str, first: int = 0, last: int | None = None, stride: int = STRIDE, per_shard: int = PER_SHARD, id_bytes: int = ID_BYTES) -> DataFrame:
-    """shard, slot, ids (binary) of the slots first..last (exclusive; None: all that follow)."""
-    rows = spark.read.schema("shard long, first_slot long, slots int, payload binary").parquet(path).where(F.col("shard") >= first // per_shard)
+def file_of(slot: int, per_shard: int = PER_SHARD, per_range: int = PER_RANGE) -> str:
+    """How the name of the file that holds a slot begins."""
+    return f"part-{slot // (per_shard * per_range):05d}-"
+
+
+def read_slots(spark: SparkSession, path: str, first: int = 0, last: int | None = None, stride: int = STRIDE, per_shard: int = PER_SHARD, id_bytes: int = ID_BYTES, per_range: int = PER_RANGE, ordered: bool = True) -> DataFrame:
+    """shard, slot, ids (binary) of the slots first..last (exclusive; None: all that follow), from the files of that range only; in the order of slots, unless ordered is False."""
+    kept = spark.read.schema(SHARD).parquet(path)
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)-", 1).cast("long")
+    # Files are ruled out by their names, and shards within a file by its statistics.
+    rows = kept.where((number >= first // (per_shard * per_range)) & (F.col("shard") >= first // per_shard))
     if last is not None:
-        rows = rows.where(F.col("shard") <= (last - 1) // per_shard)
+        rows = rows.where((number <= (last - 1) // (per_shard * per_range)) & (F.col("shard") <= (last - 1) // per_shard))
     width = stride * id_bytes
     # Slots are cut out before the rows multiply, so that no row but the shard's own carries the payload; bound once, it is not copied for each slot.
     cut = with_let(F.col("payload"), lambda p: F.transform(F.sequence(F.lit(0), F.col("slots") - 1), lambda k: F.struct((F.col("first_slot") + k).alias("slot"), F.substring(p, k * width + 1, F.lit(width)).alias("ids"))))
-    each = rows.select("shard", F.inline(cut))
-    return each.where(F.col("slot") >= first) if last is None else each.where((F.col("slot") >= first) & (F.col("slot") < last))
+    each = rows.select("shard", F.inline(cut)).where(F.col("slot") >= first)
+    each = each if last is None else each.where(F.col("slot") < last)
+    return each.orderBy("slot") if ordered else each
 
 
 def sequence_at(slots: DataFrame, n: int, key: int = KEY) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marginalia.llm import bpe, fingerprints, html_text, language_id, mixing, quality, queries, sharding, shingle_join, simhash, training_order, url_filters
+from marginalia.llm import bpe, feistel, fingerprints, html_text, language_id, mixing, quality, queries, sharding, shingle_join, simhash, training_order, url_filters
 from marginalia.llm.components import components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -368,10 +368,39 @@ def test_training_order(spark, edge, empty, tmp_path):
     cut = np.split(stream[stream != 257], np.nonzero(stream[stream != 257] == 256)[0] + 1)[:-1]
     assert sorted(bytes(x[:-1].astype(np.uint8)) for x in cut) == sorted((t or "").encode() for _, t in EDGE)
     part = training_order.read_slots(spark, str(tmp_path / "s"), 7, 33, stride=64, per_shard=10)
-    assert sorted(r.slot for r in part.collect()) == list(range(7, 33))
+    assert [r.slot for r in part.collect()] == list(range(7, 33))
     assert training_order.materialise(empty.select("doc_id", "text"), str(tmp_path / "e")) == 0
 
 
+def test_training_order_files(spark, docs, tmp_path):
+    """Files are ranges of slots: a run that resumes reads only the later ones, and the order is that of a plain permutation of the plain stream."""
+    texts = [(i, f"text {i} " * (i % 7)) for i in range(200)]
+    path = str(tmp_path / "s")
+    n = training_order.materialise(docs(texts).select("doc_id", "text"), path, stride=32, per_shard=10, block_bytes=1 << 30, per_range=2)
+    files = sorted(p.name for p in (tmp_path / "s").iterdir() if p.name.startswith("part-"))
+    assert len(files) == -(-n // 20) and all(f.startswith(training_order.file_of(20 * k, 10, 2)) for k, f in enumerate(files))
+    for k, f in enumerate(files):
+        rows = spark.read.parquet(f"{path}/{f}").collect()
+        assert [r.shard for r in rows] == [s for s in (2 * k, 2 * k + 1) if 10 * s < n] and all(len(r.payload) == r.slots * 64 for r in rows)
+    stream = np.array([b for _, t in texts for b in (*t.encode(), 256)], dtype="<u2")
+    stream = np.concatenate([stream, np.full(n * 32 - len(stream), 257, dtype="<u2")]).reshape(n, 32)
+    order = feistel.permute(np.arange(n), n, training_order.KEY)
+    want = {int(slot): stream[s].tobytes() for s, slot in enumerate(order)}
+    read = lambda first: [(r.slot, bytes(r.ids)) for r in training_order.read_slots(spark, path, first, stride=32, per_shard=10, per_range=2).collect()]
+    assert read(0) == sorted(want.items())
+    for f in files[:2]:
+        (tmp_path / "s" / f).unlink()
+    assert read(47) == [x for x in sorted(want.items()) if x[0] >= 47]
+
+
+def test_training_order_of_token_ids(spark, docs, tmp_path):
+    docs([(1, "One two three"), (2, None), (3, "ünï 😀 " * 500)]).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op4_training_order(spark, str(tmp_path)).collect()
+    t = Tokenizer.from_file(PATH)
+    total = sum(len(t.encode(x, add_special_tokens=False).ids) + 1 for x in ("One two three", "", "ünï 😀 " * 500))
+    assert len(rows) == -(-total // training_order.STRIDE) and {r.sequence for r in rows} == set(range(len(rows)))
+
+
 def test_sharding(edge, empty, docs):
     got = sharding.shard_documents(edge.select("doc_id", "text")).collect()
     assert sorted(((r.doc_id, r.size, r.text_crc32) for r in got), key=repr) == sorted(((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in EDGE), key=repr)
