@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import threading
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import density, evaluation, grounding, index, listing, router, search, vectors
+from marginalia.operators import cells, density, evaluation, grounding, index, listing, postings, router, search, vectors
 from marginalia.providers import HashedEmbedding, NoLanguageModel
-from marginalia.sources import files, jsonl, manifest
+from marginalia.sources import files, jsonl, manifest, pointers
 from marginalia.sources.config import Config
 from marginalia.sources.scratch import kept
 
@@ -59,6 +60,26 @@ class Engine:
     def indexed_notes(self) -> DataFrame:
         return self.notes().join(self.indexed().files.select("rel_path"), "rel_path", "left_semi")
 
+    def _of_generation(self, kind: str, build) -> str:
+        """The folder of something that is built once for each generation of the index, by whoever needs it first."""
+        number, at = self.indexed().number, f"{self.config.index_dir}/{kind}"
+        if (said := pointers.read(self.spark, at, number) if jsonl.exists(self.spark, f"{at}/pointers/{number:012d}.json") else None) is None:
+            said = {"folder": f"{at}/{uuid.uuid4().hex}"}
+            build(said["folder"])
+            try:
+                pointers.publish(self.spark, at, number, said)
+            except pointers.Conflict:  # another has built the same meanwhile
+                pass
+        return said["folder"]
+
+    def postings(self) -> postings.Postings:
+        """The inverted index of the indexed notes' lines."""
+        return postings.Postings(self.spark, self._of_generation("postings", lambda path: postings.build(self.indexed_notes(), path)))
+
+    def cells(self) -> cells.Cells:
+        """The index of the chunks' embeddings."""
+        return cells.open_at(self.spark, self._of_generation("cells", lambda path: cells.build(self.chunks().select("id", "embedding"), path)))
+
     def queries(self, *texts: str) -> DataFrame:
         """query_id, query, embedding. Embeddings come from the cache of queries; only those that it lacks are asked for."""
         return self.embedded(self.spark.createDataFrame(list(enumerate(texts)), "query_id long, query string"))
@@ -81,7 +102,7 @@ class Engine:
         for q in queries:
             required(q, "query")
         asked = self.queries(*queries)
-        found = search.search(asked, self.indexed_notes(), self.chunks(), clamp(limit, 1, 30), self.config.top_k)
+        found = search.search(asked, self.indexed_notes(), self.chunks(), clamp(limit, 1, 30), self.config.top_k, self.postings(), self.cells())
         hits = kept(found, "hits")  # searched once: for the log and for the caller
         jsonl.append(jsonl.log_rows(asked, hits, F.unix_micros(F.current_timestamp()) / 1e6), self.log_path)
         return hits
@@ -89,7 +110,7 @@ class Engine:
     def search_notes(self, query: str, top_k: int | None = None, include_text: bool = True, max_chars: int = 35_000) -> DataFrame:
         k = clamp(top_k or self.config.top_k, 1, 100)
         q = self.queries(required(query, "query"))
-        found = vectors.hybrid_rerank(q, vectors.nearest(q, self.chunks(), 3 * k), k)
+        found = vectors.hybrid_rerank(q, vectors.nearest(q, self.chunks(), 3 * k, self.cells()), k)
         return vectors.within_budget(found, clamp(max_chars, 500, 200_000)) if include_text else found.withColumn("text", F.lit(""))
 
     def answer_from_notes(self, question: str, top_k: int = 10, max_sources_chars: int | None = None) -> dict:
@@ -99,7 +120,7 @@ class Engine:
     def answers(self, *questions: str, top_k: int = 10, max_sources_chars: int | None = None) -> DataFrame:
         """query_id, query, ok, answer, reason, rounds for a batch of questions; the language model is called in the tasks."""
         q, k = self.queries(*questions), clamp(top_k, 1, 30)
-        found = vectors.within_budget(vectors.hybrid_rerank(q, vectors.nearest(q, self.chunks(), 3 * k), k), 200_000)
+        found = vectors.within_budget(vectors.hybrid_rerank(q, vectors.nearest(q, self.chunks(), 3 * k, self.cells()), k), 200_000)
         return grounding.answers(q, grounding.packed_sources(found, max_sources_chars or self.config.max_sources_chars), self.llm)
 
     def chat(self, query: str, history: list[tuple[str, str]] | None = None) -> str:
@@ -183,7 +204,7 @@ class Engine:
     def eval_rows(self, limit: int = 8) -> DataFrame:
         """Each case with rank, snippet_rank and query_type, all searched in one batch."""
         cases = kept(self.cases().withColumn("query_id", F.monotonically_increasing_id()), "cases")
-        hits = search.search(self.embedded(cases.select("query_id", "query")), self.indexed_notes(), self.chunks(), limit, self.config.top_k)
+        hits = search.search(self.embedded(cases.select("query_id", "query")), self.indexed_notes(), self.chunks(), limit, self.config.top_k, self.postings(), self.cells())
         return kept(evaluation.case_ranks(cases, hits), "ranked")
 
     def run_eval(self, limit: int = 8, each=None) -> str:

@@ -120,10 +120,18 @@ def build(vectors: DataFrame, path: str | None = None, centres: int = CENTRES, p
     packed.write.parquet(f"{path}/packed")
     packed = spark.read.parquet(f"{path}/packed")
     packed.drop("vectors").write.parquet(f"{path}/codes")
+    spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(middle)], "cell int, centre array<double>").write.parquet(f"{path}/centres")
     packed.select("cell", "part", "ids", "vectors").write.parquet(f"{path}/full")
     return Cells(spark, path, middle, total, kind)
 
 
+def open_at(spark: SparkSession, path: str) -> Cells:
+    """The index that build() wrote to path."""
+    codes = spark.read.parquet(f"{path}/codes")
+    middle = spark.read.parquet(f"{path}/centres").orderBy("cell").toArrow().column("centre")  # at most CENTRES rows
+    return Cells(spark, path, _rows(middle), codes.agg(F.sum("n")).first()[0] or 0, codes.schema["ids"].dataType.elementType.simpleString())
+
+
 def _bounds(q: np.ndarray, centre: np.ndarray, row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Distances of queries from the rounded vectors of a part, and what rounding may add or take."""
     code = np.frombuffer(row["code"], np.int8).reshape(row["n"], q.shape[1])

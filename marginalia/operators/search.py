@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import scores as S
 from marginalia.functions import text as T
 from marginalia.operators import postings as P
+from marginalia.operators.cells import Cells
 from marginalia.operators.vectors import nearest
 from marginalia.sources.scratch import kept
 
@@ -54,9 +55,9 @@ def chunk_snippet(q: Column, text: Column, start: Column, end: Column) -> Column
     return let(T.lines(text), lambda x: F.when(F.size(x) == 0, none).otherwise(pick(x)))
 
 
-def semantic_channel(queries: DataFrame, chunks: DataFrame, fetch: int) -> DataFrame:
-    """queries: with_features."""
-    near = nearest(queries, chunks, fetch).join(F.broadcast(queries.select("query_id", "q")), "query_id")
+def semantic_channel(queries: DataFrame, chunks: DataFrame, fetch: int, cells: Cells | None = None) -> DataFrame:
+    """queries: with_features. cells: an index of the chunks' embeddings."""
+    near = nearest(queries, chunks, fetch, cells).join(F.broadcast(queries.select("query_id", "q")), "query_id")
     total = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     near = near.withColumn("semantic_score", S.rank_score(F.col("rank"), total)).withColumn("d", S.text_features(F.col("text")))
     near = near.withColumn("m", S.text_features(S.metadata_text(F.col("rel_path"), F.col("heading"), F.col("first_line")))).withColumn("p", S.path_features(F.col("rel_path")))
@@ -123,10 +124,10 @@ def per_file(hits: DataFrame, most: int) -> DataFrame:
     return hits.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
 
 
-def search(queries: DataFrame, notes: DataFrame, chunks: DataFrame, limit: int = 8, top_k: int = 10, index: P.Postings | None = None) -> DataFrame:
-    """The ranked hits of each query: HIT columns but place, with query, query_type and rank."""
+def search(queries: DataFrame, notes: DataFrame, chunks: DataFrame, limit: int = 8, top_k: int = 10, index: P.Postings | None = None, cells: Cells | None = None) -> DataFrame:
+    """The ranked hits of each query: HIT columns but place, with query, query_type and rank. index, cells: of the notes' lines and of the chunks, if there are such."""
     featured = with_features(queries)
-    hits = merge(semantic_channel(featured, chunks, fetch_size(limit, top_k)), filename_channel(featured, notes), text_channel(featured, notes, index))
+    hits = merge(semantic_channel(featured, chunks, fetch_size(limit, top_k), cells), filename_channel(featured, notes), text_channel(featured, notes, index))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "rel_path")
     best = per_file(hits, 1).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     return best.join(F.broadcast(featured.select("query_id", "query", F.col("q")["kind"].alias("query_type"))), "query_id").drop("place")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import scores as S
 from marginalia.functions import text as T
+from marginalia.operators import cells
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -14,12 +15,14 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, index: cells.Cells | None = None) -> DataFrame:
     """queries: query_id, embedding. vectors: id, embedding and any others. The k nearest vectors of each query with distance and rank (ties by id).
 
-    The stated queries are broadcast (they are a batch of user input), so the vectors are scanned once and never dealt out; Spark keeps
-    only k rows a query in each partition before the final ranking.
+    With an index of cells over the vectors, those that bounds rule out are not read. Without one, the stated queries are broadcast (a batch of user
+    input), so the vectors are scanned once and never dealt out; Spark keeps only k rows a query in each partition before the final ranking.
     """
+    if index is not None:
+        return vectors.drop("embedding").join(cells.nearest(index, queries, k), "id")
     q = F.broadcast(queries.select("query_id", F.col("embedding").alias("q_embedding")))
     pairs = vectors.crossJoin(q).withColumn("distance", squared_distance(F.col("embedding"), F.col("q_embedding")))
     best = Window.partitionBy("query_id").orderBy("distance", "id")

@@ -66,6 +66,13 @@ def test_candidates_are_promoted(engine):
         assert len(json.load(f)) == 2
 
 
+def test_indexes_belong_to_a_generation(engine):
+    one = engine.postings().path, engine.cells().path
+    assert (engine.postings().path, engine.cells().path) == one and engine.cells().vectors == engine.chunks().count()
+    engine.reindex_now(force=True)
+    assert not set(one) & {engine.postings().path, engine.cells().path}
+
+
 def test_chat_history(engine):
     assert engine.history() == [] and not engine.clear_history()
     said = []
