@@ -40,8 +40,8 @@ PRIOR_WORDS, PRIOR_LEN = 50, 5.0
 MIN_GROUP, HALF, TAIL, BIN, BROADCAST_GROUPS = 60, 0.5, 1e-6, 200, 20_000
 #: Steps of the statistics' grid on which estimates are made: a hundredth or so of the least standard deviations.
 GRID = (0.001, 0.005, 0.01, 0.001)
-#: Concentration steps between two looks at the determinants; a log determinant that has not fallen by SETTLED since the last look has settled.
-STEPS, SETTLED = 3, 1e-6
+#: A log determinant that a concentration step has not lowered by SETTLED has settled.
+SETTLED = 1e-6
 
 
 def words(text: Column) -> Column:
@@ -218,10 +218,8 @@ def robust_fit(x: DataFrame) -> tuple[DataFrame, bool]:
     factor = HALF / chi2_cdf(cut, len(STATS) + 2)
     done = None
     while True:
-        # The first round goes from the starts, which have no determinant of their own to be held against.
-        new = fit
-        for _ in range(STEPS):
-            new = _step(x, new, few, factor)
+        # One step a table: plans stay small. The starts have no determinant of their own to be held against.
+        new = _step(x, fit, few, factor)
         was = fit.select("gid", "start", F.struct(*FIT).alias("was"))
         new = new.select("gid", "start", F.struct(*FIT).alias("now")).join(F.broadcast(was) if few else was, ["gid", "start"])
         less = F.col("was.log_det").isNull() | (F.col("now.log_det") < F.col("was.log_det") - SETTLED)
