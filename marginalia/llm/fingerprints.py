@@ -15,7 +15,8 @@ longs, so the two sorts of each text are sorts of primitive arrays; places are e
 Edge cases: a null text counts as empty; a text without a token has the fingerprint of zeros, and two such are alike by 1.0; a text of fewer
 than K tokens is one K-gram of all its tokens; equal texts have equal fingerprints. Documents that repeat an id are rows of their own; the next
 document of all of them is the next larger id, and of an id held by several rows the one with the least text hash stands for
-it. A table of one id is followed by itself; a null id comes first, as an id of its own.
+it. A table of one id is followed by itself; a null id comes first, as an id of its own. Only doc_id and text are read, so other columns cannot
+clash; they are not returned.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ numbers to places 0..n-1; place p lies in shard p mod k at slot p div k. So shar
 no gaps, and row_of() inverts the whole without any table. The number of rows and the key fix everything.
 
 Edge cases: null texts count as empty (size 1, checksum 0); rows with equal or null ids are told apart by checksum and size, and rows
-equal in all of these take neighbouring row numbers; an empty table gives no rows.
+equal in all of these take neighbouring row numbers; very long texts count whole; an empty table gives no rows. Only doc_id and text are read, so other
+columns cannot clash; they are not returned.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ Components of the links are found by components.py, on fingerprints, and carried
 
 Edge cases: a null text counts as empty; texts without a word have fingerprint zero and are linked like any other; fewer words than a
 shingle make one shingle of them all; rows with equal texts fall together; a null doc_id is the smallest only where a
-component holds no other.
+component holds no other; very long texts are hashed whole; an empty table gives no rows. Other columns pass through; those named fp, component_id or
+root give way to the results (keep_one returns all columns as they were).
 """
 
 from __future__ import annotations

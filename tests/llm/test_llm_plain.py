@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from marginalia.llm import bpe, dom, feistel, golay, html_text, language_id, simhash
+from marginalia.llm import bpe, dom, feistel, fingerprints, golay, html_text, language_id, sharding, simhash, training_order
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -134,3 +134,15 @@ def test_language_models():
 
 def test_no_training_rows():
     assert language_id.train([]).languages == []
+
+
+def test_clashing_columns_of_narrow_operators(docs, spark, tmp_path):
+    """op2, op4 and op8 read doc_id and text alone: columns with the names of theirs change nothing."""
+    rows = docs([(i, f"some words {i} " * (i + 3)) for i in range(12)] + [(3, "some words 3 " * 6)])
+    clash = rows.selectExpr("*", "1 as shard", "2 as slot", "'x' as fingerprint", "3 as block", "4 as size", "5 as row_no", "6 as n_tokens", "7 as start")
+    same = lambda f: sorted(map(repr, f(rows).collect())) == sorted(map(repr, f(clash).collect()))
+    assert same(fingerprints.fingerprint_pairs) and same(sharding.shard_documents)
+    for name, df in (("a", rows), ("b", clash)):
+        training_order.materialise(df, str(tmp_path / name), stride=16, per_shard=4)
+    read = lambda name: [(r.slot, bytes(r.ids)) for r in training_order.read_slots(spark, str(tmp_path / name), stride=16, per_shard=4).collect()]
+    assert read("a") == read("b")
