@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def bound(df: DataFrame, **values: Column) -> DataFrame:
+    """df with the values as columns that are computed once a row. Struct columns that are merely added are written out again by the optimizer wherever a field of theirs is used, lambdas included."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
 def any_substring(text: Column, phrases) -> Column:
     """Whether text contains one of the phrases."""
     out = F.lit(False)

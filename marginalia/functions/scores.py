@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.functions import words
-from marginalia.functions.columns import let, present
+from marginalia.functions.columns import bound, let, present
 
 
 def query_features(query: Column) -> Column:
@@ -36,7 +36,10 @@ def _count(items: Column, x: Column) -> Column:
 
 def keyword(q: Column, d: Column) -> Column:
     """Multiset overlap of query tokens with text tokens, by the number of query tokens."""
-    shared = F.aggregate(F.array_distinct(q), F.lit(0), lambda acc, t: acc + F.least(_count(q, t), _count(d, t)))
+    # Only shared tokens add to it, and each adds 1 if the query has no repeats.
+    both = F.array_intersect(q, d)
+    repeated = F.aggregate(both, F.lit(0), lambda acc, t: acc + F.least(_count(q, t), _count(d, t)))
+    shared = F.when(F.size(F.array_distinct(q)) == F.size(q), F.size(both)).otherwise(repeated)
     return F.when((F.size(q) == 0) | (F.size(d) == 0), F.lit(0.0)).otherwise(shared / F.greatest(F.size(q), F.lit(1)))
 
 
@@ -149,8 +152,8 @@ def reasons(**s: Column) -> Column:
 
 
 def line_quality(line: Column, tokens: Column, norm: Column) -> Column:
-    bare = T.strip(line)
-    mark = F.when(bare.startswith("#") | bare.startswith("-") | bare.endswith(":"), 0.18).when(F.size(tokens) <= 6, 0.10).otherwise(0.0)
+    listed = let(T.strip(line), lambda bare: bare.startswith("#") | bare.startswith("-") | bare.endswith(":"))
+    mark = F.when(listed, 0.18).when(F.size(tokens) <= 6, 0.10).otherwise(0.0)
     return F.least(F.lit(0.30), mark + 0.12 * F.greatest(F.lit(0.0), 1 - F.least(F.length(norm), F.lit(180)) / 180.0))
 
 
@@ -159,14 +162,28 @@ def best_of_lines(rows: DataFrame) -> DataFrame:
 
     One row a line and query, whose maximum by score and tie-breaks is taken with partial aggregation.
     """
+    return best_of_notes(line_scores(rows))
+
+
+def line_scores(rows: DataFrame) -> DataFrame:
+    """rows with BY; all but the quality are 0 where q is null."""
     q, d = F.col("q"), F.col("d")
-    x = rows.withColumns({
-        "quality": line_quality(F.col("content"), d["tokens"], d["norm"]),
+    scores = {
         "phrase": phrase_match(q, d["norm"]), "text": text_match(q["phrase"], q["toks"], d["lower"], d["tokens"]), "keyword": keyword(q["toks"], d["tokens"]),
         "literal": literal_match(q["terms"], d["lower"]), "ordered": ordered_match(q["toks"], d["norm"]),
-    })
-    order = F.struct(F.greatest("phrase", "text", "keyword", "ordered", "literal").alias("score"), "literal", "phrase", "ordered", "text", "keyword", "quality", (-F.col("line")).alias("back"))
-    return x.groupBy("query_id", "rel_path").agg(F.max(order).alias("b")).select("query_id", "rel_path", "b.*").withColumn("line", -F.col("back")).drop("back")
+    }
+    x = bound(rows, quality=line_quality(F.col("content"), d["tokens"], d["norm"]), **{k: F.when(q.isNull(), 0.0).otherwise(v) for k, v in scores.items()})
+    return x.withColumn("score", F.greatest("phrase", "text", "keyword", "ordered", "literal"))
+
+
+#: What decides between lines, after it the earlier one.
+BY = ("score", "literal", "phrase", "ordered", "text", "keyword", "quality")
+
+
+def best_of_notes(rows: DataFrame) -> DataFrame:
+    """rows: query_id, rel_path, line and BY. The best of each query and rel_path."""
+    order = F.struct(*BY, (-F.col("line")).alias("back"))
+    return rows.groupBy("query_id", "rel_path").agg(F.max(order).alias("b")).select("query_id", "rel_path", "b.*").withColumn("line", -F.col("back")).drop("back")
 
 
 def text_candidate(kind: Column, filename: Column, metadata: Column, phrase: Column, text: Column, keyword: Column, quality: Column, ordered: Column, literal: Column) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import scores as S
 from marginalia.functions import text as T
-from marginalia.functions.columns import let
+from marginalia.functions.columns import bound, let
 from marginalia.sources.scratch import kept, new_path, spread
 
 #: The least score of a line that matters, in hundredths: the lower of the gates of the text channel.
@@ -192,6 +192,10 @@ def candidate_lines(index: Postings, queries: DataFrame) -> DataFrame:
 
 def best_lines(index: Postings, queries: DataFrame) -> DataFrame:
     """The best line of each note that has one of at least LEAST: as operators.search.best_lines, for those notes."""
-    rows = candidate_lines(index, queries).join(index.lines, ["rel_path", "line"]).join(queries.select("query_id", "q"), "query_id")
-    rows = rows.withColumn("d", S.text_features(F.col("content")))
-    return S.best_of_lines(rows)
+    return best_of(candidate_lines(index, queries).join(index.lines, ["rel_path", "line"]), queries)
+
+
+def best_of(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """found: query_id, rel_path, line, content. The best of these lines of each query and note."""
+    rows = bound(found, d=S.text_features(F.col("content")))
+    return S.best_of_lines(rows.join(queries.select("query_id", "q"), "query_id"))
