@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import giving_way
 
 BLOCK_BYTES, PART_BYTES = 24 << 20, 16 << 20
-#: Words a call of the library's batch encoder.
-BATCH = 20_000
+#: Words a call of the library's batch encoder; documents whose ids and texts are Python's objects at a time.
+BATCH, SLICE = 20_000, 256
 
 _WORDS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space of Python's \s other than the blank and the line end, and what some tables count to it (fixed values); it includes all that the tokenizer takes for white space.
@@ -260,19 +260,19 @@ def encode_documents(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES,
         sizes, flat = (np.concatenate([_unpack(x.as_py()) for x in lists[c]] or [np.empty(0, "<u4")]) for c in ("sizes", "ids"))
         by_place, starts, size = np.argsort(places), np.cumsum(sizes, dtype=np.int64) - sizes, sizes.astype(np.int64)
         starts, size = starts[by_place], size[by_place]
-        counts, codes, said = [], [], []
         texts = texts.filter(pc.is_null(texts["part"]))
-        for row in texts["places"]:
-            at = _unpack(row.as_py())
-            ids = _gathered(starts[at], size[at], flat).astype("<u4")
-            counts.append(len(ids))
-            codes.append(hashlib.sha256(ids.tobytes()).hexdigest() if digests else ids.tobytes())
+        counts, codes, said = [], [pa.array([], pa.string() if digests else pa.binary())], [pa.array([], pa.string())]
+        # A slice at a time, so that a block's ids and texts are held once, packed, and not as Python's objects too.
+        for first in range(0, len(texts), SLICE):
+            rows = [_unpack(x.as_py()) for x in texts["places"].slice(first, SLICE)]
+            ids = [_gathered(starts[at], size[at], flat).astype("<u4") for at in rows]
+            counts += map(len, ids)
+            codes.append(pa.array([hashlib.sha256(x.tobytes()).hexdigest() if digests else x.tobytes() for x in ids], codes[0].type))
             if decoded:
-                text = decode(ids, path)
-                said.append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
-        out = texts.select(names).append_column("n_tokens", pa.array(counts, pa.int64()))
-        out = out.append_column("ids", pa.array(codes, pa.string() if digests else pa.binary()))
-        return out.append_column("decoded", pa.array(said, pa.string())) if decoded else out
+                own = (decode(x, path) for x in ids)
+                said.append(pa.array([hashlib.sha256(x.encode()).hexdigest() if digests else x for x in own], pa.string()))
+        out = texts.select(names).append_column("n_tokens", pa.array(counts, pa.int64())).append_column("ids", pa.chunked_array(codes))
+        return out.append_column("decoded", pa.chunked_array(said)) if decoded else out
 
     fields = split.select(*names).schema
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "n_tokens long", "ids string" if digests else "ids binary", *["decoded string"] * decoded])

@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.sources.scratch import tidy
+
 #: ASCII white space, the separator of words: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -40,14 +44,36 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 def drop_intermediates(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application. Results that were not written elsewhere read from them, so call it at the end."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    _delete(spark, _own_folder(spark))
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Of each passing() that is open, the innermost last: the folders that go at its end.
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised within are deleted at the end, except lasting ones. What is returned from within must be such a table, or read none of the others."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            _delete(spark, path)
+
+
+def materialize(df: DataFrame, label: str, compression: str | None = None, lasting: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors. lasting: it outlives the passing() it is made in, but not the one around that."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path, compression=compression)
+    with tidy(df.sparkSession):
+        df.write.parquet(path, compression=compression)
+    for paths in (_passing[:-1] if lasting else _passing)[-1:]:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,6 +3,7 @@
 Each step is one aggregation (the least neighbour of each node) and one join; components shrink to stars around their least node in
 a number of rounds that grows with the logarithm of their length. Edges are written to the shared folder after each round. No
 neighbourhood is ever gathered: a node with many edges costs partial minima and a join that adaptive execution can split.
+The tables of the rounds are deleted at the end; the result is a table of its own.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize
+from marginalia.llm.common import materialize, passing
 
 MOST_ROUNDS = 60
 
@@ -30,6 +31,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: two columns of one ordered type. node, root (the least node of its component) for every node that has an edge."""
+    with passing(edges.sparkSession):
+        return materialize(_components(edges), "components", lasting=True)
+
+
+def _components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e = materialize(e, "edges")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import golay, shingle_join
-from marginalia.llm.common import giving_way, materialize, row_key, set_apart
+from marginalia.llm.common import giving_way, materialize, passing, row_key, set_apart
 from marginalia.llm.components import components
 
 SHINGLE, SEED, REACH = 4, 42, 4
@@ -260,7 +260,18 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """
     names, docs = docs.columns, set_apart(docs, "doc_id", "text")
     keyed = docs.withColumn("_row", row_key(docs))
-    own = shingle_join.with_set(keyed.select("text", F.struct("doc_id", "_row").alias("_order")), width, *shingle_join.frequent(docs, width))
+    with passing(docs.sparkSession):
+        other = materialize(_other(keyed, width), "other", lasting=True)
+    once = keyed.join(shingle_join.bounded(other.select("_row")), "_row", "left_anti")
+    many = other.where("_head")
+    if not many.isEmpty():
+        once = once.unionByName(keyed.join(shingle_join.bounded(many.select("_row")), "_row", "left_semi").dropDuplicates(["_row"]))
+    return once.drop("_row").toDF(*names)
+
+
+def _other(keyed: DataFrame, width: int) -> DataFrame:
+    """keyed: doc_id, text and _row. _row, _head: the rows that go, and (_head) those that stay but are repeated; mostly few beside what simply stays."""
+    own = shingle_join.with_set(keyed.select("text", F.struct("doc_id", "_row").alias("_order")), width, *shingle_join.frequent(keyed, width))
     by_set = materialize(own.groupBy("sid").agg(F.min("_order").alias("_least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
 
     def texts(sids: DataFrame) -> DataFrame:
@@ -271,11 +282,5 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     named = by_set.select("sid", "_least").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     heads = named.groupBy("root").agg(F.min("_least").alias("_least")).select(F.col("_least")["_row"].alias("_row"))
     rows = keyed.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
-    # What goes, and rows that are repeated, are mostly few beside what stays.
     rows = rows.join(heads.withColumn("_head", F.lit(True)), "_row", "left").where("_head is null or _n > 1")
-    other = materialize(rows.select("_row", F.col("_head").isNotNull().alias("_head")), "other")
-    once = keyed.join(shingle_join.bounded(other.select("_row")), "_row", "left_anti")
-    many = other.where("_head")
-    if not many.isEmpty():
-        once = once.unionByName(keyed.join(shingle_join.bounded(many.select("_row")), "_row", "left_semi").dropDuplicates(["_row"]))
-    return once.drop("_row").toDF(*names)
+    return rows.select("_row", F.col("_head").isNotNull().alias("_head"))

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import feistel
 from marginalia.llm.common import global_order, with_let
+from marginalia.sources.scratch import tidy
 
 STRIDE, PER_SHARD, PER_RANGE, KEY = 2048, 2048, 2, 77
 SHARD = "shard long, first_slot long, slots int, payload binary"
@@ -95,7 +96,8 @@ def materialise(docs: DataFrame, path: str, ids: Column | None = None, ids_bytes
     pieces = docs.select(block, "doc_id", content.alias("ids")).join(starts, "block").groupBy("block").applyInArrow(cut, "slot long, at int, data binary")
     ranges = max(1, -(-n // (per_shard * per_range)))
     placed = pieces.repartitionById(ranges, F.floor(F.col("slot") / F.lit(per_shard * per_range)).cast("int"))
-    placed.sortWithinPartitions("slot", "at").mapInArrow(assemble, SHARD).write.option("compression", "zstd").parquet(path)
+    with tidy(docs.sparkSession):
+        placed.sortWithinPartitions("slot", "at").mapInArrow(assemble, SHARD).write.option("compression", "zstd").parquet(path)
     return n
 
 

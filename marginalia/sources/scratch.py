@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession) -> str:
@@ -28,11 +30,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{folder(spark)}/marginalia/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Within, a write's shuffle files go when it has ended, and not when the driver happens to collect its garbage. For writes only: they plan anew each time, while a table that is collected twice would miss its files."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def kept(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """df, written once and read back; by: a column of few values that becomes a folder of its own each."""
     path = new_path(df.sparkSession, label)
     writer = df.write.partitionBy(by) if by else df.write
-    writer.parquet(path)
+    with tidy(df.sparkSession):
+        writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

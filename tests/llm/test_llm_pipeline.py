@@ -1,6 +1,9 @@
+import os
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from marginalia.llm import common
 from marginalia.llm.common import materialize
 
 
@@ -18,6 +21,34 @@ def test_stages(spark):
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
+def test_tokens_decode(spark):
+    """The last stage decodes what it encodes: the text comes back from the ids of each row."""
+    rows = [(1, "Gr\u00fc\u00dfe, it's  12 o'clock\n\n\tend ", "de", "src1"), (2, None, "en", "src1"), (3, "", None, None), (1, "again \U0001f600", "en", "src2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = sorted((r.doc_id, r.decoded, r.n_tokens == len(r.ids) // 4) for r in corpus_pipeline.tokens(spark, docs, "").collect())
+    assert got == sorted((i, t or "", True) for i, t, *_ in rows)
+
+
+def _shuffles(spark):
+    """Shuffle files that Spark holds on its local disk."""
+    return spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ").count(".data")
+
+
+def test_near_duplicates_leave_no_tables(spark, monkeypatch):
+    """What the stage makes on its way goes with it: of its tables one, narrow, stays, and no write leaves shuffle files."""
+    made = []
+    monkeypatch.setattr(common, "shared_path", lambda s, label, f=common.shared_path: made.append(f(s, label)) or made[-1])
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = _shuffles(spark)
+    common.materialize(docs.repartition(3, "doc_id"), "dealt")
+    assert _shuffles(spark) == before
+    made.clear()
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    left = [p for p in made if os.path.exists(p.removeprefix("file:"))]
+    assert len(made) > 10 and len(left) == 1 and "other" in left[0]
+    assert 0 < kept.count() < docs.count()
+
+
 def test_empty_documents(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
