@@ -42,6 +42,8 @@ from marginalia.llm.common import giving_way
 BLOCK_BYTES, PART_BYTES = 24 << 20, 16 << 20
 #: Words a call of the library's batch encoder; documents whose ids and texts are Python's objects at a time.
 BATCH, SLICE = 20_000, 256
+LONG_SPACE = 20_000
+_LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
 
 _WORDS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space of Python's \s other than the blank and the line end, and what some tables count to it (fixed values); it includes all that the tokenizer takes for white space.
@@ -87,8 +89,8 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
-#: The pattern of the byte-level pre-tokenizer (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The pattern of the byte-level pre-tokenizer (fixed value), with the same matches but without steps back inside a run.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 @cache
@@ -117,13 +119,13 @@ def decode(ids: np.ndarray, path: str) -> str:
 
 
 def _encode(words: list[str], path: str) -> list[list[int]]:
-    """The ids of each word; words that hold an added token go to the tokenizer's library in any case."""
+    """The ids of each word; words that hold an added token, or more white space in a row than the ranks' pattern can step back in, go to the tokenizer's library in any case."""
     t, fast = _tokenizer(path), _ranked(path)
     if fast is None:
         return [e.ids for at in range(0, len(words), BATCH) for e in t.encode_batch(words[at : at + BATCH], add_special_tokens=False)]
     added = [x.content for x in t.get_added_tokens_decoder().values()]
     plain = fast.encode_ordinary
-    return [t.encode(w, add_special_tokens=False).ids if any(a in w for a in added) else plain(w) for w in words]
+    return [t.encode(w, add_special_tokens=False).ids if any(a in w for a in added) or len(w) >= LONG_SPACE and _LONG_SPACE.search(w) else plain(w) for w in words]
 
 
 def _pack(values) -> bytes:
@@ -167,6 +169,11 @@ def _ordered(words: list[str], counts: np.ndarray, parts: int) -> tuple[np.ndarr
     return np.lexsort((rank, part, -counts)), part
 
 
+def _own_rows(table: pa.Table, names: list[str], first: int, stop: int) -> pa.Table:
+    """The named columns of these rows, copied: a slice would hold its whole batch, texts included, as long as its block lasts."""
+    return table.select(names).take(pa.array(np.arange(first, stop)))
+
+
 def _split(docs: DataFrame, names: list[str], block_bytes: int, parts: int) -> DataFrame:
     """docs: text and names. block, part, places, words and names: a row for each document (no part) and one for each part of each block's list."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
@@ -208,11 +215,11 @@ def _split(docs: DataFrame, names: list[str], block_bytes: int, parts: int) -> D
                 held.append(np.fromiter(map(words.__getitem__, own), dtype="<u4", count=len(own)))
                 size += len(text)
                 if size >= block_bytes:
-                    rows.append(table.select(names).slice(first, i + 1 - first))
+                    rows.append(_own_rows(table, names, first, i + 1))
                     yield from ended()
                     held, rows, first, words, size, number = [], [], i + 1, _Places(), 0, number + 1
             if first < len(texts):
-                rows.append(table.select(names).slice(first))
+                rows.append(_own_rows(table, names, first, len(texts)))
         if held:
             yield from ended()
 
@@ -239,13 +246,13 @@ def _gathered(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.nda
     return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(total)]
 
 
-def encode_documents(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, digests: bool = False, decoded: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, digests: bool = False, decoded: bool = True, part_bytes: int = PART_BYTES) -> DataFrame:
     """All columns of docs but text; with n_tokens, ids (little-endian unsigned 32-bit) and, if decoded, decoded (text); or, if digests, with n_tokens, ids_sha256 and decoded_sha256."""
     docs = giving_way(docs, "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")
     keep = [c for c in docs.columns if c != "text"]
     names, decoded = [f"k{i}" for i in range(len(keep))], decoded or digests
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // PART_BYTES))
+    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // part_bytes))
     split = _split(docs.select("text", *[F.col(c).alias(n) for c, n in zip(keep, names)]), names, block_bytes, parts)
 
     def lists_of(table: pa.Table) -> pa.Table:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -427,6 +428,22 @@ def test_bpe(edge, empty, docs):
     assert bpe.encode_documents(empty.select("doc_id", "text"), PATH, digests=True).isEmpty()
 
 
+def test_bpe_of_much_white_space():
+    for text in (" " * 300_000 + "x", "x" + "\t" * 300_000 + "y  z", "a " * 30_000):
+        assert list(bpe._encode([text], PATH)[0]) == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_blocks_hold_no_batches():
+    """The rows that a block keeps are copies: a slice of a batch keeps its texts too."""
+    batch = pa.record_batch({"k0": pa.array(range(100)), "text": pa.array(["x" * 10_000] * 100)})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    read = pa.ipc.open_stream(sink.getvalue()).read_next_batch()
+    kept = bpe._own_rows(pa.Table.from_batches([read]), ["k0"], 10, 20)
+    assert kept["k0"].to_pylist() == list(range(10, 20)) and kept.get_total_buffer_size() < 1000
+
+
 # 6
 
 
