@@ -118,6 +118,11 @@ def decode(ids: np.ndarray, path: str) -> str:
     return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
+def encode_texts(texts: list[str], path: str) -> list[list[int]]:
+    """The ids of each text, for those who want ids where the texts are read and need no table of words."""
+    return _encode(texts, path)
+
+
 def _encode(words: list[str], path: str) -> list[list[int]]:
     """The ids of each word; words that hold an added token, or more white space in a row than the ranks' pattern can step back in, go to the tokenizer's library in any case."""
     t, fast = _tokenizer(path), _ranked(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +38,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_training_order(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     path, vocabulary = shared_path(spark, "shards"), bpe.vocabulary_size(tokenizer)
     # Ids of two bytes where they fit; the two ids after the vocabulary end a document and fill up the last sequence.
-    coded = materialize(bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, decoded=False).select("doc_id", "ids"), "ids", "zstd")
     width = 2 if vocabulary + 2 <= 1 << 16 else 4
-    n = training_order.materialise(coded, path, F.col("ids"), 4, end=vocabulary, pad=vocabulary + 1, id_bytes=width)
+    n = training_order.materialise(table(spark, sf_dir, "documents"), path, end=vocabulary, pad=vocabulary + 1, id_bytes=width, encode=partial(bpe.encode_texts, path=tokenizer))
     slots = training_order.read_slots(spark, path, id_bytes=width, ordered=False).select("shard", "slot", F.crc32("ids").alias("ids_crc32"))
     return training_order.sequence_at(slots, n)
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -414,6 +415,21 @@ def test_sharding(edge, empty, docs):
     assert sharding.shard_documents(empty.select("doc_id", "text")).isEmpty()
 
 
+def test_training_order_deals_out_packed_ids(spark, docs, tmp_path):
+    """Documents are encoded where they are read, their ids are dealt out packed, and no table that is read again is left behind."""
+    texts = [(i, f"text {i % 9} ünï " * (i % 40)) for i in range(300)]
+    docs(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    t, seen = Tokenizer.from_file(PATH), []
+    end = bpe.vocabulary_size(PATH)
+    n = training_order.materialise(docs(texts), str(tmp_path / "s"), stride=32, per_shard=10, block_bytes=4096, end=end, pad=end + 1, encode=partial(bpe.encode_texts, path=PATH))
+    got = training_order.sequence_at(training_order.read_slots(spark, str(tmp_path / "s"), stride=32, per_shard=10), n).orderBy("sequence").collect()
+    stream = np.frombuffer(b"".join(bytes(r.ids) for r in got), dtype="<u2")
+    stream = stream[stream != end + 1]
+    for part in np.split(stream, np.nonzero(stream == end)[0] + 1)[:-1]:
+        seen.append(part[:-1].tolist())
+    assert sorted(seen) == sorted(t.encode(x, add_special_tokens=False).ids for _, x in texts)
+
+
 # 5
 
 
