@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import scores as S
 from marginalia.functions import text as T
 from marginalia.operators import cells
+from marginalia.sources.scratch import kept
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -16,17 +17,24 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, index: cells.Cells | None = None) -> DataFrame:
-    """queries: query_id, embedding. vectors: id, embedding and any others. The k nearest vectors of each query with distance and rank (ties by id).
+    """queries: query_id, embedding. vectors: id (a key), embedding and any others. The k nearest vectors of each query with distance and rank (ties by id).
 
     With an index of cells over the vectors, those that bounds rule out are not read. Without one, the stated queries are broadcast (a batch of user
-    input), so the vectors are scanned once and never dealt out; Spark keeps only k rows a query in each partition before the final ranking.
+    input), so the vectors are scanned once and never dealt out; Spark keeps only k rows a query in each partition before the final ranking. Other columns take no
+    part in that: they are read for the k rows of each query alone, by their ids, which a join below (texts by id) can filter with too.
     """
     if index is not None:
         return vectors.drop("embedding").join(cells.nearest(index, queries, k), "id")
     q = F.broadcast(queries.select("query_id", F.col("embedding").alias("q_embedding")))
-    pairs = vectors.crossJoin(q).withColumn("distance", squared_distance(F.col("embedding"), F.col("q_embedding")))
+    pairs = vectors.select("id", "embedding").crossJoin(q).withColumn("distance", squared_distance(F.col("embedding"), F.col("q_embedding")))
     best = Window.partitionBy("query_id").orderBy("distance", "id")
-    return pairs.drop("embedding", "q_embedding").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found = pairs.drop("embedding", "q_embedding").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    others = [c for c in vectors.columns if c not in ("id", "embedding")]
+    if not others:
+        return found
+    found = kept(found, "nearest")
+    ids = [r.id for r in found.select("id").distinct().collect()]  # k rows a query of the batch
+    return vectors.drop("embedding").where(F.col("id").isin(ids)).join(F.broadcast(found), "id")
 
 
 def hybrid_rerank(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:

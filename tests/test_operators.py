@@ -66,6 +66,19 @@ def test_search(spark, corpus):
     assert text.startswith("Top matches for: q\n1. Docker.txt:1-2\n   reasons: filename, phrase, heading, text, keyword, semantic\n")
 
 
+def test_search_deals_out_no_texts(spark, corpus):
+    """Texts are read where they are: neighbours are found without them, and text hits get snippets when the best are known."""
+    q = search.with_features(spark.createDataFrame([(0, "find my note about docker", [0.0, 1.0]), (1, "where did I mention network host mode", [0.0, 1.0])], "query_id long, query string, embedding array<double>"))
+    hits, whole = search.text_hits(q, corpus[0]), search.text_channel(q, corpus[0])
+    rest = [c for c in search.HIT if c != "snippet"]
+    assert rows(hits, *rest) == rows(whole, *rest) and whole.count() > 0 and hits.where("snippet is not null").isEmpty()
+    assert rows(search.with_snippets(hits, corpus[0]), *search.HIT) == rows(whole, *search.HIT)
+    near = vectors.nearest(q, corpus[1], 2)
+    found = [r for r in near.select("query_id", "id", "rank", "text").collect()]
+    assert sorted((r.query_id, r.id, r["rank"]) for r in found) == sorted(map(tuple, vectors.nearest(q, corpus[1].select("id", "embedding"), 2).select("query_id", "id", "rank").collect()))
+    assert {r.id: r.text for r in found}.items() <= {r.id: r.text for r in corpus[1].collect()}.items()
+
+
 def test_listing(spark, corpus):
     notes, _ = corpus
     assert rows(listing.find_files(notes, "HOST", "both"), "rel_path", "filename_match", "text_match") == [("Docker.txt", False, True), ("net/hosts.md", True, True)]
