@@ -13,6 +13,7 @@ EXTENSIONS = (".md", ".txt")
 
 def _scan(spark: SparkSession, root: str, extensions, content: bool) -> DataFrame:
     """rel_path, abs_path, mtime, size, and content if asked for: one scan, whichever source lists the files."""
+    root = root.removeprefix("file:") if "://" not in root else root
     if "://" not in root:
         spark.dataSource.register(FolderSource)
         raw = spark.read.format("note_files").option("content", str(content).lower()).option("extensions", ",".join(extensions)).load(root)
