@@ -28,6 +28,7 @@ import os
 import re
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import giving_way
+from marginalia.llm.common import giving_way, handing_back
 
 BLOCK_BYTES, PART_BYTES = 24 << 20, 16 << 20
 #: Words a call of the library's batch encoder; documents whose ids and texts are Python's objects at a time.
@@ -184,6 +185,7 @@ def _split(docs: DataFrame, names: list[str], block_bytes: int, parts: int) -> D
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     columns = ["block", "part", "places", "words", *names]
 
+    @handing_back
     def run(batches):
         task, number, words, size = TaskContext.get().partitionId(), 0, _Places(), 0
         held: list[np.ndarray] = []  # of each document, the places by first sight
@@ -233,12 +235,20 @@ def _split(docs: DataFrame, names: list[str], block_bytes: int, parts: int) -> D
 
 def _encoded(lists: DataFrame, path: str) -> DataFrame:
     """lists: block, part, places, words. block, places, sizes, ids (packed): the ids of the words, each distinct word encoded once."""
+    @handing_back
     def run(table: pa.Table) -> pa.Table:
-        own = [_unpack_words(x.as_py()) for x in table["words"]]
-        distinct = list(dict.fromkeys(w for words in own for w in words))
-        ids = dict(zip(distinct, _encode(distinct, path)))
-        sizes = [_pack(np.fromiter((len(ids[w]) for w in words), dtype="<u4", count=len(words))) for words in own]
-        flat = [_pack(np.fromiter((i for w in words for i in ids[w]), dtype="<u4")) for words in own]
+        number = _Places()
+        own = [np.fromiter(map(number.__getitem__, _unpack_words(x.as_py())), dtype="<u4") for x in table["words"]]
+        distinct, size, flat = list(number), [np.empty(0, np.int64)], [np.empty(0, "<u4")]
+        # Words and ids are Python's objects a batch at a time; the part as a whole is held in numbers.
+        for at in range(0, len(distinct), BATCH):
+            ids = _encode(distinct[at : at + BATCH], path)
+            size.append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), dtype="<u4"))
+        size, flat = np.concatenate(size), np.concatenate(flat)
+        starts = np.cumsum(size) - size
+        sizes = [_pack(size[x]) for x in own]
+        flat = [_pack(_gathered(starts[x], size[x], flat)) for x in own]
         return pa.table({"block": table["block"], "places": table["places"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(flat, pa.binary())})
 
     return lists.groupBy("part").applyInArrow(run, "block long, places binary, sizes binary, ids binary")
@@ -260,12 +270,14 @@ def encode_documents(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES,
     parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // part_bytes))
     split = _split(docs.select("text", *[F.col(c).alias(n) for c, n in zip(keep, names)]), names, block_bytes, parts)
 
+    @handing_back
     def lists_of(table: pa.Table) -> pa.Table:
         return table.filter(pc.is_valid(table["part"])).select(["block", "part", "places", "words"])
 
     # Both uses deal the same rows out by block, so the texts are split once and the exchange is used twice.
     coded = _encoded(split.groupBy("block").applyInArrow(lists_of, "block long, part int, places binary, words binary"), path)
 
+    @handing_back
     def join_ids(texts: pa.Table, lists: pa.Table) -> pa.Table:
         # A list's places are kept as steps from one to the next.
         places = np.concatenate([np.cumsum(_unpack(x.as_py()), dtype=np.int64) for x in lists["places"]] or [np.empty(0, np.int64)])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,6 +126,35 @@ def with_let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _hand_back() -> None:
+    """Freed memory of this process goes back to the system, as far as its allocators can (malloc_trim is glibc's)."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def handing_back(run: Callable) -> Callable:
+    """run, the function of an Arrow task (of batches, of a group's table, or of two), that hands back what it has freed when it has ended.
+
+    Spark keeps a Python worker for later tasks. Without this it keeps the peak of its last one too, beside stages that have no use for it.
+    """
+    def of_batches(batches):
+        yield from run(batches)
+        _hand_back()
+
+    def of_group(table):
+        out = run(table)
+        _hand_back()
+        return out
+
+    def of_groups(left, right):
+        out = run(left, right)
+        _hand_back()
+        return out
+
+    return of_batches if inspect.isgeneratorfunction(run) else of_group if len(inspect.signature(run).parameters) == 1 else of_groups
+
+
 def giving_way(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that have the name of a result column (in any case): those give way to the result."""
     taken = {n.lower() for n in names}

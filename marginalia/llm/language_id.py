@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import giving_way
+from marginalia.llm.common import giving_way, handing_back
 
 ORDER = 5
 ROWS_PER_LANGUAGE, BYTES_PER_LANGUAGE, SAMPLE_BYTES = 500, 4 << 20, 256 << 20
 PIECE = 1 << 18
+#: Rows whose texts are Python's objects at a time, and symbols that are looked up together: what a worker takes, and keeps when it idles, follows them.
+SLICE, LOOKED_UP = 256, 1 << 16
 REJECT_Z = 12.0
 #: Every CALIBRATE-th row of the sample is kept out of the counts.
 CALIBRATE = 5
@@ -152,7 +154,7 @@ class Model:
             for at in range(0, len(x) - ORDER + 1, PIECE):
                 batch.append(x[at : at + PIECE + ORDER - 1]), where.append(i)
                 held += len(batch[-1])
-                if held >= PIECE:
+                if held >= LOOKED_UP:
                     flush()
                     held = 0
         if batch:
@@ -302,9 +304,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     renamed = docs.toDF(*names)
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in renamed.schema), "lang_pred string", "score double", "cross_entropy double", "rejected boolean"])
 
+    @handing_back
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in (b.slice(first, SLICE) for b in batches for first in range(0, b.num_rows, SLICE)):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             if m.languages:
                 logs, sizes = m.score(texts)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import golay, shingle_join
-from marginalia.llm.common import giving_way, materialize, passing, row_key, set_apart
+from marginalia.llm.common import giving_way, handing_back, materialize, passing, row_key, set_apart
 from marginalia.llm.components import components
 
 SHINGLE, SEED, REACH = 4, 42, 4
@@ -76,6 +76,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, distinct: bool = False)
     keep = [c for c in docs.columns if c != "text"]
     schema = docs.select(*keep, F.lit(0).cast("long").alias("fp")).schema
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -107,6 +108,7 @@ def bucket_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _filed(fps: DataFrame) -> DataFrame:
     """key, fp for all bucket keys of a table of distinct fingerprints."""
+    @handing_back
     def run(batches):
         for batch in batches:
             fp = np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)
@@ -123,6 +125,7 @@ def _near_words(fps: DataFrame) -> DataFrame:
     bits = [1 << i for i in range(64)]
     flips = np.array([0, *bits, *(a | b for i, a in enumerate(bits) for b in bits[:i])], dtype=np.uint64)
 
+    @handing_back
     def run(batches):
         for batch in batches:
             fp = np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)
@@ -178,6 +181,7 @@ def forest(fp: np.ndarray, reach: int = REACH) -> list[tuple[int, int]]:
 
 def _runs(filed: DataFrame, most: int, reach: int) -> DataFrame:
     """filed: key, fp, dealt out by key and sorted. a, b: links of all buckets of at most `most` rows; a bucket beyond gives a row (fp, fp, large) for each of its rows."""
+    @handing_back
     def run(batches):
         key, fp = np.empty(0, np.int64), np.empty(0, np.int64)
 

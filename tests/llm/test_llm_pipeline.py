@@ -1,9 +1,10 @@
 import os
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marginalia.llm import common
+from marginalia.llm import common, language_id
 from marginalia.llm.common import materialize
 
 
@@ -73,3 +74,62 @@ def test_clashing_columns(spark):
 
 def stage_of(name):
     return dict(corpus_pipeline.STAGES)[name]
+
+
+def _own_mb():
+    """MB of this process that are not files."""
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(int(x.split()[1]) for x in f if x.startswith("Pss_Anon")) / 1024
+
+
+def test_workers_hand_back():
+    """What a task has freed goes back to the system at its end, although a small piece that lasts lies behind it."""
+    lasting = []
+
+    def fill():
+        held = [bytes(3000) for _ in range(50_000)]
+        lasting.append(bytes(3000))
+        del held
+
+    def of_batches(batches):
+        for x in batches:
+            fill()
+            yield x
+
+    def of_group(table):
+        fill()
+        return table
+
+    def of_groups(left, right):
+        fill()
+        return left, right
+
+    before = _own_mb()
+    assert list(common.handing_back(of_batches)(iter([1, 2]))) == [1, 2] and _own_mb() < before + 50
+    assert common.handing_back(of_group)(3) == 3 and _own_mb() < before + 50
+    assert common.handing_back(of_groups)(4, 5) == (4, 5) and _own_mb() < before + 50
+
+
+def test_language_looks_up_little_at_a_time(monkeypatch):
+    """Texts are scored by some ten thousand symbols, with the results of each text alone."""
+    model = language_id.train([(g, f"{g * 3} {w} word {i}") for i in range(40) for g, w in (("en", "the of and"), ("de", "der und die"))])
+    texts = [f"the {i} und " * 200 for i in range(300)]
+    alone = [model.score([t]) for t in texts]
+    met, plain = [], language_id.Model.log_probs
+    monkeypatch.setattr(language_id.Model, "log_probs", lambda self, x: met.append(len(x)) or plain(self, x))
+    logs, sizes = model.score(texts)
+    assert len(met) > 3 and max(met) < 80_000 < sum(met)
+    assert all((logs[i] == a[0]).all() and sizes[i] == n[0] for i, (a, n) in enumerate(alone))
+
+
+def test_rows_pass_by_bytes(spark):
+    """Once a stage with Python has been set up, a worker is given a few MB at a time, however large the rows are."""
+    docs = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 400).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    corpus_pipeline.tokens(spark, docs, "")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["size"])
+
+    got = [r["size"] for r in docs.mapInArrow(sizes, "size long").collect()]
+    assert sum(got) > 12_000_000 and max(got) < 6_000_000
