@@ -80,6 +80,24 @@ def materialize(df: DataFrame, label: str, compression: str | None = None, lasti
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def in_one_plan(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """Within, a query over small tables of known size is one plan and one job, dealt out over so many partitions (at most those of the session).
+
+    Planned adaptively it is a job and another text of the whole plan for each of its stages, all of which the driver holds; a loop of such queries fills the driver.
+    """
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(max(1, min(partitions, most)))}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def _hashable(value: Column, kind: T.DataType) -> Column:
     """value, with maps (which have no hash) as sorted text."""
     if "map<" in kind.simpleString():
@@ -126,7 +144,7 @@ def with_let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _hand_back() -> None:
+def hand_back() -> None:
     """Freed memory of this process goes back to the system, as far as its allocators can (malloc_trim is glibc's)."""
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
@@ -140,16 +158,16 @@ def handing_back(run: Callable) -> Callable:
     """
     def of_batches(batches):
         yield from run(batches)
-        _hand_back()
+        hand_back()
 
     def of_group(table):
         out = run(table)
-        _hand_back()
+        hand_back()
         return out
 
     def of_groups(left, right):
         out = run(left, right)
-        _hand_back()
+        hand_back()
         return out
 
     return of_batches if inspect.isgeneratorfunction(run) else of_group if len(inspect.signature(run).parameters) == 1 else of_groups

@@ -23,11 +23,12 @@ rows. Columns of the input with the names of results give way to them.
 from __future__ import annotations
 
 import math
+from contextlib import nullcontext
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import NOT_SPACE, giving_way, materialize, row_key, set_apart, with_let
+from marginalia.llm.common import NOT_SPACE, giving_way, in_one_plan, materialize, row_key, set_apart, with_let
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -38,6 +39,8 @@ STATS = ("x_len", "x_sym", "x_line", "x_rep")
 FLOOR = (0.06, 0.25, 0.5, 0.08)
 PRIOR_WORDS, PRIOR_LEN = 50, 5.0
 MIN_GROUP, HALF, TAIL, BIN, BROADCAST_GROUPS = 60, 0.5, 1e-6, 200, 20_000
+#: Points a partition of the steps' shuffles.
+POINTS_A_PARTITION = 10_000
 #: Steps of the statistics' grid on which estimates are made: a hundredth or so of the least standard deviations.
 GRID = (0.001, 0.005, 0.01, 0.001)
 #: A log determinant that a concentration step has not lowered by SETTLED has settled.
@@ -199,38 +202,46 @@ def _step(x: DataFrame, fit: DataFrame, few: bool, factor: float) -> DataFrame:
     Points are summed up by bins of their distance; the nearest bins that hold HALF of a group together are summed up again.
     """
     far = _distance(_joined(x, fit, "gid", few)).withColumn("bin", F.floor(F.log1p("d2") * BIN).cast("long"))
-    bins = far.groupBy("gid", "start", "bin").agg(*_sums())
+    # A group's earlier fit is the same in all its points and goes along.
+    bins = far.groupBy("gid", "start", "bin").agg(*_sums(), *[F.max(c).alias(f"was_{c}") for c in FIT])
     own = Window.partitionBy("gid", "start")
     bins = bins.withColumns({"_before": F.sum("s").over(own.orderBy("bin")) - F.col("s"), "_all": F.sum("s").over(own)})
-    near = bins.where(F.col("_before") < F.lit(HALF) * F.col("_all")).groupBy("gid", "start").agg(*[F.sum(c).alias(c) for c in SUMS])
-    return _cholesky(_moments(near, "gid", "start"), factor).withColumn("log_det", _log_det()).select("gid", "start", *FIT)
+    near = bins.where(F.col("_before") < F.lit(HALF) * F.col("_all")).groupBy("gid", "start").agg(*[F.sum(c).alias(c) for c in SUMS], *[F.max(c).alias(c) for c in WAS])
+    return _cholesky(_moments(near, "gid", "start", *WAS), factor).withColumn("log_det", _log_det()).select("gid", "start", *FIT, *WAS)
 
 
 FIT = (*[f"m{i}" for i in range(len(STATS))], *[f"l{i}{j}" for i in range(len(STATS)) for j in range(i + 1)], "log_det")
+WAS = tuple(f"was_{c}" for c in FIT)
 
 
 def robust_fit(x: DataFrame) -> tuple[DataFrame, bool]:
     """x: gid and STATS. (one row for each gid with m{i}, l{i}{j}, log_det and start; whether there are few groups)."""
     x = materialize(points(x), "points")
-    fit = materialize(_cholesky(_starts(x), 1.0).select("gid", "start", *FIT[:-1], F.lit(None).cast("double").alias("log_det")), "mcd")
-    few = fit.count() <= BROADCAST_GROUPS
+    spark, dealt = x.sparkSession, x.count() // POINTS_A_PARTITION + 1
     cut = chi2_quantile(HALF, len(STATS))
     factor = HALF / chi2_cdf(cut, len(STATS) + 2)
+    few = x.select("gid").distinct().count() <= BROADCAST_GROUPS // 3
+    # Many groups are joined plainly, and adaptively.
+    with in_one_plan(spark, dealt) if few else nullcontext():
+        return _settled(x, few, factor), few
+
+
+def _settled(x: DataFrame, few: bool, factor: float) -> DataFrame:
+    """x: points. Of each gid the fit of least determinant that the steps from its starts end at."""
+    fit = materialize(_cholesky(_starts(x), 1.0).select("gid", "start", *FIT[:-1], F.lit(None).cast("double").alias("log_det")), "mcd")
     done = None
     while True:
         # One step a table: plans stay small. The starts have no determinant of their own to be held against.
-        new = _step(x, fit, few, factor)
-        was = fit.select("gid", "start", F.struct(*FIT).alias("was"))
-        new = new.select("gid", "start", F.struct(*FIT).alias("now")).join(F.broadcast(was) if few else was, ["gid", "start"])
-        less = F.col("was.log_det").isNull() | (F.col("now.log_det") < F.col("was.log_det") - SETTLED)
-        new = materialize(new.select("gid", "start", (~less).alias("settled"), F.when(less, F.col("now")).otherwise(F.col("was")).alias("b")).select("gid", "start", "settled", "b.*"), "mcd")
+        less = F.col("was_log_det").isNull() | (F.col("log_det") < F.col("was_log_det") - SETTLED)
+        new = _step(x, fit, few, factor).withColumn("settled", ~less)
+        new = materialize(new.select("gid", "start", "settled", *[F.when(F.col("settled"), F.col(f"was_{c}")).otherwise(F.col(c)).alias(c) for c in FIT]), "mcd")
         ended = new.where("settled").drop("settled")
         done = ended if done is None else done.unionByName(ended)
         fit = new.where("not settled").drop("settled")
         if fit.isEmpty():
             break
     best = done.groupBy("gid").agg(F.min_by(F.struct("start", *FIT), F.struct(F.round("log_det", 9), "start")).alias("b")).select("gid", "b.*")
-    return materialize(best, "mcd"), few
+    return materialize(best, "mcd")
 
 
 def points(x: DataFrame) -> DataFrame:
