@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marginalia.llm import common, language_id
+from marginalia.llm import common, language_id, quality
 from marginalia.llm.common import materialize
 
 
@@ -133,3 +133,25 @@ def test_rows_pass_by_bytes(spark):
 
     got = [r["size"] for r in docs.mapInArrow(sizes, "size long").collect()]
     assert sum(got) > 12_000_000 and max(got) < 6_000_000
+
+
+def test_steps_are_one_plan_each(spark):
+    """The concentration steps and starts take few jobs, none of them a stage of an adaptive plan; the session's settings come back."""
+    data = [("g", 0.01 * (i % 37), 0.05 * (i % 11), 0.1 * (i % 5), 0.01 * (i % 23)) for i in range(300)]
+    df = spark.createDataFrame(data, "gid string, x_len double, x_sym double, x_line double, x_rep double")
+    keys = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    before, adaptive = [spark.conf.get(k) for k in keys], []
+    plain = quality._step
+
+    def step(*a):
+        adaptive.append(spark.conf.get(keys[0]))
+        out = plain(*a)
+        assert "Adaptive" not in out._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    quality._step = step
+    try:
+        fit, few = quality.robust_fit(df)
+    finally:
+        quality._step = plain
+    assert few and fit.count() == 1 and set(adaptive) == {"false"} and [spark.conf.get(k) for k in keys] == before
