@@ -196,7 +196,7 @@ _META = f"CASE WHEN mnm = '' THEN 0.0 ELSE greatest({X.phrase_match('q', 'mnm')}
 @query(f"WITH {X.SEARCH_ROWS}, {X.features('q0')}, {X.NOTES}, {_META_SQL} SELECT query_id, rel_path, round({_META}, 6) AS score FROM m, q")
 def metadata_score(spark, sf_dir):
     n = A.notes(spark, sf_dir)
-    m = n.select("rel_path", S.text_features(S.metadata_text(F.col("rel_path"), F.lit(None).cast("string"), T.lines(F.col("text"))[0])).alias("m"))
+    m = n.select("rel_path", S.text_features(S.metadata_text(F.col("rel_path"), F.lit(None).cast("string"), F.get(T.lines(F.col("text")), 0))).alias("m"))
     q = Q.with_features(A.searches(spark, sf_dir, embedded=False)).select("query_id", "q")
     return m.crossJoin(F.broadcast(q)).select("query_id", "rel_path", F.round(S.metadata_match(F.col("q"), F.col("m")), 6).alias("score"))
 

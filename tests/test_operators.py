@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import density, evaluation, grounding, index, listing, search, vectors
-from marginalia.plans import testdata
+from marginalia.plans import queries, testdata
 from marginalia.sources import jsonl, manifest
 
 
@@ -191,3 +191,11 @@ def test_read_through(spark, tmp_path):
         got = manifest.read_through(wanted, cache, embed)
         assert sorted((r.query_id, r.embedding) for r in got.collect()) == [(1, [1.0]), (2, [2.0]), (3, [2.0])]
     assert asked == ["k2"] and cache.read().count() == 2 and cache.version == 2
+
+
+def test_metadata_score_of_texts_without_lines(spark, tmp_path):
+    """An empty text has no first line, and neither has a null one: name and path alone are scored, as in the SQL."""
+    docs = [(1, "", "en", "src11"), (2, None, "en", "src11"), (3, "\n", "en", "src11"), (4, "note about src11\nb", "en", "src11"), (5, "", None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["metadata_score"](spark, str(tmp_path)).where("query_id = 1")
+    assert sorted((r.rel_path or "", r.score) for r in got.collect()) == [("", 0.0), *((f"en/src11/doc_{i}.txt", s) for i, s in ((1, 0.0), (2, 0.0), (3, 0.0), (4, 1.0)))]
