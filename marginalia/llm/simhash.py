@@ -276,13 +276,13 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
 def _other(keyed: DataFrame, width: int) -> DataFrame:
     """keyed: doc_id, text and _row. _row, _head: the rows that go, and (_head) those that stay but are repeated; mostly few beside what simply stays."""
     own = shingle_join.with_set(keyed.select("text", F.struct("doc_id", "_row").alias("_order")), width, *shingle_join.frequent(keyed, width))
-    by_set = materialize(own.groupBy("sid").agg(F.min("_order").alias("_least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
+    by_set = materialize(own.groupBy("sid").agg(F.min("_order").alias("_least"), *[F.first(c).alias(c) for c in ("n", "prefix", "fp", "sketch", "bitmap")]), "sets")
 
     def texts(sids: DataFrame) -> DataFrame:
         first = materialize(by_set.join(sids, "sid").select("sid", F.col("_least")["_row"].alias("_row")), "asked")
         return keyed.select("_row", "text").join(shingle_join.bounded(first), "_row").select("text", "sid")
 
-    roots = components(shingle_join.links(by_set.select("sid", "n", "prefix"), texts, width, closest=close_pairs))
+    roots = components(shingle_join.links(by_set.drop("_least"), texts, width, closest=close_pairs))
     named = by_set.select("sid", "_least").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     heads = named.groupBy("root").agg(F.min("_least").alias("_least")).select(F.col("_least")["_row"].alias("_row"))
     rows = keyed.groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))

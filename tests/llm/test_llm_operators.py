@@ -351,6 +351,23 @@ def test_shingle_join_of_many_blocks(spark, monkeypatch):
         assert sorted(got.collect()) == sorted(own.collect()) == sorted(want.collect())
 
 
+def test_shingle_join_in_rounds_without_stored_sets(spark, monkeypatch):
+    """Members of tiles and sets of dense tiles are dealt out in rounds, with the links of one; no table holds the sets of all texts, only of those that are compared."""
+    rng = np.random.default_rng(21)
+    base = [f"w{x}" for x in range(120)]
+    texts = sorted({" ".join("e%d" % rng.integers(0, 99) if rng.random() < 0.02 else w for w in base) for _ in range(60)} | {" ".join(f"w{x} w{x + 1} w{x + 2} w{x + 3} w{x + 4} z{i}" for x in range(i % 100)) for i in range(300)})
+    nodes = spark.createDataFrame([(t, shingle_join.set_id(shingle_join._hashes(t, 5))) for t in texts], "text string, sid long").dropDuplicates(["sid"]).localCheckpoint()
+    sets = shingle_join.with_set(nodes.select("text"), 5, *shingle_join.frequent(nodes, 5))
+    want = components(shingle_join.links(sets, lambda sids: nodes.join(sids, "sid", "left_semi"), block=1024)).collect()
+    made = []
+    monkeypatch.setattr(shingle_join, "materialize", lambda df, label, f=shingle_join.materialize, **k: made.append((label, df.columns, df.count())) or f(df, label, **k))
+    monkeypatch.setattr(shingle_join, "ROUND_BYTES", 1)
+    got = components(shingle_join.links(sets, lambda sids: nodes.join(sids, "sid", "left_semi"), block=1024)).collect()
+    assert sorted(got) == sorted(want) and len(want) > 20
+    assert sum(label == "left" for label, *_ in made) > 1
+    assert all(label == "compared" and n < nodes.count() for label, columns, n in made if "hashes" in columns)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (200, 200), (102, 100)] + [(300, i) for i in range(301, 360)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
