@@ -46,7 +46,7 @@ def keyword(q: Column, d: Column) -> Column:
 def text_match(phrase: Column, q: Column, lower: Column, d: Column) -> Column:
     """1 if the text contains the phrase, else the share of distinct query tokens in it."""
     distinct = F.array_distinct(q)
-    return F.when((phrase == "") | (lower == ""), 0.0).when(lower.contains(phrase), 1.0).otherwise(F.size(F.array_intersect(distinct, d)) / F.greatest(F.size(distinct), F.lit(1)))
+    return F.when((phrase == "") | (lower == ""), 0.0).when(lower.contains(phrase), 1.0).otherwise(F.size(F.array_intersect(q, d)) / F.greatest(F.size(distinct), F.lit(1)))
 
 
 def phrase_match(q: Column, norm: Column) -> Column:
@@ -54,19 +54,21 @@ def phrase_match(q: Column, norm: Column) -> Column:
     has = lambda grams: F.exists(grams, lambda g: norm.contains(g))
     return (
         F.when((q["phrase"] == "") | (norm == ""), 0.0).when(norm.contains(q["phrase"]), 1.0)
-        .when(has(q["grams4"]), 0.9).when(has(q["grams3"]), 0.78).when(has(q["grams2"]), 0.62).otherwise(0.0)
+        # A text without any of the shorter runs has none of the longer ones.
+        .when(~has(q["grams2"]), 0.0).when(~has(q["grams3"]), 0.62).when(~has(q["grams4"]), 0.78).otherwise(0.9)
     )
 
 
 def ordered_match(q: Column, norm: Column) -> Column:
     """The longest prefix of the tokens that the text contains in order, by the number of tokens."""
-    start = F.struct(F.lit(1).alias("pos"), F.lit(0).alias("n"), F.lit(False).alias("stop"))
+    # One number for each step: the place to go on from times 2^31, and how many were found; after the first that is not found, -1 less how many.
+    high = F.lit(1 << 31)
 
     def step(acc: Column, t: Column) -> Column:
-        at = F.when(acc["stop"], 0).otherwise(F.call_function("locate", t, norm, acc["pos"]))
-        return F.struct(F.when(at > 0, at + F.length(t)).otherwise(acc["pos"]).alias("pos"), (acc["n"] + F.when(at > 0, 1).otherwise(0)).alias("n"), (at == 0).alias("stop"))
+        at = F.call_function("locate", t, norm, F.shiftright(acc, 31).cast("int"))
+        return F.when(acc < 0, acc).when(at > 0, (at + F.length(t)) * high + F.pmod(acc, high) + 1).otherwise(-1 - F.pmod(acc, high))
 
-    found = F.aggregate(q, start, step, lambda acc: acc["n"])
+    found = F.aggregate(q, high, step, lambda acc: F.when(acc < 0, -1 - acc).otherwise(F.pmod(acc, high)))
     return F.when((F.size(q) == 0) | (norm == ""), 0.0).otherwise(found / F.greatest(F.size(q), F.lit(1)))
 
 
@@ -166,13 +168,14 @@ def best_of_lines(rows: DataFrame) -> DataFrame:
 
 
 def line_scores(rows: DataFrame) -> DataFrame:
-    """rows with BY; all but the quality are 0 where q is null."""
+    """rows with BY; all but the quality, which rows may have already, are 0 where q is null."""
     q, d = F.col("q"), F.col("d")
     scores = {
         "phrase": phrase_match(q, d["norm"]), "text": text_match(q["phrase"], q["toks"], d["lower"], d["tokens"]), "keyword": keyword(q["toks"], d["tokens"]),
         "literal": literal_match(q["terms"], d["lower"]), "ordered": ordered_match(q["toks"], d["norm"]),
     }
-    x = bound(rows, quality=line_quality(F.col("content"), d["tokens"], d["norm"]), **{k: F.when(q.isNull(), 0.0).otherwise(v) for k, v in scores.items()})
+    known = {} if "quality" in rows.columns else {"quality": line_quality(F.col("content"), d["tokens"], d["norm"])}
+    x = bound(rows, **known, **{k: F.when(q.isNull(), 0.0).otherwise(v) for k, v in scores.items()})
     return x.withColumn("score", F.greatest("phrase", "text", "keyword", "ordered", "literal"))
 
 

@@ -196,6 +196,6 @@ def best_lines(index: Postings, queries: DataFrame) -> DataFrame:
 
 
 def best_of(found: DataFrame, queries: DataFrame) -> DataFrame:
-    """found: query_id, rel_path, line, content. The best of these lines of each query and note."""
-    rows = bound(found, d=S.text_features(F.col("content")))
+    """found: query_id, rel_path, line, content; d and quality if they are known. The best of these lines of each query and note."""
+    rows = found if "d" in found.columns else bound(found, d=S.text_features(F.col("content")))
     return S.best_of_lines(rows.join(queries.select("query_id", "q"), "query_id"))

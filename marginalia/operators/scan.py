@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions import scores as S
 from marginalia.functions import text as T
+from marginalia.functions.columns import bound
 from marginalia.operators.postings import LEAST, LEFT_OUT, RUN, line_rows
 
 #: Cells (a line and a query) that are counted at a time, and words of which a task remembers what they hold.
@@ -168,7 +170,10 @@ def _words(content: Column) -> Column:
 
 
 def candidate_lines(notes: DataFrame, queries: DataFrame) -> DataFrame:
-    """notes: rel_path, text. queries: query_id, q (features), a batch of user input. query_id, rel_path, line and content of every line that may reach LEAST."""
+    """notes: rel_path, text. queries: query_id, q (features), a batch of user input. query_id, rel_path, line, content, d (features of content) and quality of every line that may reach LEAST.
+
+    What is computed of a line is computed once for all queries that may find it.
+    """
     rows = queries.select("query_id", F.col("q")["toks"].alias("toks"), F.col("q")["terms"].alias("terms")).collect()
     ids = [r.query_id for r in rows]
     longest = lambda term: max(_runs(term), key=lambda r: (len(r), r), default="")
@@ -182,16 +187,22 @@ def candidate_lines(notes: DataFrame, queries: DataFrame) -> DataFrame:
             for at in range(0, rows.num_rows, LINES):
                 part = rows.slice(at, LINES)
                 line, query = own.candidates(part.column("words"))
+                order = np.lexsort((query, line))
+                line, first = np.unique(line[order], return_index=True)
+                by_line = pa.array([ids[i] for i in query[order].tolist()], pa.int64())
+                queries_of = pa.ListArray.from_arrays(pa.array(np.append(first, len(query)), pa.int32()), by_line)
                 taken = [part.column(c).take(pa.array(line)) for c in ("rel_path", "line", "content")]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in query.tolist()], pa.int64()), *taken], ["query_id", "rel_path", "line", "content"])
+                yield pa.RecordBatch.from_arrays([queries_of, *taken], ["query_ids", "rel_path", "line", "content"])
 
-    out = lines.withColumn("words", _words(F.col("content"))).mapInArrow(run, "query_id long, rel_path string, line int, content string")
+    out = lines.withColumn("words", _words(F.col("content"))).mapInArrow(run, "query_ids array<long>, rel_path string, line int, content string")
     # Terms without a run of three word characters have no words to look up: lines are searched for them. A line that is found twice does no harm.
     odd = [(r.query_id, t) for r, x in zip(rows, runs) for t, run_ in zip(r.terms, x) if len(run_) < 3]
     if odd:
         terms = notes.sparkSession.createDataFrame(odd, "query_id long, term string")
-        out = out.unionByName(lines.join(F.broadcast(terms), F.contains(F.lower("content"), F.col("term"))).select("query_id", "rel_path", "line", "content"))
-    return out
+        out = out.unionByName(lines.join(F.broadcast(terms), F.contains(F.lower("content"), F.col("term"))).select(F.array("query_id").alias("query_ids"), "rel_path", "line", "content"))
+    out = bound(out, d=S.text_features(F.col("content")))
+    out = bound(out, quality=S.line_quality(F.col("content"), F.col("d")["tokens"], F.col("d")["norm"]))
+    return out.select(F.explode("query_ids").alias("query_id"), "rel_path", "line", "content", "d", "quality")
 
 
 def _runs(term: str) -> list[str]:

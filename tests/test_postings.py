@@ -86,3 +86,12 @@ def test_neighbours(spark):
     notes = spark.createDataFrame([("a", "One two, three\nthree two one")], "rel_path string, text string")
     rows = sorted((r.line, r.word, r.before or "", r.after or "") for r in postings.build(notes).postings.collect())
     assert rows == [(0, "one", "", "two"), (0, "three", "two", ""), (0, "two", "one", "three"), (1, "one", "two", ""), (1, "three", "", "two"), (1, "two", "three", "one")]
+
+
+def test_features_of_a_line_come_with_it(spark):
+    """A line that several queries may find is read once for all of them: its features and quality come with it."""
+    queries = search.with_features(spark.createDataFrame([(i, f"find the passage rare7 words number{i}") for i in range(5)], "query_id long, query string"))
+    notes = spark.createDataFrame([("a", "rare7 words here\nnothing"), ("b", "- rare7 words:")], "rel_path string, text string")
+    found = scan.candidate_lines(notes, queries)
+    assert sorted((r.query_id, r.rel_path, r.content, tuple(r.d.tokens)) for r in found.collect()) == sorted((i, p, c, t) for i in range(5) for p, c, t in (("a", "rare7 words here", ("rare7", "words", "here")), ("b", "- rare7 words:", ("rare7", "words"))))
+    assert found.where("rel_path = 'b' and quality <= 0.18").isEmpty()
